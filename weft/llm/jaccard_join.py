@@ -8,8 +8,9 @@ n - ceil(t n) + 1 of each (the prefix). Three orders are used:
 * order 2: by a second hash, ascending; order 3: by the same, descending.
 
 Order 1 makes the candidates: sets meet in the bucket of each shingle of their prefix. Pairs
-whose prefixes of order 2 or of order 3 have nothing in common go before the verification,
-which counts the exact intersection. Which shingles count as frequent only shapes the order,
+whose sizes are too different, or whose prefixes of order 2 or of order 3 have nothing in common, go before the
+verification, which counts the exact intersection. The prefixes of orders 2 and 3 travel as 16 bits
+of each hash: what is equal stays equal, so the filter loses nothing. Which shingles count as frequent only shapes the order,
 so it costs speed and never a link; that is why their table may be bounded.
 
 Buckets are not expanded into pairs at once. First each bucket's smallest set is compared with
@@ -26,17 +27,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, stored, words_of
+from .common import broadcast_if_small, distinct_by_row, lists, mix, shingles, slices, stored, words_of
 from .components import components
 
 #: Shingles in a block, and how many of its sets hold a shingle that order 1 puts last.
-BLOCK, OFTEN = 4_000_000, 4
+BLOCK, OFTEN = 4_000_000, 2
 #: Most frequent shingles that the order knows of (8 bytes each in a broadcast).
 FREQUENT = 1 << 20
 #: Rows of a broadcast side (8 bytes each); larger sides are shuffled.
 SMALL = 1 << 21
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
+_LOW = np.uint64(0xFFFF)
+
+
+def _shorts(parts: list[np.ndarray]) -> pa.Array:
+    return lists([p.astype(np.uint16).view(np.int16) for p in parts], pa.int16())
 
 
 def _sets(batch: pa.RecordBatch, shingle_words: int) -> list[np.ndarray]:
@@ -101,13 +107,13 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                ids, sizes, heads, tails = [], [], [], []
+                ids, sizes, heads, tails, second, third = [], [], [], [], [], []
                 for s in _sets(part, shingle_words):
                     ids.append(i := _set_id(s))
                     sizes.append(len(s))
                     if not i or i in seen:
-                        heads.append(s[:0])
-                        tails.append(s[:0])
+                        for c in (heads, tails, second, third):
+                            c.append(s[:0])
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(i)
@@ -118,35 +124,38 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
                     rare = s[~often][:p]
                     heads.append(rare)
                     tails.append(s[often][: p - len(rare)])
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(heads, pa.int64()), lists(tails, pa.int64())], ["doc_id", "set_id", "n", "rare", "often"])
-
-    nodes = stored(docs.mapInArrow(prefixes, "doc_id long, set_id long, n long, rare array<long>, often array<long>"), "prefixes")
-    rare = nodes.select(F.explode("rare").alias("token"), "set_id")
-    often = nodes.select(F.explode("often").alias("token"), "set_id")
+                    other = np.sort(mix(s * _SECOND))
+                    second.append(np.unique(other[:p] & _LOW))
+                    third.append(np.unique(other[-p:] & _LOW))
+                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(heads, pa.int64()), lists(tails, pa.int64()), _shorts(second), _shorts(third)], ["doc_id", "set_id", "n", "rare", "often", "second", "third"])
+
+    nodes = stored(docs.mapInArrow(prefixes, "doc_id long, set_id long, n long, rare array<long>, often array<long>, second array<short>, third array<short>"), "prefixes")
+    rare = nodes.select(F.explode("rare").alias("token"), "set_id", "n")
+    often = nodes.select(F.explode("often").alias("token"), "set_id", "n")
     # few sets meet in the bucket of a rare shingle: one shuffle and a sort; the others are aggregated before they are shuffled
     bucket = Window.partitionBy("token")
-    rare = rare.select("token", "set_id", F.min("set_id").over(bucket).alias("hub"), F.max("set_id").over(bucket).alias("top"))
+    rare = rare.select("token", "set_id", "n", F.min("set_id").over(bucket).alias("hub"), F.max("set_id").over(bucket).alias("top"))
     meet = often.groupBy("token").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub <> top")
-    often = often.join(meet, "token").select("token", "set_id", "hub", "top")
-    buckets = stored(rare.union(often).where("hub <> top").select("token", "set_id", "hub").distinct(), "buckets")
+    often = often.join(meet, "token").select("token", "set_id", "n", "hub", "top")
+    buckets = stored(rare.union(often).where("hub <> top").select("token", "set_id", "n", "hub").distinct(), "buckets")
 
     met = stored(buckets.select("set_id").distinct(), "met")
-    sets = stored(_met_sets(docs, broadcast_if_small(met, met.count(), SMALL), shingle_words), "sets")
+    heads = nodes.where("size(second) > 0").select("set_id", "n", "second", "third")
+    heads = stored(heads.join(broadcast_if_small(met, met.count(), SMALL), "set_id", "left_semi").dropDuplicates(["set_id"]), "heads")
     hubs = buckets.where("hub <> set_id").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = stored(_verified(hubs, sets, percent), "links")
+    links = _linked(hubs, heads, docs, percent, shingle_words)
     groups = stored(components(links), "groups")
 
     # sets of one bucket in different components; their components are paired first, a few for each bucket
-    placed = buckets.join(groups, buckets.set_id == groups.node, "left").select("token", "set_id", F.coalesce("component", "set_id").alias("component"))
+    placed = buckets.join(groups, buckets.set_id == groups.node, "left").select("token", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     placed = stored(placed.join(split, "token"), "placed")
     of = placed.select("token", "component").distinct()
     across = of.alias("x").join(of.alias("y"), F.expr("x.token = y.token and x.component < y.component")).select("x.token", F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-    first = placed.select("token", F.col("component").alias("ca"), F.col("set_id").alias("a"))
-    second = placed.select("token", F.col("component").alias("cb"), F.col("set_id").alias("b"))
-    rest = across.join(first, ["token", "ca"]).join(second, ["token", "cb"]).select("a", "b").distinct()
-    links = links.union(_verified(rest, sets, percent))
-    groups = components(links)
+    first = placed.select("token", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"))
+    second = placed.select("token", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"))
+    rest = across.join(first, ["token", "ca"]).join(second, ["token", "cb"]).where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b").distinct()
+    groups = components(links.union(_linked(rest, heads, docs, percent, shingle_words)))
 
     named = nodes.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
     alone = named.where("set_id = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_id")
@@ -156,7 +165,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
 
 
 def _met_sets(docs: DataFrame, met: DataFrame, shingle_words: int) -> DataFrame:
-    """set_id, n and the shingles in order 2 of the sets that share a bucket."""
+    """set_id and the shingles of the sets in met, as a stored table."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -169,25 +178,24 @@ def _met_sets(docs: DataFrame, met: DataFrame, shingle_words: int) -> DataFrame:
                         if len(seen) < 1_000_000:
                             seen.add(i)
                         ids.append(i)
-                        parts.append(s[np.argsort(mix(s * _SECOND))])
+                        parts.append(s)
                 if ids:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), lists(parts, pa.int64())], ["set_id", "n", "tokens"])
+                    yield pa.record_batch([pa.array(ids, pa.int64()), lists(parts, pa.int64())], ["set_id", "tokens"])
 
-    return docs.select("text").mapInArrow(whole, "set_id long, n long, tokens array<long>").join(met, "set_id", "left_semi").dropDuplicates(["set_id"])
+    sets = docs.select("text").mapInArrow(whole, "set_id long, tokens array<long>").join(met, "set_id", "left_semi")
+    return stored(sets.dropDuplicates(["set_id"]), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    sizes = sets.select("set_id", "n")
-    near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b")
-    both = near.join(left, "a").join(right, "b")
-    head = f"cast(n{{0}} - ceil({percent} * n{{0}} / 100) + 1 as int)"
-    a, b = head.format("a"), head.format("b")
-    both = both.where(F.expr(f"arrays_overlap(slice(ta, 1, {a}), slice(tb, 1, {b})) and arrays_overlap(slice(ta, -{a}, {a}), slice(tb, -{b}, {b}))"))
+def _linked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
+    """The pairs (a, b) that are linked, as a stored table: those that pass the filters, verified."""
+    both = pairs.join(heads.toDF("a", "na", "a2", "a3"), "a").join(heads.toDF("b", "nb", "b2", "b3"), "b")
+    near = both.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and arrays_overlap(a2, b2) and arrays_overlap(a3, b3)")).select("a", "b", "na", "nb")
+    near = stored(near, "near")
+    met = stored(near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct(), "met")
+    sets = _met_sets(docs, broadcast_if_small(met, met.count(), SMALL), shingle_words)
+    both = near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return stored(both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
 
 
 def one_per_group(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
