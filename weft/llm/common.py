@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer text is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 #: Stands for a null doc_id where a key is needed; it sorts first, as nulls do.
 NULL_ID = -(1 << 63)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, distinct_by_row, lists, mix, shingles, slices, stored, words_of
+from .common import NULL_ID, broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, stored, words_of
 from .components import components
 
 #: Shingles in a block, and how many of its sets hold a shingle that order 1 puts last.
@@ -130,31 +130,31 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(heads, pa.int64()), lists(tails, pa.int64()), _shorts(second), _shorts(third)], ["doc_id", "set_id", "n", "rare", "often", "second", "third"])
 
     nodes = stored(docs.mapInArrow(prefixes, "doc_id long, set_id long, n long, rare array<long>, often array<long>, second array<short>, third array<short>"), "prefixes")
-    rare = nodes.select(F.explode("rare").alias("token"), "set_id", "n")
-    often = nodes.select(F.explode("often").alias("token"), "set_id", "n")
+    rare = nodes.select(F.explode("rare").alias("token"), "set_id")
+    often = nodes.select(F.explode("often").alias("token"), "set_id")
     # few sets meet in the bucket of a rare shingle: one shuffle and a sort; the others are aggregated before they are shuffled
     bucket = Window.partitionBy("token")
-    rare = rare.select("token", "set_id", "n", F.min("set_id").over(bucket).alias("hub"), F.max("set_id").over(bucket).alias("top"))
+    rare = rare.select("token", "set_id", F.min("set_id").over(bucket).alias("hub"), F.max("set_id").over(bucket).alias("top"))
     meet = often.groupBy("token").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub <> top")
-    often = often.join(meet, "token").select("token", "set_id", "n", "hub", "top")
-    buckets = stored(rare.union(often).where("hub <> top").select("token", "set_id", "n", "hub").distinct(), "buckets")
+    often = often.join(meet, "token").select("token", "set_id", "hub", "top")
+    buckets = stored(rare.union(often).where("hub <> top").select("token", "set_id", "hub").distinct(), "buckets")
 
     met = stored(buckets.select("set_id").distinct(), "met")
-    heads = nodes.where("size(second) > 0").select("set_id", "n", "second", "third")
+    heads = nodes.where("size(second) > 0").select("set_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), "n", "second", "third")
     heads = stored(heads.join(broadcast_if_small(met, met.count(), SMALL), "set_id", "left_semi").dropDuplicates(["set_id"]), "heads")
     hubs = buckets.where("hub <> set_id").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
     links = _linked(hubs, heads, docs, percent, shingle_words)
     groups = stored(components(links), "groups")
 
-    # sets of one bucket in different components; their components are paired first, a few for each bucket
-    placed = buckets.join(groups, buckets.set_id == groups.node, "left").select("token", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+    # sets of one bucket in different components that were not compared; their components are paired first, a few for each bucket
+    placed = buckets.join(heads.select("set_id", "n"), "set_id").join(groups, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     placed = stored(placed.join(split, "token"), "placed")
     of = placed.select("token", "component").distinct()
     across = of.alias("x").join(of.alias("y"), F.expr("x.token = y.token and x.component < y.component")).select("x.token", F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
     first = placed.select("token", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"))
     second = placed.select("token", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    rest = across.join(first, ["token", "ca"]).join(second, ["token", "cb"]).where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b").distinct()
+    rest = across.join(first, ["token", "ca"]).join(second, ["token", "cb"]).where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
     groups = components(links.union(_linked(rest, heads, docs, percent, shingle_words)))
 
     named = nodes.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
@@ -165,37 +165,30 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
 
 
 def _met_sets(docs: DataFrame, met: DataFrame, shingle_words: int) -> DataFrame:
-    """set_id and the shingles of the sets in met, as a stored table."""
+    """set_id and the shingles of the sets in met(set_id, _k), each from the documents with the id _k (rows that repeat an id give equal rows)."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                ids, parts = [], []
-                for s in _sets(part, shingle_words):
-                    i = _set_id(s)
-                    if i and i not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(i)
-                        ids.append(i)
-                        parts.append(s)
-                if ids:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), lists(parts, pa.int64())], ["set_id", "tokens"])
+                sets = _sets(part, shingle_words)
+                yield pa.record_batch([part.column("_k"), pa.array(map(_set_id, sets), pa.int64()), lists(sets, pa.int64())], ["_k", "set_id", "tokens"])
 
-    sets = docs.select("text").mapInArrow(whole, "set_id long, tokens array<long>").join(met, "set_id", "left_semi")
-    return stored(sets.dropDuplicates(["set_id"]), "sets")
+    sets = docs.select(row_key()["_k"].alias("_k"), "text").mapInArrow(whole, "_k long, set_id long, tokens array<long>")
+    return sets.join(met, ["set_id", "_k"], "left_semi").select("set_id", "tokens")
 
 
 def _linked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
     """The pairs (a, b) that are linked, as a stored table: those that pass the filters, verified."""
-    both = pairs.join(heads.toDF("a", "na", "a2", "a3"), "a").join(heads.toDF("b", "nb", "b2", "b3"), "b")
+    of = heads.select("set_id", "n", "second", "third")
+    both = pairs.join(of.toDF("a", "na", "a2", "a3"), "a").join(of.toDF("b", "nb", "b2", "b3"), "b")
     near = both.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and arrays_overlap(a2, b2) and arrays_overlap(a3, b3)")).select("a", "b", "na", "nb")
     near = stored(near, "near")
-    met = stored(near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct(), "met")
+    met = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
+    met = stored(met.join(heads.select("set_id", "_k"), "set_id"), "met")
     sets = _met_sets(docs, broadcast_if_small(met, met.count(), SMALL), shingle_words)
     both = near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    return stored(both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+    return stored(both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
 
 
 def one_per_group(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:

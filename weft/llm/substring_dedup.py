@@ -10,6 +10,9 @@ starts in a document with a smaller doc_id go. Two passes over the texts:
 2. Windows whose estimated count is two or more, and no others, are grouped exactly, by a
    128-bit hash. Estimates are never too low, so no repeated window is lost.
 
+Later copies of whole texts are found first, by a 128-bit hash of the text. They lose all their words if there is a window in them, and
+need no part in the passes, since the first copy has the same windows.
+
 The sketch's width follows the words of the input up to WIDEST cells a row. What is
 broadcast is one bit a cell, so 64 MB at most; beyond it estimates only get higher, which sends
 more windows to the exact grouping and changes no result.
@@ -22,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,10 +91,16 @@ def _sketch(docs: DataFrame, size: int, width: int) -> np.ndarray:
     return merged
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """_k, _t (the row's key) of the documents whose whole text a document with a smaller doc_id has too, as a stored table."""
+    rows = docs.where("text is not null").select(*(c.alias(k) for k, c in row_key().items()), F.xxhash64(F.lit(1), "text").alias("_u"))
+    low = rows.groupBy("_t", "_u").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high")
+    return stored(rows.join(low, ["_t", "_u"]).where("_k > low").select("_k", "_t").distinct(), "copies")
+
+
 def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
-    """docs(doc_id, text) to _k, _t (the row's key) and spans: the word ranges [start, end) to remove, in order."""
+    """docs(_k, _t, text) to _k, _t (the row's key) and spans: the word ranges [start, end) to remove, in order."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = NARROWEST
     while width < WIDEST and width < n // 8:  # about six cells for a minimizer, at six bytes a word
@@ -117,7 +125,7 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
                 columns = [windows(words.hash, size, 0)[at].view(np.int64), windows(words.hash, size, 1)[at].view(np.int64), ids, texts, (at - words.first[row]).astype(np.int32)]
                 yield pa.record_batch([pa.array(c) for c in columns], ["h1", "h2", "_k", "_t", "pos"])
 
-    found = stored(docs.select("text", *(c.alias(k) for k, c in row_key().items())).mapInArrow(suspected, "h1 long, h2 long, _k long, _t long, pos int"), "windows")
+    found = stored(docs.select("text", "_k", "_t").mapInArrow(suspected, "h1 long, h2 long, _k long, _t long, pos int"), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high").drop("high")
     later = found.join(first, ["h1", "h2"]).where("_k > low").groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # positions of one document, at most its words; neighbours become one range
@@ -143,22 +151,29 @@ def dedup_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
     counts as the smallest. Windows are judged on the input, not on what is left. An empty table gives an empty
     result. Columns besides doc_id and text play no part.
     """
-    spans = stored(repeated_spans(docs, size), "spans")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.withColumns(row_key())
+    copies = later_copies(docs.select("doc_id", "text"))
+    copies = broadcast_if_small(copies, copies.count(), SMALL)
+    spans = stored(repeated_spans(docs.join(copies, ["_k", "_t"], "left_anti"), size), "spans")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 count, removed, texts, digests = [], [], [], []
-                for text, gone in zip(pc.cast(part.column("text"), pa.binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    words = (text or b"").split()
+                spans = []
+                for text, gone, copy in zip(*(part.column(c).to_pylist() for c in ("text", "spans", "copy")), strict=True):
+                    words = (text or "").encode().split()
                     count.append(len(words))
+                    if copy and len(words) >= size:
+                        gone = [[0, len(words)]]
+                    spans.append(gone)
                     for a, b in reversed(gone or ()):
                         del words[a:b]
                     removed.append(count[-1] - len(words))
                     texts.append(kept := b" ".join(words))
                     digests.append(hashlib.sha256(kept).hexdigest())
-                yield pa.record_batch([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests), part.column("spans")], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"])
+                yield pa.record_batch([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"])
 
-    docs = docs.select(F.col("doc_id").cast("long"), "text", *(c.alias(k) for k, c in row_key().items()))
-    joined = docs.join(broadcast_if_small(spans, spans.count(), SMALL), ["_k", "_t"], "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
+    joined = docs.join(broadcast_if_small(spans, spans.count(), SMALL), ["_k", "_t"], "left").join(copies.withColumn("copy", F.lit(True)), ["_k", "_t"], "left")
+    return joined.select("doc_id", "text", "spans", "copy").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
