@@ -4,17 +4,18 @@ Documents are sets of distinct five-word shingles. Under any global order of the
 two sets with a Jaccard similarity of at least t share a shingle among the first
 n - ceil(t n) + 1 of each (the prefix). Three orders are used:
 
-* order 1: shingles that are frequent within some block of input last, then by hash;
+* order 1: shingles that several sets hold last, then by hash;
 * order 2: by a second hash, ascending; order 3: by the same, descending.
 
 Order 1 makes the candidates: sets meet in the bucket of each shingle of their prefix. Pairs
 whose sizes are too different, or whose prefixes of order 2 or of order 3 have nothing in common, go before the
 verification, which counts the exact intersection. The prefixes of orders 2 and 3 travel as 16 bits
 of each hash: what is equal stays equal, so the filter loses nothing. Which shingles count as frequent only shapes the order,
-so it costs speed and never a link; that is why their table may be bounded.
+so it costs speed and never a link; that is why their table may be bounded, and why only shingles of the lower
+part of the hash order are counted, where prefixes lie.
 
-Buckets are not expanded into pairs at once. First each bucket's smallest set is compared with
-the others and the links give components; then only sets of one bucket that are in different
+Buckets are not expanded into pairs at once. First each set is compared with the least and the greatest of the
+smallest sets of its buckets, and the links give components; then only sets of one bucket that are in different
 components are paired. Links within a component would not change it, so components are exact.
 """
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, stored, words_of
 from .components import components
 
-#: Shingles in a block, and how many of its sets hold a shingle that order 1 puts last.
-BLOCK, OFTEN = 4_000_000, 2
+#: Shingles counted at once in a task, how many sets hold a shingle that order 1 puts last, and the part of the hash order that is counted.
+BLOCK, OFTEN, COUNTED = 4_000_000, 6, np.uint64(int(0.3 * 2**64))
 #: Most frequent shingles that the order knows of (8 bytes each in a broadcast).
 FREQUENT = 1 << 20
 #: Rows of a broadcast side (8 bytes each); larger sides are shuffled.
@@ -56,7 +57,7 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def _frequent(docs: DataFrame, shingle_words: int) -> np.ndarray:
-    """Shingles held by OFTEN sets of a block of BLOCK shingles, at most FREQUENT of them; sorted."""
+    """Shingles of the lower part of the hash order that OFTEN sets hold, at most FREQUENT of them; sorted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -64,22 +65,22 @@ def _frequent(docs: DataFrame, shingle_words: int) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= OFTEN
-            return pa.record_batch([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+            return pa.record_batch([pa.array(token.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
 
         for batch in batches:
             for part in slices(batch):
                 unique = {_set_id(s): s for s in _sets(part, shingle_words)}
-                held += unique.values()
-                size += sum(map(len, unique.values()))
+                low = [u[: np.searchsorted(u, COUNTED)] for u in unique.values()]
+                held += low
+                size += sum(map(len, low))
                 if size >= BLOCK:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(count, "token long, n long")
-    rows = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
+    found = docs.select("text").mapInArrow(count, "token long, n int")
+    rows = found.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -142,7 +143,8 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     met = stored(buckets.select("set_id").distinct(), "met")
     heads = nodes.where("size(second) > 0").select("set_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), "n", "second", "third")
     heads = stored(heads.join(broadcast_if_small(met, met.count(), SMALL), "set_id", "left_semi").dropDuplicates(["set_id"]), "heads")
-    hubs = buckets.where("hub <> set_id").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    ends = buckets.where("hub <> set_id").groupBy("set_id").agg(F.min("hub").alias("x"), F.max("hub").alias("y"))
+    hubs = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("set_id").alias("b"))
     links = _linked(hubs, heads, docs, percent, shingle_words)
     groups = stored(components(links), "groups")
 
