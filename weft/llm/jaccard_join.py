@@ -2,17 +2,18 @@
 
 Documents are sets of distinct five-word shingles. Under any global order of the shingles,
 two sets with a Jaccard similarity of at least t share a shingle among the first
-n - ceil(t n) + 1 of each (the prefix). Three orders are used:
+n - ceil(t n) + 1 of each (the prefix). Several orders are used, one after the other:
 
-* order 1: shingles that several sets hold last, then by hash;
-* order 2: by a second hash, ascending; order 3: by the same, descending.
+* order 1: shingles of the lower part of the hash order first, the rarest of all first. A set whose prefix
+  holds only shingles that no other set holds is linked with nothing; most sets end here, so only
+  a part of the postings of all sets is ever shuffled;
+* order 2: over the sets that are left, the rarest shingles first. It makes the candidates: sets meet in the
+  bucket of each shingle of their prefix, if the places of the shingle in both leave enough shingles to share;
+* orders 3 and 4: by another hash, ascending and descending. Candidates whose prefixes have nothing in common go.
+  These prefixes travel as 16 bits of each hash: what is equal stays equal, so the filter loses nothing.
 
-Order 1 makes the candidates: sets meet in the bucket of each shingle of their prefix. Pairs
-whose sizes are too different, or whose prefixes of order 2 or of order 3 have nothing in common, go before the
-verification, which counts the exact intersection. The prefixes of orders 2 and 3 travel as 16 bits
-of each hash: what is equal stays equal, so the filter loses nothing. Which shingles count as frequent only shapes the order,
-so it costs speed and never a link; that is why their table may be bounded, and why only shingles of the lower
-part of the hash order are counted, where prefixes lie.
+What is left is verified by the exact intersection. In orders 1 and 2 very frequent shingles come after
+all others, by hash. Their table may be bounded, since it only shapes the orders: it costs speed and never a link.
 
 Buckets are not expanded into pairs at once. First each set is compared with the least and the greatest of the
 smallest sets of its buckets, and the links give components; then only sets of one bucket that are in different
@@ -25,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, stored, words_of
+from .common import broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, stored, words_of
 from .components import components
 
-#: Shingles counted at once in a task, how many sets hold a shingle that order 1 puts last, and the part of the hash order that is counted.
-BLOCK, OFTEN, COUNTED = 4_000_000, 6, np.uint64(int(0.3 * 2**64))
+#: Shingles counted at once in a task, the count from which order 1 and 2 put a shingle last, and the part of the hash order that comes first in order 1.
+BLOCK, OFTEN, FIRST = 4_000_000, 32, np.uint64(int(0.3 * 2**64))
 #: Most frequent shingles that the order knows of (8 bytes each in a broadcast).
 FREQUENT = 1 << 20
 #: Rows of a broadcast side (8 bytes each); larger sides are shuffled.
@@ -57,7 +58,10 @@ def _set_id(tokens: np.ndarray) -> int:
 
 
 def _frequent(docs: DataFrame, shingle_words: int) -> np.ndarray:
-    """Shingles of the lower part of the hash order that OFTEN sets hold, at most FREQUENT of them; sorted."""
+    """The most frequent shingles, at most FREQUENT; sorted.
+
+    Counted in blocks of all texts; a shingle that occurs once in a block does not count there, so that few rows move.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -65,14 +69,14 @@ def _frequent(docs: DataFrame, shingle_words: int) -> np.ndarray:
 
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(token.view(np.int64)), pa.array(n.astype(np.int32))], ["token", "n"])
+            again = n > 1
+            return pa.record_batch([pa.array(token[again].view(np.int64)), pa.array(n[again].astype(np.int32))], ["token", "n"])
 
         for batch in batches:
             for part in slices(batch):
                 unique = {_set_id(s): s for s in _sets(part, shingle_words)}
-                low = [u[: np.searchsorted(u, COUNTED)] for u in unique.values()]
-                held += low
-                size += sum(map(len, low))
+                held += unique.values()
+                size += sum(map(len, unique.values()))
                 if size >= BLOCK:
                     yield flush()
                     held, size = [], 0
@@ -84,6 +88,10 @@ def _frequent(docs: DataFrame, shingle_words: int) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _is_in(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s if len(table) else np.zeros(len(s), bool)
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -103,61 +111,75 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     docs = docs.select("doc_id", "text")
     frequent = spark.sparkContext.broadcast(_frequent(docs, shingle_words))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = frequent.value
+    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document; rare: the shingles that come first in order 1, once a task for each set."""
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch):
-                ids, sizes, heads, tails, second, third = [], [], [], [], [], []
+                ids, sizes, heads = [], [], []
                 for s in _sets(part, shingle_words):
                     ids.append(i := _set_id(s))
                     sizes.append(len(s))
-                    if not i or i in seen:
-                        for c in (heads, tails, second, third):
-                            c.append(s[:0])
-                        continue
-                    if len(seen) < 1_000_000:
+                    head = s[: 0 if i in seen else np.searchsorted(s, FIRST)]
+                    heads.append(head[~_is_in(head, frequent.value)])
+                    if i and len(seen) < 1_000_000:
                         seen.add(i)
-                    at = np.searchsorted(last, s)
-                    often = last[np.minimum(at, len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
-                    p = _prefix_length(len(s), percent)
-                    # s is sorted by its hash, which is order 1 but for the frequent ones
-                    rare = s[~often][:p]
-                    heads.append(rare)
-                    tails.append(s[often][: p - len(rare)])
-                    other = np.sort(mix(s * _SECOND))
-                    second.append(np.unique(other[:p] & _LOW))
-                    third.append(np.unique(other[-p:] & _LOW))
-                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(heads, pa.int64()), lists(tails, pa.int64()), _shorts(second), _shorts(third)], ["doc_id", "set_id", "n", "rare", "often", "second", "third"])
-
-    nodes = stored(docs.mapInArrow(prefixes, "doc_id long, set_id long, n long, rare array<long>, often array<long>, second array<short>, third array<short>"), "prefixes")
-    rare = nodes.select(F.explode("rare").alias("token"), "set_id")
-    often = nodes.select(F.explode("often").alias("token"), "set_id")
-    # few sets meet in the bucket of a rare shingle: one shuffle and a sort; the others are aggregated before they are shuffled
-    bucket = Window.partitionBy("token")
-    rare = rare.select("token", "set_id", F.min("set_id").over(bucket).alias("hub"), F.max("set_id").over(bucket).alias("top"))
-    meet = often.groupBy("token").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub <> top")
-    often = often.join(meet, "token").select("token", "set_id", "hub", "top")
-    buckets = stored(rare.union(often).where("hub <> top").select("token", "set_id", "hub").distinct(), "buckets")
-
-    met = stored(buckets.select("set_id").distinct(), "met")
-    heads = nodes.where("size(second) > 0").select("set_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_k"), "n", "second", "third")
-    heads = stored(heads.join(broadcast_if_small(met, met.count(), SMALL), "set_id", "left_semi").dropDuplicates(["set_id"]), "heads")
+                yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(heads, pa.int64())], ["doc_id", "set_id", "n", "rare"])
+
+    nodes = stored(docs.mapInArrow(lower, "doc_id long, set_id long, n long, rare array<long>"), "nodes")
+    # rare is empty where a task had the set before, hence the greatest
+    each = nodes.where("set_id <> 0").groupBy("set_id").agg(F.min(row_key()["_k"]).alias("_k"), F.max("n").alias("n"), F.max(F.size("rare")).alias("plain"))
+    held = _held_by_several(nodes.select(F.explode("rare").alias("token"), "set_id")).groupBy("set_id").agg(F.count("*").alias("several"))
+    left = each.join(held, "set_id", "left").where(F.col("plain") - F.coalesce("several", F.lit(0)) < _prefix("n", percent))
+    left = stored(left.select("_k").distinct(), "left")
+    some = docs.withColumn("_k", row_key()["_k"]).join(broadcast_if_small(left, left.count(), SMALL), "_k", "left_semi")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets with their shingles, the frequent ones last; plain: how many are not."""
+        seen: set[int] = set()
+        for batch in batches:
+            for part in slices(batch):
+                rows = []
+                for s in _sets(part, shingle_words):
+                    i = _set_id(s)
+                    if i and i not in seen:
+                        if len(seen) < 1_000_000:
+                            seen.add(i)
+                        often, p, other = _is_in(s, frequent.value), _prefix_length(len(s), percent), np.sort(mix(s * _SECOND))
+                        rows.append((i, len(s), int((~often).sum()), np.concatenate([s[~often], s[often]]), np.unique(other[:p] & _LOW), np.unique(other[-p:] & _LOW)))
+                ids, sizes, plain, tokens, third, fourth = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [], [])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(plain, pa.int32()), lists(tokens, pa.int64()), _shorts(third), _shorts(fourth)], ["set_id", "n", "plain", "tokens", "third", "fourth"])
+
+    sets = stored(some.select("text").mapInArrow(whole, "set_id long, n long, plain int, tokens array<long>, third array<short>, fourth array<short>"), "sets")
+    sizes = sets.select("set_id", "n", "plain").dropDuplicates(["set_id"])
+    of_set = Window.partitionBy("set_id")
+    rare = _held_by_several(sets.select(F.explode(F.slice("tokens", F.lit(1), F.col("plain"))).alias("token"), "set_id")).join(sizes, "set_id")
+    rare = rare.select("token", "set_id", "n", (F.col("plain") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("several", "token"))).alias("at")).where(F.col("at") <= _prefix("n", percent))
+    often = sets.where(F.col("plain") < _prefix("n", percent)).select("set_id", "n", "plain", F.posexplode(F.slice("tokens", F.col("plain") + 1, (_prefix("n", percent) - F.col("plain")).cast("int"))).alias("pos", "token"))
+    often = often.select("token", "set_id", "n", (F.col("plain") + F.col("pos") + 1).alias("at")).dropDuplicates(["token", "set_id"])
+    postings = stored(rare.union(often), "postings")
+    meet = postings.groupBy("token").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub <> top")
+    buckets = stored(postings.join(meet, "token").select("token", "set_id", "n", "at", "hub"), "buckets")
+
     ends = buckets.where("hub <> set_id").groupBy("set_id").agg(F.min("hub").alias("x"), F.max("hub").alias("y"))
     hubs = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("set_id").alias("b"))
-    links = _linked(hubs, heads, docs, percent, shingle_words)
+    links = _linked(hubs, sets, percent)
     groups = stored(components(links), "groups")
 
     # sets of one bucket in different components that were not compared; their components are paired first, a few for each bucket
-    placed = buckets.join(heads.select("set_id", "n"), "set_id").join(groups, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+    placed = buckets.join(groups, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "n", "at", F.coalesce("component", "set_id").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     placed = stored(placed.join(split, "token"), "placed")
     of = placed.select("token", "component").distinct()
+    # a shingle that is the first in common has places that leave enough after it, in both sets
     across = of.alias("x").join(of.alias("y"), F.expr("x.token = y.token and x.component < y.component")).select("x.token", F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
-    first = placed.select("token", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"))
-    second = placed.select("token", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"))
-    rest = across.join(first, ["token", "ca"]).join(second, ["token", "cb"]).where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
-    groups = components(links.union(_linked(rest, heads, docs, percent, shingle_words)))
+    first = placed.select("token", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    second = placed.select("token", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    enough = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * (1 + least(na - ia, nb - ib)) >= {percent} * (na + nb)")
+    met = across.join(first, ["token", "ca"]).alias("f").join(second.alias("s"), (F.col("f.token") == F.col("s.token")) & (F.col("f.cb") == F.col("s.cb")) & enough)
+    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = rest.join(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    groups = components(links.union(_linked(rest, sets, percent)))
 
     named = nodes.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
     alone = named.where("set_id = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_id")
@@ -166,29 +188,27 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     return named.join(least, "component").select("doc_id", "n_shingles", "component_id", "set_id").union(alone)
 
 
-def _met_sets(docs: DataFrame, met: DataFrame, shingle_words: int) -> DataFrame:
-    """set_id and the shingles of the sets in met(set_id, _k), each from the documents with the id _k (rows that repeat an id give equal rows)."""
+def _prefix(n: str, percent: int) -> Column:
+    """_prefix_length of a column."""
+    return F.expr(f"{n} - ({percent} * {n} + 99) div 100 + 1")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                sets = _sets(part, shingle_words)
-                yield pa.record_batch([part.column("_k"), pa.array(map(_set_id, sets), pa.int64()), lists(sets, pa.int64())], ["_k", "set_id", "tokens"])
 
-    sets = docs.select(row_key()["_k"].alias("_k"), "text").mapInArrow(whole, "_k long, set_id long, tokens array<long>")
-    return sets.join(met, ["set_id", "_k"], "left_semi").select("set_id", "tokens")
+def _held_by_several(postings: DataFrame) -> DataFrame:
+    """The different rows of postings(token, set_id) whose token several sets hold, and how many: token, set_id, several."""
+    by_token = Window.partitionBy("token")
+    new = F.coalesce(F.lag("set_id").over(by_token.orderBy("set_id")) != F.col("set_id"), F.lit(True))
+    marked = postings.withColumn("new", new.cast("int")).withColumn("several", F.sum("new").over(by_token))
+    return marked.where("new = 1 and several > 1").select("token", "set_id", "several")
 
 
-def _linked(pairs: DataFrame, heads: DataFrame, docs: DataFrame, percent: int, shingle_words: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, as a stored table: those that pass the filters, verified."""
-    of = heads.select("set_id", "n", "second", "third")
-    both = pairs.join(of.toDF("a", "na", "a2", "a3"), "a").join(of.toDF("b", "nb", "b2", "b3"), "b")
-    near = both.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and arrays_overlap(a2, b2) and arrays_overlap(a3, b3)")).select("a", "b", "na", "nb")
+    of = sets.select("set_id", "n", "third", "fourth").dropDuplicates(["set_id"])
+    both = pairs.join(of.toDF("a", "na", "a3", "a4"), "a").join(of.toDF("b", "nb", "b3", "b4"), "b")
+    near = both.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and arrays_overlap(a3, b3) and arrays_overlap(a4, b4)")).select("a", "b", "na", "nb")
     near = stored(near, "near")
-    met = near.select(F.col("a").alias("set_id")).union(near.select("b")).distinct()
-    met = stored(met.join(heads.select("set_id", "_k"), "set_id"), "met")
-    sets = _met_sets(docs, broadcast_if_small(met, met.count(), SMALL), shingle_words)
-    both = near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    of = sets.select("set_id", "tokens")
+    both = near.join(of.toDF("a", "ta"), "a").join(of.toDF("b", "tb"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return stored(both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
 
