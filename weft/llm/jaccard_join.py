@@ -15,8 +15,8 @@ n - ceil(t n) + 1 of each (the prefix). Several orders are used, one after the o
 What is left is verified by the exact intersection. In orders 1 and 2 very frequent shingles come after
 all others, by hash. Their table may be bounded, since it only shapes the orders: it costs speed and never a link.
 
-Buckets are not expanded into pairs at once. First each set is compared with the least and the greatest of the
-smallest sets of its buckets, and the links give components; then only sets of one bucket that are in different
+Buckets are not expanded into pairs at once. First each set is compared with one or two hubs of its buckets, the
+sets with the fewest shingles of their own, and the links give components; then only sets of one bucket that are in different
 components are paired. Links within a component would not change it, so components are exact.
 """
 
@@ -158,10 +158,11 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     often = sets.where(F.col("plain") < _prefix("n", percent)).select("set_id", "n", "plain", F.posexplode(F.slice("tokens", F.col("plain") + 1, (_prefix("n", percent) - F.col("plain")).cast("int"))).alias("pos", "token"))
     often = often.select("token", "set_id", "n", (F.col("plain") + F.col("pos") + 1).alias("at")).dropDuplicates(["token", "set_id"])
     postings = stored(rare.union(often), "postings")
-    meet = postings.groupBy("token").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("top")).where("hub <> top")
-    buckets = stored(postings.join(meet, "token").select("token", "set_id", "n", "at", "hub"), "buckets")
+    # a bucket's hub is the set with the fewest shingles before the bucket's: it has few of its own, so most of a group are like it
+    meet = postings.groupBy("token").agg(F.min(F.struct("at", F.col("set_id").alias("hub"))).alias("mid"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
+    buckets = stored(postings.join(meet, "token").select("token", "set_id", "n", "at", "mid"), "buckets")
 
-    ends = buckets.where("hub <> set_id").groupBy("set_id").agg(F.min("hub").alias("x"), F.max("hub").alias("y"))
+    ends = buckets.where("mid.hub <> set_id").groupBy("set_id").agg(F.min("mid.hub").alias("x"), F.min("mid").getField("hub").alias("y"))
     hubs = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("set_id").alias("b"))
     links = _linked(hubs, sets, percent)
     groups = stored(components(links), "groups")
