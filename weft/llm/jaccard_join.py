@@ -171,13 +171,16 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     placed = buckets.join(groups, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "n", "at", F.coalesce("component", "set_id").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
     placed = stored(placed.join(split, "token"), "placed")
-    of = placed.select("token", "component").distinct()
-    # a shingle that is the first in common has places that leave enough after it, in both sets
-    across = of.alias("x").join(of.alias("y"), F.expr("x.token = y.token and x.component < y.component")).select("x.token", F.col("x.component").alias("ca"), F.col("y.component").alias("cb"))
+    # cells: the sets of one bucket, component, size and place; of two that can be linked, the smaller has the size of the other within its reach
+    cells = placed.select("token", "component", "n", "at").distinct().withColumn("reach", F.expr(f"least({100 + percent} * (1 + n - at) div {percent} - n, 100 * n div {percent})"))
+    x = cells.where("reach >= n").select("token", F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("reach").alias("ra"), F.explode(F.sequence(_size_class("n"), _size_class("reach"))).alias("class"))
+    y = cells.select("token", F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("reach").alias("rb"), _size_class("n").alias("class"))
+    fits = F.expr("x.ca <> y.cb and y.nb between x.na and x.ra and x.na <= y.rb and (x.na < y.nb or x.ca < y.cb)")
+    met = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & fits).select("x.token", "ca", "na", "ia", "cb", "nb", "ib")
+    met = stored(met, "met")
     first = placed.select("token", F.col("component").alias("ca"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
     second = placed.select("token", F.col("component").alias("cb"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    enough = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * (1 + least(na - ia, nb - ib)) >= {percent} * (na + nb)")
-    met = across.join(first, ["token", "ca"]).alias("f").join(second.alias("s"), (F.col("f.token") == F.col("s.token")) & (F.col("f.cb") == F.col("s.cb")) & enough)
+    met = met.join(first, ["token", "ca", "na", "ia"]).join(second, ["token", "cb", "nb", "ib"])
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     groups = components(links.union(_linked(rest, sets, percent)))
@@ -194,6 +197,11 @@ def _prefix(n: str, percent: int) -> Column:
     return F.expr(f"{n} - ({percent} * {n} + 99) div 100 + 1")
 
 
+def _size_class(n: str) -> Column:
+    """Sizes within a factor of 1.25, so that those within a set's reach are in its class or the next two."""
+    return F.floor(F.log(1.25, F.col(n).cast("double"))).cast("int")
+
+
 def _held_by_several(postings: DataFrame) -> DataFrame:
     """The different rows of postings(token, set_id) whose token several sets hold, and how many: token, set_id, several."""
     by_token = Window.partitionBy("token")
