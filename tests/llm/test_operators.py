@@ -199,7 +199,8 @@ def test_media():
     raw = np.array([[3, 10, 200, 7], [4, 1, 2, 3]], np.uint8)  # average and Paeth
     body = zlib.compress(raw.tobytes())
     f = media._MAGIC + media._chunk(b"IHDR", bytes([0, 0, 0, 3, 0, 0, 0, 2, 8, 0, 0, 0, 0])) + media._chunk(b"IDAT", body) + media._chunk(b"IEND", b"")
-    assert media.read_png(f).tolist() == [[10, 205, 109], [11, 207, 210]]
+    # the last: of left 207, above 109, corner 205, above is nearest to 207 + 109 - 205 = 111, so 3 + 109
+    assert media.read_png(f).tolist() == [[10, 205, 109], [11, 207, 112]]
 
 
 def test_media_rows(spark):
