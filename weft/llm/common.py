@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch where the session keeps Spark's default of 10,000: tasks hold few whole texts at once.
+BATCH_ROWS = 1000
 #: Stands for a null doc_id where a key is needed; it sorts first, as nulls do.
 NULL_ID = -(1 << 63)
 
@@ -50,6 +52,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on passes BATCH_ROWS rows at a time to Python, unless it has a number of its own."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are within the bound; beyond it, Spark shuffles."""
     return F.broadcast(df) if rows <= most else df
@@ -125,12 +135,12 @@ def words_of(text: pa.Array, lower: bool = False, table: np.ndarray | None = Non
     return Words(h, first, np.repeat(np.arange(n), np.diff(first)))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """batch in pieces of about SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """batch in pieces of about so many bytes of text."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(size) // SLICE_BYTES
+    part = np.cumsum(size) // most
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_by_row, mix, shingles, slices, words_of
+from .common import distinct_by_row, mix, shingles, slices, small_batches, words_of
 
 #: Minimum hashes of a block, and items that are broadcast at once.
 HASHES, ITEMS = 48, 20_000
@@ -107,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_w
                     if rows:
                         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "item_id", "n_shared", "n_item"])
 
-        found = docs.mapInArrow(search, "doc_id long, item_id long, n_shared long, n_item long")
+        found = docs.transform(small_batches).mapInArrow(search, "doc_id long, item_id long, n_shared long, n_item long")
         out = found if out is None else out.union(found)
     return out.distinct()
 

@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, stored, words_of
+from .common import broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, small_batches, stored, words_of
 from .components import components
 
 #: Shingles counted at once in a task, the count from which order 1 and 2 put a shingle last, and the part of the hash order that comes first in order 1.
-BLOCK, OFTEN, FIRST = 4_000_000, 32, np.uint64(int(0.3 * 2**64))
+BLOCK, OFTEN, FIRST = 1_000_000, 32, np.uint64(int(0.3 * 2**64))
 #: Most frequent shingles that the order knows of (8 bytes each in a broadcast).
 FREQUENT = 1 << 20
 #: Rows of a broadcast side (8 bytes each); larger sides are shuffled.
@@ -83,7 +83,7 @@ def _frequent(docs: DataFrame, shingle_words: int) -> np.ndarray:
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(count, "token long, n int")
+    found = docs.select("text").transform(small_batches).mapInArrow(count, "token long, n int")
     rows = found.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -126,7 +126,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
                         seen.add(i)
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists(heads, pa.int64())], ["doc_id", "set_id", "n", "rare"])
 
-    nodes = stored(docs.mapInArrow(lower, "doc_id long, set_id long, n long, rare array<long>"), "nodes")
+    nodes = stored(docs.transform(small_batches).mapInArrow(lower, "doc_id long, set_id long, n long, rare array<long>"), "nodes")
     # rare is empty where a task had the set before, hence the greatest
     each = nodes.where("set_id <> 0").groupBy("set_id").agg(F.min(row_key()["_k"]).alias("_k"), F.max("n").alias("n"), F.max(F.size("rare")).alias("plain"))
     held = _held_by_several(nodes.select(F.explode("rare").alias("token"), "set_id")).groupBy("set_id").agg(F.count("*").alias("several"))
@@ -150,7 +150,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
                 ids, sizes, plain, tokens, third, fourth = map(list, zip(*rows, strict=True)) if rows else ([], [], [], [], [], [])
                 yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(plain, pa.int32()), lists(tokens, pa.int64()), _shorts(third), _shorts(fourth)], ["set_id", "n", "plain", "tokens", "third", "fourth"])
 
-    sets = stored(some.select("text").mapInArrow(whole, "set_id long, n long, plain int, tokens array<long>, third array<short>, fourth array<short>"), "sets")
+    sets = stored(some.select("text").transform(small_batches).mapInArrow(whole, "set_id long, n long, plain int, tokens array<long>, third array<short>, fourth array<short>"), "sets")
     sizes = sets.select("set_id", "n", "plain").dropDuplicates(["set_id"])
     of_set = Window.partitionBy("set_id")
     rare = _held_by_several(sets.select(F.explode(F.slice("tokens", F.lit(1), F.col("plain"))).alias("token"), "set_id")).join(sizes, "set_id")

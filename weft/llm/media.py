@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import slices, small_batches, stored
 
 #: A payload is padded with bytes 255 to a positive multiple of UNIT, and laid out in rows of WIDTH samples.
 UNIT, WIDTH = 576, 24
@@ -116,7 +116,7 @@ def media_table(docs: DataFrame) -> DataFrame:
                 files = [write_png(np.frombuffer(payload_of(t or b""), np.uint8).reshape(-1, WIDTH)) for t in texts]
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media")
+    return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(small_batches).mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -143,4 +143,4 @@ def media_features(docs: DataFrame) -> DataFrame:
                 stored_size = [len(f.as_buffer()) for f in part.column("media")]
                 yield pa.record_batch([part.column("doc_id"), part.column("n_bytes"), pa.array(size, pa.int64()), pa.array(digest), pa.array(tail, pa.int64()), pa.array(stored_size, pa.int64()), pa.array(own), pa.array(feature)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media_table(docs).mapInArrow(decode, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media_table(docs).transform(small_batches).mapInArrow(decode, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, slices, stored
+from .common import broadcast_if_small, slices, small_batches, stored
 from .url_filter import host_of, path_of
 
 # Elements that part lines nowhere, elements without text, elements without content, frame elements,
@@ -222,9 +222,9 @@ def extracted(pages: DataFrame) -> DataFrame:
                 yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     # articles stay where they are: what travels is the lines outside them, and the positions to delete on pages without one
-    lines = stored(pages.select("_id", "url", "html").mapInArrow(frames, "_id long, url string, keys array<string>, at array<int>").dropDuplicates(["_id"]), "frames")
+    lines = stored(pages.select("_id", "url", "html").transform(small_batches).mapInArrow(frames, "_id long, url string, keys array<string>, at array<int>").dropDuplicates(["_id"]), "frames")
     others = nearest(lines.select("_id", "url")).where("other is not null")
     paired = lines.join(others, "_id").join(lines.select(F.col("_id").alias("other"), F.col("keys").alias("other_keys")), "other")
-    gone = stored(paired.select("_id", "keys", "at", "other_keys").mapInArrow(differ, "_id long, gone array<int>").where("size(gone) > 0"), "gone")
+    gone = stored(paired.select("_id", "keys", "at", "other_keys").transform(small_batches).mapInArrow(differ, "_id long, gone array<int>").where("size(gone) > 0"), "gone")
     pages = pages.join(broadcast_if_small(gone, gone.count(), SMALL), "_id", "left")
-    return pages.select("page_id", "url", "html", "gone").mapInArrow(text, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html", "gone").transform(small_batches).mapInArrow(text, "page_id long, url string, text string, n_chars long")

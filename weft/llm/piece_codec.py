@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lists, slices
+from .common import lists, slices, small_batches
 
-#: Characters that are indexed at once, segments whose pieces a worker remembers, and pairs.
-INDEX_CHARS, REMEMBERED, PAIRS = 1 << 19, 200_000, 2_000_000
+#: Characters that are indexed at once, segments whose pieces a worker remembers, pairs, and bytes of text of a slice.
+INDEX_CHARS, REMEMBERED, PAIRS, SLICE = 1 << 18, 200_000, 1_000_000, 2 << 20
 _START, _NONE = -2, -3
 
 
@@ -271,8 +271,8 @@ def pieces(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file or default_model())
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 ids = own.encode(part.column("text").to_pylist())
                 yield pa.record_batch([part.column("doc_id"), pa.array([len(i) for i in ids], pa.int64()), lists(ids, pa.int32()), pa.array([own.decode(i) for i in ids], pa.string())], ["doc_id", "n_pieces", "piece_ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_pieces long, piece_ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(small_batches).mapInArrow(encode, "doc_id long, n_pieces long, piece_ids array<int>, decoded string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, broadcast_if_small, mix, row_key, slices, stored, windows, words_of
+from .common import Words, broadcast_if_small, mix, row_key, slices, small_batches, stored, windows, words_of
 
 #: Least and most cells of a row of the sketch; powers of two. A broadcast has two bits for each.
 NARROWEST, WIDEST = 1 << 20, 1 << 28
@@ -83,7 +83,7 @@ def _sketch(docs: DataFrame, size: int, width: int) -> np.ndarray:
         flags[table.column("at").to_numpy()] = True
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    cells = docs.select("text").mapInArrow(sketch, "cell long, n byte").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
+    cells = docs.select("text").transform(small_batches).mapInArrow(sketch, "cell long, n byte").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
     packed = cells.select(F.expr(f"cell div {CHUNK}").alias("chunk"), F.expr(f"cast(cell % {CHUNK} as int)").alias("at")).groupBy("chunk").applyInArrow(bits, "chunk long, bits binary")
     merged = np.zeros(2 * width // 8, np.uint8)
     for r in packed.toLocalIterator():
@@ -125,7 +125,7 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
                 columns = [windows(words.hash, size, 0)[at].view(np.int64), windows(words.hash, size, 1)[at].view(np.int64), ids, texts, (at - words.first[row]).astype(np.int32)]
                 yield pa.record_batch([pa.array(c) for c in columns], ["h1", "h2", "_k", "_t", "pos"])
 
-    found = stored(docs.select("text", "_k", "_t").mapInArrow(suspected, "h1 long, h2 long, _k long, _t long, pos int"), "windows")
+    found = stored(docs.select("text", "_k", "_t").transform(small_batches).mapInArrow(suspected, "h1 long, h2 long, _k long, _t long, pos int"), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high").drop("high")
     later = found.join(first, ["h1", "h2"]).where("_k > low").groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # positions of one document, at most its words; neighbours become one range
@@ -139,7 +139,7 @@ def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
                 spans.append(np.stack([at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + size], 1).tolist())
             yield pa.record_batch([batch.column("_k"), batch.column("_t"), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["_k", "_t", "spans"])
 
-    return later.mapInArrow(ranges, "_k long, _t long, spans array<array<int>>")
+    return later.transform(small_batches).mapInArrow(ranges, "_k long, _t long, spans array<array<int>>")
 
 
 def dedup_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
@@ -176,4 +176,4 @@ def dedup_substrings(docs: DataFrame, size: int = 50) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests), pa.array(spans, pa.list_(pa.list_(pa.int32())))], ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "spans"])
 
     joined = docs.join(broadcast_if_small(spans, spans.count(), SMALL), ["_k", "_t"], "left").join(copies.withColumn("copy", F.lit(True)), ["_k", "_t"], "left")
-    return joined.select("doc_id", "text", "spans", "copy").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")
+    return joined.select("doc_id", "text", "spans", "copy").transform(small_batches).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string, spans array<array<int>>")

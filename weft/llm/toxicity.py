@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASES, _BYTE, _SPACE, _power, lists, mix, slices
+from .common import _BASES, _BYTE, _SPACE, _power, lists, mix, slices, small_batches
 
 #: Bounds of the fit: labelled rows, features.
 FIT_ROWS, FEATURES = 20_000, 2_000
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, ridge: float
     empty = Model(np.empty(0, np.uint64), np.empty(0), float(np.log(prior / (1 - prior))))
     if not bad or bad == n:
         return empty
-    counts = rows.select("text", "toxic").mapInArrow(count, "token long, n long, bad long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= LEAST_ROWS)
+    counts = rows.select("text", "toxic").transform(small_batches).mapInArrow(count, "token long, n long, bad long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).where(F.col("n") >= LEAST_ROWS)
     # distance of the feature's toxic rows from those expected, in standard deviations
     rate = bad / n
     strength = F.abs(F.col("bad") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, ridge: float
                 yield pa.record_batch([part.column("toxic"), lists([at[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.int64()), pa.array(others, pa.list_(pa.list_(pa.int64())))], ["toxic", "hits", "others"])
 
     # the order of the rows sums up floats, so it is fixed
-    table = rows.mapInArrow(hits, "toxic int, hits array<long>, others array<array<long>>").orderBy("hits", "toxic").toArrow()
+    table = rows.transform(small_batches).mapInArrow(hits, "toxic int, hits array<long>, others array<array<long>>").orderBy("hits", "toxic").toArrow()
     parts = [np.asarray(x.values, dtype=np.int64) for x in table.column("hits")]
     row, at = np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)
     p_row, p_at, p_sign, k = [], [], [], 0
@@ -238,7 +238,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit)
                 yield pa.record_batch([part.column("doc_id"), pa.array(model.value.score(part.column("text")))], ["doc_id", "score"])
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    out = docs.mapInArrow(score, "doc_id long, score double")
+    out = docs.transform(small_batches).mapInArrow(score, "doc_id long, score double")
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -251,4 +251,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **
             for part in slices(batch):
                 yield part.filter(pa.array(model.value.score(part.column("text")) < threshold))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.transform(small_batches).mapInArrow(clean, docs.schema)
