@@ -25,7 +25,11 @@ def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
 
 
 def rebalanced(slot_map: dict[int, int], size: dict[int, int], shards: int) -> dict[int, int]:
-    """The next version of slot_map, for the sizes of the slots; shards may be more or fewer than before."""
+    """The next version of slot_map, for the sizes of the slots; shards may be more or fewer than before.
+
+    Only shards below the mean take slots, so of balanced shards and a new one the new one takes all that move;
+    where no shard is new, single slots then even out all shards.
+    """
     new = dict(slot_map)
     load = [0] * shards
     owned: dict[int, list[int]] = {k: [] for k in range(shards)}
@@ -37,23 +41,28 @@ def rebalanced(slot_map: dict[int, int], size: dict[int, int], shards: int) -> d
         else:
             loose.append(s)
     mean = sum(size.get(s, 0) for s in new) / shards
+    new_shard = any(not owned[k] for k in range(shards))
     for k in range(shards):
         for s in sorted(owned[k], key=lambda s: (-size.get(s, 0), s)):
             if size.get(s, 0) and load[k] - size[s] >= mean:
                 load[k] -= size[s]
                 loose.append(s)
-    heap = [(load[k], k) for k in range(shards)]
+    takers = [k for k in range(shards) if load[k] < mean] or list(range(shards))
+    heap = [(load[k], k) for k in takers]
     heapq.heapify(heap)
     for s in sorted(loose, key=lambda s: (-size.get(s, 0), s)):
         total, k = heapq.heappop(heap)
         new[s] = k
         heapq.heappush(heap, (total + size.get(s, 0), k))
-    load = dict((k, total) for total, k in heap)
+    for total, k in heap:
+        load[k] = total
+    if not new_shard:
+        takers = list(range(shards))
     for _ in range(len(new)):  # then one slot after the other from the fullest shard to the emptiest, while that narrows the gap
-        high, low = max(load, key=lambda k: (load[k], k)), min(load, key=lambda k: (load[k], k))
+        high, low = max(range(shards), key=lambda k: (load[k], k)), min(takers, key=lambda k: (load[k], k))
         gap = load[high] - load[low]
-        best = min((abs(gap - 2 * size.get(s, 0)), s) for s, k in new.items() if k == high) if gap else (0, 0)
-        if not gap or best[0] >= gap:
+        best = min((abs(gap - 2 * size.get(s, 0)), s) for s, k in new.items() if k == high) if gap > 0 else (0, 0)
+        if gap <= 0 or best[0] >= gap:
             break
         new[best[1]] = low
         load[high] -= size.get(best[1], 0)
