@@ -238,3 +238,17 @@ def test_empty_tables_and_repeated_rows(spark):
     assert [r.component_id for r in jaccard_join.jaccard_components(twice).where("n_shingles > 0").collect()] == [None] * 3
     assert substring_dedup.dedup_substrings(twice, 3).agg(F.sum("n_removed")).first()[0] == 12
     assert line_dedup.dedup_lines(twice, 1).count() == 4 and sharding.sharded(twice).select("shard", "slot").distinct().count() == 4
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 20])
+def test_shared_lines_are_a_longest_common_subsequence(bits, monkeypatch):
+    monkeypatch.setattr(page_text, "TABLE_BITS", bits)
+    rng = random.Random(1)
+    for _ in range(300):
+        mine, other = ([rng.choice("abcde"[:k]) for _ in range(rng.randint(0, 14))] for k in (4, 5))
+        best = [[0] * (len(other) + 1) for _ in range(len(mine) + 1)]
+        for i, j in itertools.product(range(len(mine)), range(len(other))):
+            best[i + 1][j + 1] = best[i][j] + 1 if mine[i] == other[j] else max(best[i][j + 1], best[i + 1][j])
+        got = [mine[k] for k in sorted(page_text.shared(mine, other))]
+        rest = iter(other)
+        assert len(got) == best[-1][-1] and all(x in rest for x in got)

@@ -2,7 +2,7 @@
 
 A page is read as lines: the text between two block boundaries, with the way of tags that leads to it.
 The pages of a host are put in the order of their paths, and each is paired with the neighbour whose path
-has the longer beginning in common. The lines of both are aligned by their longest common
+has the longer beginning in common, or with both where they are as near. The lines of a pair are aligned by their longest common
 subsequence, and shared ones are deleted. What two pages share is the site's frame. Its words may differ
 from page to page (link lists, notices, adverts), so a line within a frame element, such as nav or
 footer, is known by its place; any other by its words. Lines of the page's article proper are
@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
-from collections import Counter
+from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,8 @@ MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+#: Bits of a table of common subsequences that a task holds at once.
+TABLE_BITS = 1 << 28
 #: Rows of a broadcast side (about 50 bytes each).
 SMALL = 1 << 20
 
@@ -128,31 +131,59 @@ def lines_of(page: str | None) -> list[tuple[str, str, int]]:
     return out
 
 
+def _columns(mine: list[str], other: list[str]) -> Iterator[int]:
+    """For each beginning of mine, from one line on: bit j is 0 where its longest common subsequence with other[: j + 1] is longer than with other[:j]."""
+    places: dict[str, list[int]] = {}
+    for j, x in enumerate(other):
+        places.setdefault(x, []).append(j)
+
+    @lru_cache(64)
+    def bits(x: str) -> int:
+        out = bytearray(len(other) // 8 + 1)
+        for j in places.get(x, ()):
+            out[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(out, "little")
+
+    full = v = (1 << len(other)) - 1
+    for x in mine:
+        same = v & bits(x)
+        v = ((v + same) | (v - same)) & full
+        yield v
+
+
+def _lengths(mine: list[str], other: list[str]) -> list[int]:
+    """Length of the longest common subsequence of mine with each beginning of other, the empty one first."""
+    last = deque(_columns(mine, other), 1)
+    bits = bin(last[0])[:1:-1].ljust(len(other), "0")
+    return list(accumulate((c == "0" for c in bits), initial=0))
+
+
 def shared(mine: list[str], other: list[str]) -> set[int]:
-    """Positions of mine in a longest common subsequence with other, in which the k-th line of a text pairs with the k-th."""
-
-    def numbered(lines: list[str]) -> list[tuple[str, int]]:
-        seen: Counter[str] = Counter()
-        out = []
-        for x in lines:
-            out.append((x, seen[x]))
-            seen[x] += 1
+    """Positions of mine in a longest common subsequence with other. A table of over TABLE_BITS is halved, so memory is bounded."""
+    n, m = len(mine), len(other)
+    head = next((k for k in range(min(n, m)) if mine[k] != other[k]), min(n, m))
+    tail = next((k for k in range(min(n, m) - head) if mine[n - 1 - k] != other[m - 1 - k]), min(n, m) - head)
+    out = {*range(head), *range(n - tail, n)}
+    mine, other = mine[head : n - tail], other[head : m - tail]
+    n, m = len(mine), len(other)
+    if not n or not m:
         return out
-
-    where = {x: k for k, x in enumerate(numbered(other))}
-    tails: list[int] = []
-    ends: list[int] = []
-    before: dict[int, int] = {}
-    for k, x in enumerate(numbered(mine)):
-        if (j := where.get(x)) is not None:
-            n = bisect_left(tails, j)
-            before[k] = ends[n - 1] if n else -1
-            tails[n : n + 1] = [j]
-            ends[n : n + 1] = [k]
-    out, k = set(), ends[-1] if ends else -1
-    while k >= 0:
-        out.add(k)
-        k = before[k]
+    if n > 1 and n * m > TABLE_BITS:
+        half = n // 2
+        left, right = _lengths(mine[:half], other), _lengths(mine[: half - 1 : -1], other[::-1])
+        cut = max(range(m + 1), key=lambda j: left[j] + right[m - j])
+        found = shared(mine[:half], other[:cut]) | {half + k for k in shared(mine[half:], other[cut:])}
+        return out | {head + k for k in found}
+    table = list(_columns(mine, other))
+    i, j = n - 1, m - 1
+    while i >= 0 and j >= 0:
+        if mine[i] == other[j]:
+            out.add(head + i)
+            i, j = i - 1, j - 1
+        elif table[i] >> j & 1:
+            j -= 1
+        else:
+            i -= 1
     return out
 
 
@@ -164,7 +195,7 @@ def main_text(lines: list[tuple[str, str, int]], gone: list[int] | None) -> str:
 
 
 def nearest(pages: DataFrame) -> DataFrame:
-    """pages(_id, url) to _id and other, the neighbour in the order of host and path that shares more of the path; none for the only page of a host."""
+    """pages(_id, url) to _id and other: the neighbour in the order of host and path that shares more of the path, or a row for each if both share as much; none for the only page of a host."""
     key = F.struct("host", "path", "_id")
     keys = pages.select("_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     # ranges of the order, so that a host of any size is many groups; neighbours across their bounds come from the bounds
@@ -183,7 +214,8 @@ def nearest(pages: DataFrame) -> DataFrame:
         return F.when(F.col(f"{c}.host") == F.col("host"), F.when(differ == 0, F.greatest(F.size(a), F.size(b))).otherwise(differ)).otherwise(F.lit(-1))
 
     near = rows.withColumns({"p": F.coalesce(common("prev"), F.lit(-1)), "n": F.coalesce(common("next"), F.lit(-1))})
-    return near.select("_id", F.when((F.col("p") >= 0) & (F.col("p") >= F.col("n")), F.col("prev._id")).when(F.col("n") >= 0, F.col("next._id")).alias("other"))
+    ways = F.array(F.when((F.col("p") >= 0) & (F.col("p") >= F.col("n")), F.col("prev._id")), F.when((F.col("n") >= 0) & (F.col("n") >= F.col("p")), F.col("next._id")))
+    return near.select("_id", F.explode(F.array_compact(ways)).alias("other"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -223,8 +255,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     # articles stay where they are: what travels is the lines outside them, and the positions to delete on pages without one
     lines = stored(pages.select("_id", "url", "html").transform(small_batches).mapInArrow(frames, "_id long, url string, keys array<string>, at array<int>").dropDuplicates(["_id"]), "frames")
-    others = nearest(lines.select("_id", "url")).where("other is not null")
+    others = nearest(lines.select("_id", "url"))
     paired = lines.join(others, "_id").join(lines.select(F.col("_id").alias("other"), F.col("keys").alias("other_keys")), "other")
-    gone = stored(paired.select("_id", "keys", "at", "other_keys").transform(small_batches).mapInArrow(differ, "_id long, gone array<int>").where("size(gone) > 0"), "gone")
+    gone = stored(paired.select("_id", "keys", "at", "other_keys").transform(small_batches).mapInArrow(differ, "_id long, gone array<int>").where("size(gone) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")  # of two pairs at most
     pages = pages.join(broadcast_if_small(gone, gone.count(), SMALL), "_id", "left")
     return pages.select("page_id", "url", "html", "gone").transform(small_batches).mapInArrow(text, "page_id long, url string, text string, n_chars long")
