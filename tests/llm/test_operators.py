@@ -252,3 +252,10 @@ def test_shared_lines_are_a_longest_common_subsequence(bits, monkeypatch):
         got = [mine[k] for k in sorted(page_text.shared(mine, other))]
         rest = iter(other)
         assert len(got) == best[-1][-1] and all(x in rest for x in got)
+
+
+def test_line_dedup_of_a_text_of_many_equal_lines(spark):
+    text = "\n" * 50_000
+    got = line_dedup.dedup_lines(frame(spark, [(1, text, "x", 1, 2), (2, "a\nb", "x", 1, 2)])).collect()
+    one = next(r for r in got if r.doc_id == 1)
+    assert (one.n_lines, one.n_removed, one.kept_text) == (50_001, 50_000, "") and list(map(list, one.removed_runs)) == [[1, 50_000]]

@@ -67,9 +67,9 @@ def _with_removed(docs: DataFrame, min_lines: int, min_chars: int, key: dict[str
 
 def _kept(text: Column, removed: Column) -> Column:
     """The other lines; the first and the last of them may have been in the middle."""
-    gone = F.map_from_arrays(removed, F.transform(removed, lambda _: F.lit(True)))
-    lines = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.coalesce(gone[i], F.lit(False)))
-    return F.when(removed.isNull(), text).otherwise(F.array_join(lines, "\n"))
+    # the outer transform holds the lines, which are split once; the work is linear in their number
+    kept = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), removed), lambda p: lines[p]))[0]
+    return F.when(removed.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
