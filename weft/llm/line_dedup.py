@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, row_key, stored
 
-#: Rows of a broadcast side (about 60 bytes each).
+#: Rows and positions of a broadcast side, together (60 bytes a row, 4 a position).
 SMALL = 1 << 20
 
 
@@ -62,7 +62,8 @@ def _with_removed(docs: DataFrame, min_lines: int, min_chars: int, key: dict[str
     """docs and _removed, the sorted positions of the lines to delete, or null."""
     found = later_copies(docs, min_lines, min_chars).groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("_removed"))
     found = stored(found, "removed").select(F.col("_k").alias("_rk"), F.col("_t").alias("_rt"), "_removed")
-    return docs.join(broadcast_if_small(found, found.count(), SMALL), (key["_k"] == F.col("_rk")) & (key["_t"] == F.col("_rt")), "left").drop("_rk", "_rt")
+    size = found.agg(F.sum(F.size("_removed") + 1)).first()[0] or 0
+    return docs.join(broadcast_if_small(found, size, SMALL), (key["_k"] == F.col("_rk")) & (key["_t"] == F.col("_rt")), "left").drop("_rk", "_rt")
 
 
 def _kept(text: Column, removed: Column) -> Column:
