@@ -226,6 +226,23 @@ def test_pages(spark):
     assert page_text.shared(list("abcab"), list("bcxa")) == {1, 2, 3}
 
 
+def test_pages_in_wrappers(spark):
+    own = "<p>main text %d of the page</p><div class=comments><article>reply</article></div>"
+    rows = [
+        "<body class='has-sidebar'><nav>n</nav><form id=f><article>%s</article></form><footer>f</footer></body>",
+        "<div class=sidebar-page><form><main>%s</main></form></div><p>x</p>",
+        "<body class=sidebar><p>main text %d of the page</p><div class=ad>ad</div></body>",
+        "<div class='with-ads widget'><p>main text %d of the page</p><nav>n</nav></div><footer>f</footer>",
+        "<article class='post comments-open'>%s</article>",
+        "<article>%s</article><form><article>other article, which is longer than it</article></form>",
+        "<div>main text %d of the page</div><div class=sidebar><article>teaser</article></div>",
+        "<aside><article>teaser</article></aside><p>main text %d of the page</p>",
+    ]
+    rows = [(i, f"http://h{i}/", (r.replace("%s", own)) % i) for i, r in enumerate(rows)]
+    got = {r.page_id: r.text for r in page_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"main text {i} of the page" for i, *_ in rows}
+
+
 def test_empty_tables_and_repeated_rows(spark):
     empty = frame(spark, corpus()).limit(0)
     labels, items = spark.createDataFrame([], "doc_id long, toxic int"), spark.createDataFrame([], "item_id long, text string")

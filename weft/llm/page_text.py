@@ -6,8 +6,13 @@ has the longer beginning in common, or with both where they are as near. The lin
 subsequence, and shared ones are deleted. What two pages share is the site's frame. Its words may differ
 from page to page (link lists, notices, adverts), so a line within a frame element, such as nav or
 footer, is known by its place; any other by its words. Lines of the page's article proper are
-not deleted: pages quote and copy one another, and a passage of the article is no frame. Frame
-lines without a counterpart, on a page that is the only one of its host, go by their place alone.
+not deleted: pages quote and copy one another, and a passage of the article is no frame. Lines within a frame
+go by their place alone, with or without a counterpart. So the differencing decides about the lines outside frames of
+pages that mark no article; a page that marks one is its article.
+
+A form, or an element with a mark in its class, id or role, may also be a wrapper of the whole page. An article in
+wrappers only is the page's if there is none outside and it is longer than the text outside; and if all text is within
+frames, what is directly in a wrapper counts as outside.
 """
 
 from __future__ import annotations
@@ -38,6 +43,9 @@ MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+#: Classes that say what a page or wrapper has, not what it is.
+STATES = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|no|with|without)[-_]\S+|\S+[-_](?:open|opened|closed|enabled|disabled))(?=\s|$)")
+
 #: Bits of a table of common subsequences that a task holds at once.
 TABLE_BITS = 1 << 28
 #: Rows of a broadcast side (about 50 bytes each).
@@ -54,10 +62,12 @@ _ALONE = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
 def _framed(tag: str, attributes: str) -> bool:
     if tag in FRAME:
         return True
+    if tag in {"html", "body"}:  # these hold the whole page
+        return False
     if not attributes or "=" not in attributes:
         return False
     for name, *value in _MARK.findall(attributes):
-        words = _WORD.findall("".join(value).lower())
+        words = _WORD.findall(STATES.sub("", "".join(value).lower()))
         if not MARKS.isdisjoint(words) if name.lower() != "role" else not ROLES.isdisjoint(words):
             return True
     return False
@@ -66,7 +76,8 @@ def _framed(tag: str, attributes: str) -> bool:
 def lines_of(page: str | None) -> list[tuple[str, str, int]]:
     """(text, key, place) of each line of a page. place: 0 in a frame, 1 elsewhere, 2 in the article. key: what another page's line must have to be the same."""
     out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements and the place in them; -1: no text
+    # open elements and the place in them; -1: no text, 3: an article in wrappers only, 4 and 5: in one or more wrappers, in no other frame
+    stack: list[tuple[str, int]] = []
     words: list[str] = []
     place = 1
 
@@ -75,7 +86,7 @@ def lines_of(page: str | None) -> list[tuple[str, str, int]]:
         words.clear()
         if text:
             way = "/".join(t for t, _ in stack if t not in INLINE)
-            out.append((text, way if place == 0 else text, place))
+            out.append((text, way, place))
 
     at, page = 0, page or ""
     for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -116,9 +127,9 @@ def lines_of(page: str | None) -> list[tuple[str, str, int]]:
             if tag in SILENT:
                 place = -1
             elif _framed(tag, m[4]):
-                place = 0
+                place = 0 if place in {2, 3} or tag in FRAME and tag != "form" else 4 if place == 1 else 5
             elif tag in {"article", "main"}:
-                place = 2
+                place = 2 if place < 3 else 3
         elif place == 0 and tag in SILENT:
             place = -1
         stack.append((tag, place))
@@ -128,7 +139,9 @@ def lines_of(page: str | None) -> list[tuple[str, str, int]]:
     if place >= 0:
         words.append(entities.unescape(page[at:]))
         flush()
-    return out
+    size = [sum(len(text) for text, _, p in out if p == k) for k in range(6)]
+    becomes = {3: 2 if not size[2] and size[3] > size[1] else 0, 4: 0 if size[1] or size[2] or size[3] else 1, 5: 0}
+    return [(text, text if p else way, p) for text, way, p in ((text, way, becomes.get(p, p)) for text, way, p in out)]
 
 
 def _columns(mine: list[str], other: list[str]) -> Iterator[int]:
@@ -256,7 +269,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     # articles stay where they are: what travels is the lines outside them, and the positions to delete on pages without one
     lines = stored(pages.select("_id", "url", "html").transform(small_batches).mapInArrow(frames, "_id long, url string, keys array<string>, at array<int>").dropDuplicates(["_id"]), "frames")
     others = nearest(lines.select("_id", "url"))
-    paired = lines.join(others, "_id").join(lines.select(F.col("_id").alias("other"), F.col("keys").alias("other_keys")), "other")
+    paired = lines.where("exists(at, k -> k >= 0)").join(others, "_id").join(lines.select(F.col("_id").alias("other"), F.col("keys").alias("other_keys")), "other")
     gone = stored(paired.select("_id", "keys", "at", "other_keys").transform(small_batches).mapInArrow(differ, "_id long, gone array<int>").where("size(gone) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")  # of two pairs at most
     pages = pages.join(broadcast_if_small(gone, gone.count(), SMALL), "_id", "left")
     return pages.select("page_id", "url", "html", "gone").transform(small_batches).mapInArrow(text, "page_id long, url string, text string, n_chars long")
