@@ -124,6 +124,15 @@ def test_decontamination(spark):
     assert got == want and want
 
 
+def test_short_items_in_long_documents_are_candidates():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 1 << 63, 400_000, dtype=np.uint64)
+    for q in (1, 2, 3, 4, 5):
+        at = range(0, len(h) - 8, 40 if q == 1 else 2000)
+        index = decontamination._Index(list(range(len(at))), [np.sort(h[k : k + q]) for k in at])
+        assert index.candidates(h, np.array([0, len(h)])) == {(0, i) for i in range(len(at))}
+
+
 def test_pieces_are_the_librarys(spark):
     import sentencepiece
 
