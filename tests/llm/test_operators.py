@@ -196,6 +196,16 @@ def test_urls(spark):
     assert got[119].template == "/bad/{n}" and got[119].verdict == "block" and got[219].verdict == "allow"
 
 
+def test_urls_below_a_variable_segment(spark):
+    rows = [(i, f"http://h/user/name{chr(97 + i // 26)}{chr(97 + i % 26)}/slug-{i}x/view") for i in range(300)]
+    labels = spark.createDataFrame([(i, True) for i in range(0, 300, 3)], "page_id long, bad boolean")
+    rows += [(1000 + i, f"http://g/p{i}y") for i in range(200)] + [(2000, "http://h/user/nameaa"), (2001, "http://h/other/a/b")]
+    labels = labels.union(spark.createDataFrame([(1000 + i, False) for i in range(200)], "page_id long, bad boolean"))
+    got = {r.page_id: (r.template, r.verdict) for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string"), [], labels).collect()}
+    assert all(got[i] == ("/user/{s}/{s}/view", "block") for i in range(300)) and got[1000] == ("/{s}", "allow")
+    assert got[2000] == ("/user/{s}", "allow") and got[2001] == ("/other/a/b", "allow")
+
+
 def test_media():
     rng = np.random.default_rng(1)
     for shape in ((1, 24), (7, 24), (40, 24)):

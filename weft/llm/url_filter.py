@@ -2,9 +2,11 @@
 
 Each URL's path is a way down its host's tree. A segment becomes a wildcard if it looks variable
 (a number, a number with an ending, or a long hexadecimal string), or if its node has more than
-`branches` different ones. Leaves are templates. Sibling templates whose labelled shares do not differ significantly from
+`branches` different ones. Nodes are made level by level, each below the wildcards before it, so what follows a variable
+segment is counted over all its values. Leaves are templates. Sibling templates whose labelled shares do not differ significantly from
 their siblings' share are merged, so that they are judged by all the siblings' labels; the others stand alone. A template is
-rejected if its smoothed share of bad labels is at least `reject`. DataFrame operations only.
+rejected if its smoothed share of bad labels is at least `reject`. DataFrame operations only; there is a round for each
+level at which some node still has more than `branches` urls' paths.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: More different segments below one node than this are one variable.
 BRANCHES = 50
 #: Labels that smoothing adds, at the overall share; and the share at which a template is rejected.
@@ -51,11 +55,23 @@ def templates(pages: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """pages(url) in one row for each different url: url, host, path, parent, template."""
     urls = pages.select("url").where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     paths = urls.select("host", "path").distinct()
-    segments = paths.select("host", "path", F.transform(F.split("path", "/"), _general).alias("segments"))
-    steps = segments.select("host", "path", F.posexplode("segments").alias("depth", "segment"), "segments").withColumn("node", F.array_join(F.slice("segments", F.lit(1), F.col("depth")), "/")).drop("segments")
-    wide = steps.select("host", "node", "depth", "segment").distinct().groupBy("host", "node", "depth").agg(F.count("*").alias("n")).where(F.col("n") > branches).select("host", "node", "depth", F.lit(True).alias("wide"))
-    steps = steps.join(wide, ["host", "node", "depth"], "left").withColumn("segment", F.when(F.col("wide"), F.lit("{s}")).otherwise(F.col("segment")))
-    whole = steps.groupBy("host", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "segment"))), lambda s: s["segment"]).alias("segments"))
+    whole = stored(paths.select("host", "path", F.transform(F.split("path", "/"), _general).alias("segments")), "paths")
+    depth = 1
+    while True:
+        here = F.array_join(F.slice("segments", 1, depth - 1), "/")
+        steps = whole.where(F.size("segments") >= depth).groupBy("host", here.alias("node"), F.get("segments", F.lit(depth - 1)).alias("segment")).agg(F.count("*").alias("below"))
+        nodes = steps.groupBy("host", "node").agg(F.count("*").alias("n"), F.sum("below").alias("below"), F.max("below").alias("most")).where(F.col("below") > branches)
+        # a node of more than `branches` segments is wide; what is below it, or else below the largest segment, may be wide at the next level
+        nodes = stored(nodes.select("host", "node", (F.col("n") > branches).alias("wide"), (F.when(F.col("n") > branches, F.col("below")).otherwise(F.col("most")) > branches).alias("live")), "nodes")
+        found = nodes.agg(F.max("wide").alias("wide"), F.max("live").alias("live")).first()
+        if found.wide:
+            wide = nodes.where("wide").select(F.col("host").alias("_host"), F.col("node").alias("_node"))
+            marked = whole.join(wide, (F.col("host") == F.col("_host")) & (here == F.col("_node")) & (F.size("segments") >= depth), "left")
+            put = F.transform("segments", lambda x, i: F.when(i == depth - 1, F.lit("{s}")).otherwise(x))
+            whole = stored(marked.select("host", "path", F.when(F.col("_host").isNotNull(), put).otherwise(F.col("segments")).alias("segments")), "paths")
+        if not found.live:
+            break
+        depth += 1
     named = whole.select("host", "path", F.array_join("segments", "/").alias("template"), F.array_join(F.slice("segments", F.lit(1), F.greatest(F.size("segments") - 1, F.lit(0))), "/").alias("parent"))
     return urls.join(named, ["host", "path"])
 
