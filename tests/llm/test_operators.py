@@ -161,6 +161,22 @@ def test_sharding(spark):
     assert all(r.size == len(t[r.doc_id]) + 1 and r.text_crc32 == zlib.crc32(t[r.doc_id]) for r in got.itertuples())
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_sharding_of_a_repeated_id(spark, doc_id):
+    rows = [(1000 + i, "unique %d" % i, "x", 1, 2) for i in range(4000)] + [(doc_id, "text %d" % (i % 500), "x", 1, 2) for i in range(1000)] + [(doc_id, None, "x", 1, 2)] * 9000
+    docs = frame(spark, rows)
+    got = sharding.sharded(docs).toPandas()
+    assert len(got) == len(rows) and got["size"].sum() == sum(len(r[1] or "") + 1 for r in rows)
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 8 and load.max() - load.min() <= 0.01 * load.mean()
+    assert got.groupby("virtual_slot").size().max() < 30
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    columns = ["shard", "slot", "size", "text_crc32", "virtual_slot"]
+    again = sharding.sharded(docs.repartition(7)).toPandas()
+    assert sorted(map(tuple, again[columns].values)) == sorted(map(tuple, got[columns].values))
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     plain = ["river", "stone", "cloud", "walk", "green", "paper", "music"]

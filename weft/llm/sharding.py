@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots.
 
-Records are hashed into a fixed number of virtual slots by their id. The bytes of each slot are summed,
+Records are hashed into a fixed number of virtual slots by their id, the checksum of their text and, of equal records, their
+number, so an id that many rows share is spread over the slots as well. The bytes of each slot are summed,
 and a table with a version says which shard a slot belongs to. Rebalancing edits the table:
 it moves as few slots as it can from shards above the mean to those below, and stores the
 result as the next version. Records never move but with their slot.
@@ -17,6 +18,8 @@ from .common import stored
 
 #: Virtual slots. The map has one entry for each, so it is of a fixed size.
 SLOTS = 4096
+#: Equal rows that a task numbers at once.
+COPIES = 4096
 
 
 def first_map(shards: int, slots: int = SLOTS) -> dict[int, int]:
@@ -80,18 +83,23 @@ def sharded(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
     """docs(doc_id, text) to doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
 
     The law is `bytes`: the shards' sums of size (UTF-8 bytes of the text and 1; null text: 1) are
-    nearly equal. slot is the row's place in its shard, from 0 without gaps. Null doc_ids are hashed as
+    nearly equal, also where many rows share a doc_id or are equal. slot is the row's place in its shard, from 0 without gaps. Null doc_ids are hashed as
     nulls are, equal rows get slots of their own, and which of them gets which makes no
     difference to the result. An empty table gives an empty result. Other columns play no part.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
+    record = ["doc_id", "size", "text_crc32"]
     rows = docs.select(
         F.col("doc_id").cast("long"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
+    # equal rows are counted and made again with a number each: of one record first runs of COPIES, which are dealt out, then each
+    rows = rows.groupBy(*record).agg(F.count("*").alias("n")).select(*record, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES))).alias("run"))
+    rows = rows.repartition(*record, "run").select(*record, F.explode(F.sequence("run", F.least(F.col("run") + COPIES, "n") - 1)).alias("copy"))
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "copy"), F.lit(slots)).cast("int")
+    rows = rows.select(*record, slot.alias("virtual_slot"))
     rows = stored(rows, "sized")
     found = {r.virtual_slot: (r.bytes, r.n) for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}  # at most `slots` rows
     start = first_map(shards, slots)
