@@ -200,6 +200,19 @@ def test_toxicity(spark):
     assert toxicity.without_toxic(docs, known).columns == docs.columns
 
 
+def test_toxicity_is_fitted_on_fit_rows_at_most(spark, monkeypatch):
+    sizes = []
+    fit = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda n, *a: sizes.append(n) or fit(n, *a))
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(free[0], "often %d" % (i % 300), "x", 1, 2) for i in range(900)] + [(i, "zorgish" if i % 2 else "green", "x", 1, 2) for i in free[1:]]
+    labels = [(i, i % 2) for i in free] + [(10_000 + i, 1) for i in range(3000)]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    toxicity.train(frame(spark, rows), known, fit_rows=100)
+    toxicity.train(frame(spark, rows), known)
+    assert sizes == [100, 300 + len(free) - 1]
+
+
 def test_urls(spark):
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("org/fr/", "allow")]
     rows = [(1, "https://A.example.NET/en/1?x"), (2, "http://example.net/enx"), (3, "http://x.net"), (4, None), (5, "no scheme/en/"), (6, "https://w.org/fr/9#a"), (7, "http://anet/")]

@@ -5,7 +5,7 @@ name a group of people, the name is swapped for others of its kind, and the loss
 change of the log-odds: a neutral mention then scores alike whoever it is about, so group
 names that happen to be frequent in toxic texts don't cause false positives.
 
-Fitted on at most `fit_rows` labelled rows, those with the smallest hash of their doc_id; which words are features is
+Fitted on at most `fit_rows` labelled rows, one for each doc_id and text, those with the smallest hash of both; which words are features is
 counted over the same rows. Everything else covers every document and its whole text.
 """
 
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASES, _BYTE, _SPACE, _power, lists, mix, slices, small_batches
+from .common import _BASES, _BYTE, _SPACE, _power, lists, mix, slices, small_batches, stored
 
 #: Bounds of the fit: labelled rows, features.
 FIT_ROWS, FEATURES = 20_000, 2_000
@@ -154,10 +154,14 @@ def train(docs: DataFrame, labels: DataFrame, penalty: float = 1.0, ridge: float
     counts. Without labelled rows, or with one class only, the model is the labels' smoothed share.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_t"))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and not (crc32(cast(doc_id as string)) % 3 = 1)")
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.join(F.broadcast(labels), "doc_id")  # fit_rows rows at most
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    kept_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    # the labels are joined to ids and hashes only; texts stay where they are, but those of the chosen rows
+    keys = docs.where(~kept_out).select("doc_id", "_t").distinct().join(labels, "doc_id")
+    keys = stored(keys.orderBy(F.xxhash64("doc_id", "_t"), "doc_id", "_t").limit(fit_rows), "fit-keys")
+    rows = stored(docs.join(F.broadcast(keys), ["doc_id", "_t"]).dropDuplicates(["doc_id", "_t"]).drop("_t"), "fit-rows")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
