@@ -20,6 +20,18 @@ def test_fingerprints(spark):
     assert fp.table_fingerprint(df) != fp.table_fingerprint(df.union(df))
 
 
+def test_column_digests_sort_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK", 50)
+    df = spark.range(3000).selectExpr("id as k", "case when id % 3 = 0 then 'often' when id % 7 > 0 then concat('é', id % 50) end as v", "if(id < 0, 'x', null) as `no.ne`", "if(id % 2 = 0, '', null) as e")
+    rows = df.collect()
+    want = {c: sorted(str(x).encode() for x in (r[c] for r in rows) if x is not None) for c in df.columns}
+    assert {r.column_name: r.digest for r in fp.column_digests(df).collect()} == {c: hashlib.md5(b",".join(v)).hexdigest() if v else "null" for c, v in want.items()}
+    plans = []
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda self, *a, **b: plans.append(self._jdf.queryExecution().executedPlan().toString()) or iter(()))
+    fp.column_digests(df.select("k"))
+    assert plans and all("rangepartitioning" in p and "SinglePartition" not in p for p in plans)
+
+
 def test_statements_and_parameters(spark):
     parts = sql.statements("-- first; x\nselect 'a;b'; /* ; */ select \"c;\" ;\n-- end")
     assert len(parts) == 2 and parts[0].endswith("select 'a;b'")

@@ -6,21 +6,72 @@ import ast
 import hashlib
 import inspect
 import textwrap
+from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of joined texts that go to the driver at once.
+BLOCK = 1 << 20
+
 
 def column_digests(df: DataFrame) -> DataFrame:
     """column_name, digest: md5 of each column's texts in order, joined by commas; `null` for columns without values.
 
-    A column's values meet in one group, so this is for small tables and for agreement with fingerprints taken elsewhere; see table_fingerprint.
+    Equal texts are counted, then sorted by ranges and joined to blocks where they are; only the md5, which is defined over all of
+    them in order, reads block after block in the driver. So a column may be of any size, but goes through the driver: see table_fingerprint.
     """
-    names = sorted(df.columns)
-    one = df.agg(*(F.expr(f"md5(listagg(cast(`{c}` as string), ',') within group (order by cast(`{c}` as string)))").alias(c) for c in names))
-    return one.unpivot([], names, "column_name", "digest").select("column_name", F.coalesce("digest", F.lit("null")).alias("digest"))
+    rows = [(c, _column_digest(df.select(F.col(f"`{c}`").cast("string").alias("v")))) for c in sorted(df.columns)]
+    return df.sparkSession.createDataFrame(rows, "column_name string, digest string")
+
+
+def _column_digest(values: DataFrame) -> str:
+    """md5 of the values of v in order, joined by commas."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[bytes] = []
+        size = 0
+
+        def out(block: bytes, times: int) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([block], pa.binary()), pa.array([times], pa.int64())], ["block", "times"])
+
+        for batch in batches:
+            for v, n in zip(batch.column("v").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                text = v.encode() + b","
+                if len(text) * n > BLOCK:
+                    if part:
+                        yield out(b"".join(part), 1)
+                    part, size = [], 0
+                    yield out(text, n)
+                    continue
+                part.append(text * n)
+                size += len(text) * n
+                if size >= BLOCK:
+                    yield out(b"".join(part), 1)
+                    part, size = [], 0
+        if part:
+            yield out(b"".join(part), 1)
+
+    counted = values.where("v is not null").groupBy("v").agg(F.count("*").alias("n")).orderBy("v")
+    digest, last = hashlib.md5(), None
+    for r in counted.mapInArrow(blocks, "block binary, times long").toLocalIterator(prefetchPartitions=True):
+        if last is not None:
+            digest.update(last)
+        block = bytes(r.block)
+        at_once = max(1, BLOCK // len(block))
+        whole, rest = divmod(r.times - 1, at_once)
+        many = block * at_once if whole else b""
+        for _ in range(whole):
+            digest.update(many)
+        digest.update(block * rest)
+        last = block
+    if last is None:
+        return "null"
+    digest.update(last[:-1])  # no comma after the last value
+    return digest.hexdigest()
 
 
 def compatible_fingerprint(df: DataFrame) -> str:
