@@ -1,4 +1,5 @@
 import hashlib
+import importlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,21 @@ def test_fingerprints(spark):
     assert fp.table_fingerprint(df) != fp.table_fingerprint(df.union(df))
 
 
+def test_code_fingerprint_follows_functions_of_modules(tmp_path, monkeypatch):
+    monkeypatch.syspath_prepend(str(tmp_path))
+    seen = []
+    for k, (clean, deep) in enumerate([("1", "1"), ("2", "1"), ("1", "2"), ("1  # same", "1")]):
+        top = tmp_path / f"top{k}"
+        (top / "sub").mkdir(parents=True)
+        (top / "__init__.py").write_text("")
+        (top / "sub/__init__.py").write_text("")
+        (top / "helpers.py").write_text(f"def clean():\n    return {clean}\n")
+        (top / "sub/deep.py").write_text(f"def fn():\n    return {deep}\n")
+        (top / "task.py").write_text(f"import top{k}.sub.deep\nfrom . import helpers, sub\ndef load():\n    return [(lambda: helpers.clean() + sub.deep.fn())() for _ in 'a']\n")
+        seen.append(fp.code_fingerprint(importlib.import_module(f"top{k}.task").load))
+    assert seen[0] == seen[3] and len(set(seen)) == 3
+
+
 def test_column_digests_sort_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(fp, "BLOCK", 50)
     df = spark.range(3000).selectExpr("id as k", "case when id % 3 = 0 then 'often' when id % 7 > 0 then concat('é', id % 50) end as v", "if(id < 0, 'x', null) as `no.ne`", "if(id % 2 = 0, '', null) as e")

@@ -117,8 +117,26 @@ def _plain(fn: Any) -> str:
     return ast.dump(tree)
 
 
+def _named(code: Any, scope: dict[str, Any]) -> Iterator[Any]:
+    """What the code, and the code of functions within it, may call: its global names, and their attributes where they are modules."""
+    names = code.co_names
+    for name in names:
+        found = scope.get(name)
+        yield found
+        modules = [found] if inspect.ismodule(found) else []
+        while modules:  # a.b.fn(): b is a name of the same code
+            m = modules.pop()
+            for g in (vars(m).get(a) for a in names):
+                yield g
+                if inspect.ismodule(g) and g.__name__.startswith(m.__name__ + "."):
+                    modules.append(g)
+    for inner in code.co_consts:
+        if inspect.iscode(inner):
+            yield from _named(inner, scope)
+
+
 def code_fingerprint(fn: Any) -> str:
-    """Of a function and the functions of its package that it names, without comments, docstrings and layout."""
+    """Of a function and the functions of its package that it names, alone or through their module, without comments, docstrings and layout."""
     fn = inspect.unwrap(fn)
     root = (fn.__module__ or "").split(".")[0]
     seen: dict[str, str] = {}
@@ -132,9 +150,8 @@ def code_fingerprint(fn: Any) -> str:
             seen[key] = _plain(f)
         except (OSError, TypeError, SyntaxError):
             seen[key] = repr(getattr(f, "__code__", None) and f.__code__.co_code)
-        for name in getattr(getattr(f, "__code__", None), "co_names", ()):
-            g = f.__globals__.get(name)
-            g = getattr(g, "run", g)
+        for g in _named(f.__code__, f.__globals__) if hasattr(f, "__code__") else ():
+            g = g if inspect.ismodule(g) else getattr(g, "run", g)
             if inspect.isfunction(g) and (g.__module__ or "").split(".")[0] == root:
                 todo.append(g)
     return hashlib.sha256(":".join(hashlib.sha256(seen[k].encode()).hexdigest() for k in sorted(seen)).encode()).hexdigest()
