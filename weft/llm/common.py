@@ -1,12 +1,14 @@
 """Helpers shared by the training-data operators.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, as in the regular
-expression ``[^\\x20\\x09-\\x0D]+``. Word and window hashes are polynomials over random
-64-bit byte values, computed with numpy over one slice of an Arrow batch at a time.
+expression ``[^\\x20\\x09-\\x0D]+``. A word's hash is made of its bytes, eight at a time, with a mixing step after
+each eight; that of a window of words is a tree of such steps. Both are computed with numpy over one slice
+of an Arrow batch at a time, and come in two lanes that share no constant.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,33 +27,57 @@ BATCH_ROWS = 1000
 #: Stands for a null doc_id where a key is needed; it sorts first, as nulls do.
 NULL_ID = -(1 << 63)
 
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: The first k bytes of eight that are read from a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Seed and multiplier of each lane.
+_LANES = ((np.uint64(0x243F6A8885A308D3), np.uint64(0x9E3779B97F4A7C15)), (np.uint64(0x13198A2E03707344), np.uint64(0xD1342543DE82EF95)))
+#: Words of more bytes are hashed one by one.
+_LONG = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
+    """The folder that the driver and all executors share, with one of its own for each application.
+
+    Where the session names none it is in the warehouse, or, with a local master only, a temporary folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        found = _local.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="weft-shared-")
+        _local[spark.sparkContext.applicationId] = found
+    return f"{found or spark.conf.get('spark.sql.warehouse.dir')}/weft-{spark.sparkContext.applicationId}"
+
+
+_local: dict[str, str] = {}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: lineage ends there, and any executor may be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes a stored table that no result reads any more."""
+    for f in df.inputFiles()[:1]:
+        delete(df.sparkSession, f.rpartition("/")[0])
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all stored tables of the application; results that are not written yet need them."""
+    delete(spark, shared_dir(spark))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, whose session from now on passes BATCH_ROWS rows at a time to Python, unless it has a number of its own."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -65,60 +91,89 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(32))
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i up to n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            pair.append(np.multiply.accumulate(a))
-        have = _powers[base] = (pair[0], pair[1])
-    return have
+def join_hashes(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The hash of a sequence whose beginning has the hash a and whose end has b."""
+    seed, by = _LANES[lane]
+    return mix((a ^ seed) * by + b)
 
 
-def windows(h: np.ndarray, k: int, base: int = 0) -> np.ndarray:
-    """A hash of each k consecutive values of h."""
+def windows(h: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """A hash of each k consecutive values of h: of halves, quarters and so on, joined."""
     if len(h) < k:
         return np.empty(0, np.uint64)
-    up, down = _power(_BASES[base], len(h))
-    c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=c[1:])
-    return mix((c[k:] - c[:-k]) * down[: len(h) - k + 1] + np.uint64(k))
+    out, have, part, size = None, 0, h, 1
+    while True:
+        if k & size:
+            out = part if out is None else join_hashes(part[: len(h) - have - size + 1], out[size : size + len(h) - have - size + 1], lane)
+            have += size
+        if have == k:
+            return mix(out + np.uint64(k))
+        part = join_hashes(part[:-size], part[size:], lane)
+        size *= 2
+
+
+def chunks(body: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a little-endian number; zeros follow the last."""
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    return np.ndarray(len(body), "<u8", padded, strides=(1,))
+
+
+def hash_words(body: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The hash of each body[start:end]."""
+    seed, by = _LANES[lane]
+    size = end - start
+    eight = chunks(body)
+    h = mix(((eight[start] & _FIRST[np.minimum(size, 8)]) ^ seed) * by + size.astype(np.uint64))
+    more = np.flatnonzero((size > 8) & (size <= _LONG))
+    at = 8
+    while len(more):
+        rest = size[more] - at
+        h[more] = mix((h[more] ^ (eight[start[more] + at] & _FIRST[np.minimum(rest, 8)])) * by)
+        at += 8
+        more = more[rest > 8]
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = np.frombuffer(hashlib.blake2b(body[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest(), np.uint64)[0]
+    return h
 
 
 @dataclass
 class Words:
-    """The words of n texts: hash of each, and first[i]:first[i + 1] are those of text i."""
+    """The words of n texts: hash of each in both lanes, if there are two, and first[i]:first[i + 1] are those of text i."""
 
     hash: np.ndarray
     first: np.ndarray
     row: np.ndarray
+    second: np.ndarray | None = None
 
 
-def words_of(text: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Words:
-    """table: what each byte becomes, 0x20 between words; by default itself, or in lower case."""
+def bytes_of(text: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, each byte as table has it, and where each text begins, with the end of the last."""
     text = pc.fill_null(text, "").cast(pa.large_string())
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     n = len(text)
     off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1] if n else np.zeros(1, np.int64)
     body = np.frombuffer(text.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
-    off = off - off[0]
-    table = table if table is not None else _LOWER if lower else None
-    if table is not None:
-        body = table[body]
+    return body if table is None else table[body], off - off[0]
+
+
+def edges_of(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the words of texts that begin at off."""
     size = len(body)
-    if not size:
-        return Words(np.empty(0, np.uint64), np.zeros(n + 1, np.int64), np.empty(0, np.int64))
     word = ~_SPACE[body]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
@@ -126,13 +181,18 @@ def words_of(text: pa.Array, lower: bool = False, table: np.ndarray | None = Non
     edge = off[(off > 0) & (off < size)]
     begins[edge] |= word[edge]
     ends[edge - 1] |= word[edge - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _power(_BASES[0], size)
-    c = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE[body] * up[:size], out=c[1:])
-    h = mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64))
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words_of(text: pa.Array, lower: bool = False, lanes: int = 1) -> Words:
+    body, off = bytes_of(text, _LOWER if lower else None)
+    n = len(off) - 1
+    if not len(body):
+        return Words(np.empty(0, np.uint64), np.zeros(n + 1, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))
+    start, end = edges_of(body, off)
     first = np.searchsorted(start, off)
-    return Words(h, first, np.repeat(np.arange(n), np.diff(first)))
+    hashes = [hash_words(body, start, end, lane) for lane in range(lanes)]
+    return Words(hashes[0], first, np.repeat(np.arange(n), np.diff(first)), hashes[-1])
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

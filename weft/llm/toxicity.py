@@ -17,11 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BASES, _BYTE, _SPACE, _power, lists, mix, slices, small_batches, stored
+from .common import _FIRST, bytes_of, chunks, edges_of, hash_words, lists, mix, slices, small_batches, stored
 
 #: Bounds of the fit: labelled rows, features.
 FIT_ROWS, FEATURES = 20_000, 2_000
@@ -56,32 +55,16 @@ _TABLE[128:] = np.arange(128, 256)
 
 def features_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words and word beginnings, with the text of each."""
-    text = pc.fill_null(text, "").cast(pa.large_string())
-    if isinstance(text, pa.ChunkedArray):
-        text = text.combine_chunks()
-    off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    body = _TABLE[np.frombuffer(text.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]]
-    off = off - off[0]
-    size = len(body)
-    if not size:
+    body, off = bytes_of(text, _TABLE)
+    if not len(body):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    word = ~_SPACE[body]
-    begins, ends = word.copy(), word.copy()
-    begins[1:] &= ~word[:-1]
-    ends[:-1] &= ~word[1:]
-    edge = off[(off > 0) & (off < size)]
-    begins[edge] |= word[edge]
-    ends[edge - 1] |= word[edge - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    row = np.repeat(np.arange(len(text)), np.diff(np.searchsorted(start, off)))
-    up, down = _power(_BASES[1], size)
-    c = np.zeros(size + 1, np.uint64)
-    np.cumsum(_BYTE[body] * up[:size], out=c[1:])
-    hashes, rows = [mix((c[end] - c[start]) * down[start])], [row]
+    start, end = edges_of(body, off)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
+    hashes, rows = [hash_words(body, start, end, 1)], [row]
+    eight = chunks(body)[start]
     for k in BEGINNINGS:
         long = end - start >= k
-        s = start[long]
-        hashes.append(mix((c[s + k] - c[s]) * down[s] + np.uint64(k)))
+        hashes.append(mix((eight[long] & _FIRST[k]) * np.uint64(0x9E6C63D0876A9A47) + np.uint64(k)))
         rows.append(row[long])
     return np.concatenate(hashes), np.concatenate(rows)
 
