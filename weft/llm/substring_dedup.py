@@ -6,16 +6,16 @@ starts in a document with a smaller doc_id go. Two passes over the texts:
 1. Every window is represented by its minimizer, the least hash among the runs of `size // 2`
    words inside it. Equal windows have equal minimizers, so counting minimizers never counts a
    window too low, and there is one for about `size // 4` words instead of one a word. Each
-   task sketches its minimizers in a count-min sketch of two rows; the sketches are added up.
-2. Windows whose estimated count is two or more, and no others, are grouped exactly, by a
-   128-bit hash. Estimates are never too low, so no repeated window is lost.
+   task sketches its minimizers in cells; the sketches of all partitions are added up cell by cell, by a shuffle, and
+   a cell knows its least and greatest doc_id as well.
+2. Windows whose cell has two or more documents, and no others, are grouped exactly, by two
+   64-bit hashes of independent lanes. Estimates are never too low, so no repeated window is lost.
+
+The sketch has CELLS cells for a minimizer, whatever the size of the input, and is never in one place: minimizers are
+joined to its cells. So the share of windows that pass without need is the same at every size.
 
 Later copies of whole texts are found first, by a 128-bit hash of the text. They lose all their words if there is a window in them, and
 need no part in the passes, since the first copy has the same windows.
-
-The sketch's width follows the words of the input up to WIDEST cells a row. What is
-broadcast is one bit a cell, so 64 MB at most; beyond it estimates only get higher, which sends
-more windows to the exact grouping and changes no result.
 """
 
 from __future__ import annotations
@@ -30,13 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import Words, broadcast_if_small, mix, row_key, slices, small_batches, stored, windows, words_of
 
-#: Least and most cells of a row of the sketch; powers of two. A broadcast has two bits for each.
-NARROWEST, WIDEST = 1 << 20, 1 << 28
-#: Cells whose bits travel together.
-CHUNK = 1 << 20
-#: Rows of a broadcast side (about 60 bytes each).
+#: Cells of the sketch for a minimizer (of about 80 bytes of text), at least, and cells of the smallest sketch.
+CELLS, NARROWEST = 64, 1 << 20
+#: Rows of a broadcast side (about 60 bytes each), or entries of its lists.
 SMALL = 1 << 20
-_SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F))
+_SEED = np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def _window_starts(words: Words, size: int) -> np.ndarray:
@@ -57,14 +55,10 @@ def _minimizers(words: Words, size: int) -> np.ndarray:
     return least
 
 
-def _cells(values: np.ndarray, width: int) -> list[np.ndarray]:
-    return [(mix(values ^ seed) & np.uint64(width - 1)).astype(np.int64) for seed in _SEEDS]
-
-
-def _sketch(docs: DataFrame, size: int, width: int) -> np.ndarray:
-    """Bits of the cells that count two or more, of two rows, packed."""
+def _cells_of(docs: DataFrame, size: int, width: int) -> DataFrame:
+    """cell, _k, _t, pos, n: the n windows from pos on of a document have one minimizer, which falls into the cell."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = words_of(part.column("text"))
@@ -72,61 +66,61 @@ def _sketch(docs: DataFrame, size: int, width: int) -> np.ndarray:
                 if not len(at):
                     continue
                 least, row = _minimizers(words, size)[at], words.row[at]
-                new = np.ones(len(at), bool)  # once for neighbouring windows of a text that share it
+                new = np.ones(len(at), bool)
                 new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-                for r, cell in enumerate(_cells(least[new], width)):
-                    cell, n = np.unique(cell, return_counts=True)
-                    yield pa.record_batch([pa.array(cell + r * width), pa.array(np.minimum(n, 2).astype(np.int8))], ["cell", "n"])
+                head = np.flatnonzero(new)
+                row = row[head]
+                cell = (mix(least[head] ^ _SEED) & np.uint64(width - 1)).view(np.int64)
+                ids, texts = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("_k", "_t"))
+                columns = [cell, ids, texts, (at[head] - words.first[row]).astype(np.int32), np.diff(head, append=len(at)).astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], ["cell", "_k", "_t", "pos", "n"])
+
+    return docs.select("text", "_k", "_t").transform(small_batches).mapInArrow(runs, "cell long, _k long, _t long, pos int, n int")
 
-    def bits(key: tuple, table: pa.Table) -> pa.Table:
-        flags = np.zeros(CHUNK, bool)
-        flags[table.column("at").to_numpy()] = True
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    cells = docs.select("text").transform(small_batches).mapInArrow(sketch, "cell long, n byte").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 2")
-    packed = cells.select(F.expr(f"cell div {CHUNK}").alias("chunk"), F.expr(f"cast(cell % {CHUNK} as int)").alias("at")).groupBy("chunk").applyInArrow(bits, "chunk long, bits binary")
-    merged = np.zeros(2 * width // 8, np.uint8)
-    for r in packed.toLocalIterator():
-        merged[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
-    return merged
+def suspected_windows(docs: DataFrame, size: int) -> DataFrame:
+    """docs(_k, _t, text) to _k, _t and runs, [first, number] of the windows whose cell has several documents; a stored table."""
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    width = NARROWEST
+    while width < CELLS * n // 80:
+        width *= 2
+    runs = stored(_cells_of(docs, size, width), "minimizers")
+    # sketches of the partitions are added up here; of a cell the counts matter only as far as they tell one document from several
+    cells = stored(runs.groupBy("cell").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high").select("cell"), "cells")
+    found = runs.join(cells, "cell").groupBy("_k", "_t").agg(F.sort_array(F.collect_list(F.array("pos", "n"))).alias("runs"))
+    return stored(found, "suspected")
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
     """_k, _t (the row's key) of the documents whose whole text a document with a smaller doc_id has too, as a stored table."""
     rows = docs.where("text is not null").select(*(c.alias(k) for k, c in row_key().items()), F.xxhash64(F.lit(1), "text").alias("_u"))
-    low = rows.groupBy("_t", "_u").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high")
+    low = stored(rows.groupBy("_t", "_u").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high").drop("high"), "copied")
     return stored(rows.join(low, ["_t", "_u"]).where("_k > low").select("_k", "_t").distinct(), "copies")
 
 
 def repeated_spans(docs: DataFrame, size: int = 50) -> DataFrame:
     """docs(_k, _t, text) to _k, _t (the row's key) and spans: the word ranges [start, end) to remove, in order."""
-    spark = docs.sparkSession
-    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = NARROWEST
-    while width < WIDEST and width < n // 8:  # about six cells for a minimizer, at six bytes a word
-        width *= 2
-    sketch = spark.sparkContext.broadcast(_sketch(docs, size, width))
+    suspected = suspected_windows(docs, size)
+    entries = suspected.agg(F.sum(F.size("runs") + 1)).first()[0] or 0
 
-    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sketch.value
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                words = words_of(part.column("text"))
-                at = _window_starts(words, size)
-                if not len(at):
-                    continue
-                keep = np.ones(len(at), bool)
-                for r, cell in enumerate(_cells(_minimizers(words, size)[at], width)):
-                    cell += r * width
-                    keep &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-                at = at[keep]
-                row = words.row[at]
+                words = words_of(part.column("text"), lanes=2)
+                runs = part.column("runs")
+                own = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+                pairs = np.asarray(runs.flatten().flatten(), np.int64).reshape(-1, 2)
+                first, n = words.first[own] + pairs[:, 0], pairs[:, 1]
+                at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                row = np.repeat(own, n)
                 ids, texts = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("_k", "_t"))
-                columns = [windows(words.hash, size, 0)[at].view(np.int64), windows(words.hash, size, 1)[at].view(np.int64), ids, texts, (at - words.first[row]).astype(np.int32)]
+                columns = [windows(words.hash, size, 0)[at].view(np.int64), windows(words.second, size, 1)[at].view(np.int64), ids, texts, (at - words.first[row]).astype(np.int32)]
                 yield pa.record_batch([pa.array(c) for c in columns], ["h1", "h2", "_k", "_t", "pos"])
 
-    found = stored(docs.select("text", "_k", "_t").transform(small_batches).mapInArrow(suspected, "h1 long, h2 long, _k long, _t long, pos int"), "windows")
-    first = found.groupBy("h1", "h2").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high").drop("high")
+    some = docs.select("text", "_k", "_t").join(broadcast_if_small(suspected, entries, SMALL), ["_k", "_t"])
+    found = stored(some.select("text", "_k", "_t", "runs").transform(small_batches).mapInArrow(exact, "h1 long, h2 long, _k long, _t long, pos int"), "windows")
+    # stored, so that both sides of the join are dealt out for it, and a window that very many documents have can be split
+    first = stored(found.groupBy("h1", "h2").agg(F.min("_k").alias("low"), F.max("_k").alias("high")).where("low < high").drop("high"), "first")
     later = found.join(first, ["h1", "h2"]).where("_k > low").groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     # positions of one document, at most its words; neighbours become one range
 
