@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_by_row, mix, shingles, slices, small_batches, words_of
+from .common import distinct_by_row, fresh, mix, shingles, slices, small_batches, words_of
 
 #: Minimum hashes of a block, and items that are broadcast at once.
 HASHES, ITEMS = 48, 20_000
@@ -114,6 +114,10 @@ def contaminated(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_w
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
-    """The documents that hold no item, with all their columns. Of rows that share a doc_id all go or stay."""
-    found = contaminated(docs, items, percent, shingle_words).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents that hold no item, with all their columns, whatever their names. Of rows that share a doc_id all go or stay.
+
+    Null and empty texts hold no item and stay. Without items all documents stay; an empty table gives an empty result.
+    """
+    name = fresh(docs, "_gone")
+    found = contaminated(docs, items, percent, shingle_words).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, row_key, stored
+from .common import broadcast_if_small, fresh, row_key, stored
 
 #: Rows and positions of a broadcast side, together (60 bytes a row, 4 a position).
 SMALL = 1 << 20
@@ -26,7 +26,8 @@ SMALL = 1 << 20
 def _named(suffixes: DataFrame, key: list[str]) -> DataFrame:
     """suffixes(_k, _t, pos, key...) that share key with another, and rank, the first of them."""
     here = F.struct("_k", "_t", "pos")
-    groups = suffixes.groupBy(*key).agg(F.min(here).alias("rank"), F.max(here).alias("_last")).where("rank <> _last").drop("_last")
+    # stored, so that both sides of the join are dealt out for it, and a line that very many documents have can be split
+    groups = stored(suffixes.groupBy(*key).agg(F.min(here).alias("rank"), F.max(here).alias("_last")).where("rank <> _last").drop("_last"), "groups")
     return suffixes.join(groups, key).select("_k", "_t", "pos", "rank", *[c for c in suffixes.columns if c not in {"_k", "_t", "pos", "rank", *key}])
 
 
@@ -58,12 +59,14 @@ def later_copies(docs: DataFrame, min_lines: int = 2, min_chars: int = 40) -> Da
     return out.union(ranked.where(later).select("_k", "_t", F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos")))
 
 
-def _with_removed(docs: DataFrame, min_lines: int, min_chars: int, key: dict[str, Column]) -> DataFrame:
-    """docs and _removed, the sorted positions of the lines to delete, or null."""
-    found = later_copies(docs, min_lines, min_chars).groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("_removed"))
-    found = stored(found, "removed").select(F.col("_k").alias("_rk"), F.col("_t").alias("_rt"), "_removed")
-    size = found.agg(F.sum(F.size("_removed") + 1)).first()[0] or 0
-    return docs.join(broadcast_if_small(found, size, SMALL), (key["_k"] == F.col("_rk")) & (key["_t"] == F.col("_rt")), "left").drop("_rk", "_rt")
+def _with_removed(docs: DataFrame, min_lines: int, min_chars: int) -> tuple[DataFrame, str]:
+    """docs with the sorted positions of the lines to delete, or null, in a column of the name that is given."""
+    key = row_key()
+    k, t, removed = (fresh(docs, c) for c in ("_k", "_t", "_removed"))
+    found = later_copies(docs, min_lines, min_chars).groupBy("_k", "_t").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    found = stored(found, "removed").select(F.col("_k").alias(k), F.col("_t").alias(t), F.col("at").alias(removed))
+    size = found.agg(F.sum(F.size(removed) + 1)).first()[0] or 0
+    return docs.join(broadcast_if_small(found, size, SMALL), (key["_k"] == F.col(k)) & (key["_t"] == F.col(t)), "left").drop(k, t), removed
 
 
 def _kept(text: Column, removed: Column) -> Column:
@@ -83,8 +86,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40) -> Dat
     An empty table gives an empty result. Other columns play no part.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = _with_removed(docs, min_lines, min_chars, row_key())
-    removed = F.col("_removed")
+    rows, name = _with_removed(docs, min_lines, min_chars)
+    removed = F.col(name)
     none = F.array().cast("array<int>")
     listed = F.coalesce(removed, none)
     starts, ends = F.array_except(listed, F.transform(listed, lambda p: p + 1)), F.array_except(listed, F.transform(listed, lambda p: p - 1))
@@ -98,8 +101,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40) -> Dat
 
 
 def without_repeated_lines(docs: DataFrame, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
-    """docs with the later copies of repeated runs deleted from the texts, and n_chars, if there is one, counted anew. All rows stay."""
-    rows = _with_removed(docs, min_lines, min_chars, row_key())
-    text = _kept(F.col("text"), F.col("_removed"))
-    columns = [text.alias(c) if c == "text" else F.when(F.col("_removed").isNull(), F.col(c)).otherwise(F.char_length(text)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    """docs with the later copies of repeated runs deleted from the texts, and n_chars, if there is one, counted anew. All rows and columns stay.
+
+    Null texts stay null, empty ones empty, and a text whose lines all go is empty. Rows with the same doc_id and text lose the same lines.
+    An empty table gives an empty result. Other columns, whatever their names, are as they were.
+    """
+    rows, removed = _with_removed(docs, min_lines, min_chars)
+    text = _kept(F.col("text"), F.col(removed))
+    columns = [text.alias(c) if c == "text" else F.when(F.col(removed).isNull(), F.col(c)).otherwise(F.char_length(text)).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
     return rows.select(*columns)
