@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, distinct_by_row, lists, mix, row_key, shingles, slices, small_batches, stored, words_of
+from .common import broadcast_if_small, distinct_by_row, fresh, lists, mix, row_key, shingles, slices, small_batches, stored, words_of
 from .components import components
 
 #: Shingles counted at once in a task, the count from which order 1 and 2 put a shingle last, and the part of the hash order that comes first in order 1.
@@ -160,6 +160,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     postings = stored(rare.union(often), "postings")
     # a bucket's hub is the set with the fewest shingles before the bucket's: it has few of its own, so most of a group are like it
     meet = postings.groupBy("token").agg(F.min(F.struct("at", F.col("set_id").alias("hub"))).alias("mid"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
+    meet = stored(meet.select("token", "mid"), "meet")
     buckets = stored(postings.join(meet, "token").select("token", "set_id", "n", "at", "mid"), "buckets")
 
     ends = buckets.where("mid.hub <> set_id").groupBy("set_id").agg(F.min("mid.hub").alias("x"), F.min("mid").getField("hub").alias("y"))
@@ -170,7 +171,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     # sets of one bucket in different components that were not compared; their components are paired first, a few for each bucket
     placed = buckets.join(groups, F.col("set_id") == F.col("node"), "left").select("token", "set_id", "n", "at", F.coalesce("component", "set_id").alias("component"))
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    placed = stored(placed.join(split, "token"), "placed")
+    placed = stored(placed.join(stored(split, "split"), "token"), "placed")
     # cells: the sets of one bucket, component, size and place; of two that can be linked, the smaller has the size of the other within its reach
     cells = placed.select("token", "component", "n", "at").distinct().withColumn("reach", F.expr(f"least({100 + percent} * (1 + n - at) div {percent} - n, 100 * n div {percent})"))
     x = cells.where("reach >= n").select("token", F.col("component").alias("ca"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("reach").alias("ra"), F.explode(F.sequence(_size_class("n"), _size_class("reach"))).alias("class"))
@@ -188,8 +189,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     named = nodes.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
     alone = named.where("set_id = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_id")
     named = named.where("set_id <> 0").join(groups, named.set_id == groups.node, "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("component"))
+    named = stored(named, "named")
     least = named.groupBy("component").agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))).alias("component_id"))
-    return named.join(least, "component").select("doc_id", "n_shingles", "component_id", "set_id").union(alone)
+    return named.join(stored(least, "least"), "component").select("doc_id", "n_shingles", "component_id", "set_id").union(alone)
 
 
 def _prefix(n: str, percent: int) -> Column:
@@ -203,11 +205,10 @@ def _size_class(n: str) -> Column:
 
 
 def _held_by_several(postings: DataFrame) -> DataFrame:
-    """The different rows of postings(token, set_id) whose token several sets hold, and how many: token, set_id, several."""
-    by_token = Window.partitionBy("token")
-    new = F.coalesce(F.lag("set_id").over(by_token.orderBy("set_id")) != F.col("set_id"), F.lit(True))
-    marked = postings.withColumn("new", new.cast("int")).withColumn("several", F.sum("new").over(by_token))
-    return marked.where("new = 1 and several > 1").select("token", "set_id", "several")
+    """The different rows of postings(token, set_id) whose token several sets hold, and how many rows have it: token, set_id, several."""
+    # counted before rows meet, and stored, so that a token that very many sets hold can be split in the join
+    held = postings.groupBy("token").agg(F.count("*").alias("several"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high")
+    return postings.join(stored(held.select("token", "several"), "held"), "token").select("token", "set_id", "several").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -225,10 +226,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def one_per_group(docs: DataFrame, percent: int = 80, shingle_words: int = 5) -> DataFrame:
     """The documents without all but one of each group of linked ones: that with the smallest doc_id stays.
 
-    Of rows that share the smallest doc_id of a group all stay. All columns are kept.
+    Of rows that share the smallest doc_id of a group all stay. All columns are kept, whatever their names. Documents without
+    shingles (null and empty texts) all stay; a null doc_id is the smallest. An empty table gives an empty result.
     """
-    found = jaccard_components(docs, percent, shingle_words)
-    stay = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    gone = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    gone = gone.join(stay, F.col("_gone").eqNullSafe(F.col("_stay")), "left_anti")
-    return docs.join(broadcast_if_small(gone, gone.count(), SMALL), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    found = stored(jaccard_components(docs, percent, shingle_words).select("doc_id", "component_id"), "found")
+    name = fresh(docs, "_gone")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stay = found.where(first).select(F.col("doc_id").alias("_stay")).distinct()
+    gone = stored(found.where(~first).select(F.col("doc_id").alias(name)).distinct().join(stay, F.col(name).eqNullSafe(F.col("_stay")), "left_anti"), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count(), SMALL), F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
