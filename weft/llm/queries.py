@@ -39,8 +39,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("bad"))
-    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES, labels).select("page_id", "host", "path", "rule", "verdict")
+    """The verdict on every page's url. A page's label is that of the document whose number its path names; low quality is bad."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    return url_filter.judged(pages, RULES, url_filter.document_labels(pages, labels)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,49 @@ _SETS = f"""
   select distinct id, array_to_string(w[i : i + 4], ' ') as s from (select id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from {{0}}_words where len(w) > 0)
 )"""
 
+def _tree_sql(levels: int = 8) -> str:
+    """op7 in SQL, with the rounds over the levels written out; paths of the given tables have fewer."""
+    ctes = [
+        r"""u as (
+  select page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages
+)""",
+        r"""f as (
+  select *, case when url is not null then list_transform(string_split(path, '/'), lambda x: case when regexp_full_match(x, '[0-9]+') then '{n}' when regexp_full_match(x, '[0-9]+\.[A-Za-z0-9]+') then '{n}.' || split_part(x, '.', 2)
+    when regexp_full_match(x, '[0-9a-fA-F-]{16,}') then '{id}' else x end) end as form, try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(?:[./]|$)', 1), '') as bigint) as number from u
+)""",
+        "l as (select doc_id, max((quality = 0)::int) as bad from labels group by doc_id)",
+        "g as (select page_id, max(bad) as bad from f join l on number = doc_id group by page_id)",
+        "a0 as (select host, form, count(bad) as n, coalesce(sum(bad), 0)::bigint as bad, form as s from f left join g using (page_id) where form is not null group by all)",
+    ]
+    for d in range(1, levels + 1):
+        here = f"array_to_string(s[1:{d - 1}], '/')" if d > 1 else "''"
+        ctes.append(f"w{d} as (select host, {here} as node from a{d - 1} where len(s) >= {d} group by all having count(distinct s[{d}]) > {url_filter.BRANCHES})")
+        ctes.append(f"a{d} as (select a.* replace (case when w.host is null then s else s[1:{d - 1}] || ['{{s}}'] || s[{d + 1}:] end as s) from a{d - 1} a left join w{d} w on w.host = a.host and w.node = {here} and len(s) >= {d})")
+    ctes.append(f"m0 as (select * from a{levels})")
+    for d in range(1, levels + 1):
+        here = f"array_to_string(s[1:{d - 1}], '/')" if d > 1 else "''"
+        ctes.append(f"""b{d} as (
+  select *, sum(n) over w as all_n, sum(bad) over w as all_bad from (select host, {here} as node, s[{d}] as segment, sum(n) as n, sum(bad) as bad from m{d - 1} where len(s) >= {d} group by all) window w as (partition by host, node)
+)""")
+        ctes.append(f"""c{d} as (
+  select *, not apart and count(*) filter (not apart) over (partition by host, node) > 1 as merge from (
+    select *, coalesce(n > 0 and n * (all_bad::double / all_n) * (1 - all_bad::double / all_n) > 0 and abs(bad - n * (all_bad::double / all_n)) > {url_filter.DIFFERENT} * sqrt(n * (all_bad::double / all_n) * (1 - all_bad::double / all_n)), false) as apart from b{d})
+)""")
+        ctes.append(f"m{d} as (select m.* replace (case when merge then s[1:{d - 1}] || ['{{~}}'] || s[{d + 1}:] else s end as s) from m{d - 1} m left join c{d} c on c.host = m.host and c.node = {here} and c.segment = s[{d}] and len(s) >= {d})")
+    rules = "\n".join(f"    when (f.host = '{h}' or f.host like '%.{h}') and f.path like '/{p}%' then '{h}/{p}'" for h, _, p in (r.partition("/") for r, _ in sorted(RULES, key=lambda r: -len(r[0]))))
+    verdicts = " ".join(f"when '{r}' then '{v}'" for r, v in RULES)
+    return f"""
+with {", ".join(ctes)},
+t as (select coalesce(sum(bad)::double / nullif(sum(n), 0), 0) as prior from m{levels}),
+x as (select host, s, sum(bad) > 0 and (sum(bad) + {url_filter.SMOOTH} * prior) / (sum(n) + {url_filter.SMOOTH}) >= least({url_filter.LIFT} * prior, {url_filter.REJECT}) as rejected from m{levels}, t group by host, s, prior),
+y as (select m.host, m.form, rejected from m{levels} m join x on x.host = m.host and x.s = m.s),
+r as (
+  select page_id, f.host, f.path, rejected, case
+{rules} end as rule from f left join y on y.host = f.host and y.form = f.form
+)
+select page_id, host, path, rule, case rule {verdicts} else case when rejected then 'block' else 'allow' end end as verdict from r"""
+
+
 ORACLE_SQL = {
     "op2_line_dedup": """
 with l as (
@@ -85,40 +130,7 @@ c as (select a.id as a, b.id as b, count(*) as shared from d_sets a join d_sets
 links as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
 reach(a, b) as (select doc_id, doc_id from n union select reach.a, links.b from reach join links on links.a = reach.b)
 select n.doc_id, n.n as n_shingles, min(reach.b) as component_id from n join reach on reach.a = n.doc_id group by all""",
-    "op7_url_filters": """
-with u as (
-  select page_id, url, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages
-), s as (
-  select host, path, unnest(range(1, len(x) + 1)) as depth, unnest(x) as raw from (select distinct host, path, string_split(path, '/') as x from u where url is not null)
-), g as (
-  select host, path, depth, case when regexp_full_match(raw, '[0-9]+') then '{n}' when regexp_full_match(raw, '[0-9]+\\.[A-Za-z0-9]+') then '{n}.' || split_part(raw, '.', 2) when regexp_full_match(raw, '[0-9a-fA-F-]{16,}') then '{id}' else raw end as segment from s
-), k as (
-  select *, coalesce(string_agg(segment, '/') over (partition by host, path order by depth rows between unbounded preceding and 1 preceding), '') as node from g
-), wide as (select host, node, depth from k group by all having count(distinct segment) > 50
-), t as (
-  select host, path, string_agg(case when w.host is null then segment else '{s}' end, '/' order by depth) as template,
-    coalesce(string_agg(case when w.host is null then segment else '{s}' end, '/' order by depth) filter (depth < top), '') as parent
-  from (select *, max(depth) over (partition by host, path) as top from k) k left join wide w using (host, node, depth) group by host, path
-), q as (
-  select u.*, t.template, t.parent, l.bad from u left join t on u.url is not null and t.host = u.host and t.path = u.path
-  left join (select doc_id, max((quality = 0)::int) as bad from labels group by doc_id) l on l.doc_id = u.page_id
-), own as (
-  select host, parent, template, count(bad) as n, coalesce(sum(bad), 0)::bigint as bad from q where url is not null group by all
-), sib as (
-  select *, sum(n) over (partition by host, parent) as all_n, sum(bad) over (partition by host, parent) as all_bad, sum(n) over () as total, sum(bad) over () as total_bad from own
-), z as (
-  select *, coalesce(n > 0 and all_n > 0 and n * (all_bad::double / all_n) * (1 - all_bad::double / all_n) > 0 and abs(bad - n * (all_bad::double / all_n)) > 1.96 * sqrt(n * (all_bad::double / all_n) * (1 - all_bad::double / all_n)), false) as apart from sib
-), m as (
-  select host, template, case when apart then n else sum(n) filter (not apart) over (partition by host, parent) end as n, case when apart then bad else sum(bad) filter (not apart) over (partition by host, parent) end as bad, coalesce(total_bad::double / nullif(total, 0), 0) as prior from z
-), r as (
-  select q.page_id, q.host, q.path, (bad_share >= 0.8) as rejected,
-    case when (q.host = 'example.com' or q.host like '%.example.com') and q.path like '/de/%' then 'example.com/de/'
-         when (q.host = 'example.net' or q.host like '%.example.net') and q.path like '/en/%' then 'example.net/en/'
-         when (q.host = 'org' or q.host like '%.org') and q.path like '/fr/%' then 'org/fr/'
-         when (q.host = 'net' or q.host like '%.net') and q.path like '/%' then 'net/' end as rule
-  from q left join (select host, template, (bad + 2 * prior) / (n + 2) as bad_share from m) m on m.host = q.host and m.template = q.template
-)
-select page_id, host, path, rule, case rule when 'net/' then 'block' when 'example.com/de/' then 'block' when 'example.net/en/' then 'allow' when 'org/fr/' then 'allow' else case when rejected then 'block' else 'allow' end end as verdict from r""",
+    "op7_url_filters": _tree_sql(),
     "op8_substring_dedup": f"""
 with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
 win as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from w where len(w) >= 50)),
