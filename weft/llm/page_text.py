@@ -4,15 +4,18 @@ A page is read as lines: the text between two block boundaries, with the way of
 The pages of a host are put in the order of their paths, and each is paired with the neighbour whose path
 has the longer beginning in common, or with both where they are as near. The lines of a pair are aligned by their longest common
 subsequence, and shared ones are deleted. What two pages share is the site's frame. Its words may differ
-from page to page (link lists, notices, adverts), so a line within a frame element, such as nav or
-footer, is known by its place; any other by its words. Lines of the page's article proper are
-not deleted: pages quote and copy one another, and a passage of the article is no frame. Lines within a frame
-go by their place alone, with or without a counterpart. So the differencing decides about the lines outside frames of
-pages that mark no article; a page that marks one is its article.
+from page to page (link lists, notices, adverts), so a line within an element that may be a frame, such as nav or a marked div,
+is known by its place, the way to it; any other by its words. Lines of the page's article proper are
+not deleted: pages quote and copy one another, and a passage of the article is no frame.
+
+What the pairs of all hosts say of a kind of frame (an element or a mark) is counted: of the pages whose neighbour has the kind too, how many share it. A kind that most of them
+share is deleted wherever it stands, so also on a host's only page; one that they don't share is text.
+Only for kinds that no pair has on both sides do the lists of elements and marks decide.
 
 A form, or an element with a mark in its class, id or role, may also be a wrapper of the whole page. An article in
 wrappers only is the page's if there is none outside and it is longer than the text outside; and if all text is within
-frames, what is directly in a wrapper counts as outside.
+frames, what is directly in a wrapper counts as outside. Several articles that are together shorter than the text outside are teasers, and text like it. A header within an article
+has its headline and stays.
 """
 
 from __future__ import annotations
@@ -43,50 +46,61 @@ MARKS = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+# Words that say nothing of what a class is for, beside a mark.
+GENERIC = frozenset(
+    "area bar block body bottom box button buttons container content desktop fixed form global group icons inner item items left link links list main mobile outer page panel primary right "
+    "secondary section site slot sticky text the top unit wrap wrapper".split()
+)
+
 #: Classes that say what a page or wrapper has, not what it is.
 STATES = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|no|with|without)[-_]\S+|\S+[-_](?:open|opened|closed|enabled|disabled))(?=\s|$)")
 
 #: Bits of a table of common subsequences that a task holds at once.
 TABLE_BITS = 1 << 28
-#: Rows of a broadcast side (about 50 bytes each).
-SMALL = 1 << 20
+#: Entries of a broadcast side (8 bytes each).
+SMALL = 1 << 22
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _RAW = {t: re.compile(rf"</{t}\b", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "iframe", "noscript")}
 #: Elements that end where one of the same kind begins.
 _ALONE = frozenset({"p", "li", "dt", "dd", "tr", "td", "th", "option"})
 
 
-def _framed(tag: str, attributes: str) -> bool:
+def _framed(tag: str, attributes: str) -> str:
+    """The kind of frame that an element may be: its tag, or the first mark in its class, id or role; empty for none."""
     if tag in FRAME:
-        return True
+        return tag
     if tag in {"html", "body"}:  # these hold the whole page
-        return False
+        return ""
     if not attributes or "=" not in attributes:
-        return False
+        return ""
+    found = []
     for name, *value in _MARK.findall(attributes):
-        words = _WORD.findall(STATES.sub("", "".join(value).lower()))
-        if not MARKS.isdisjoint(words) if name.lower() != "role" else not ROLES.isdisjoint(words):
-            return True
-    return False
-
-
-def lines_of(page: str | None) -> list[tuple[str, str, int]]:
-    """(text, key, place) of each line of a page. place: 0 in a frame, 1 elsewhere, 2 in the article. key: what another page's line must have to be the same."""
-    out: list[tuple[str, str, int]] = []
-    # open elements and the place in them; -1: no text, 3: an article in wrappers only, 4 and 5: in one or more wrappers, in no other frame
-    stack: list[tuple[str, int]] = []
+        for token in STATES.sub("", _HUMP.sub("-", "".join(value)).lower()).split():
+            # share-buttons is a mark, share-price-table is none
+            words = set(_WORD.findall(token)) - GENERIC
+            if words and words <= (ROLES if name.lower() == "role" else MARKS):
+                found.append(min(words))
+    return min(found, default="")
+
+
+def lines_of(page: str | None) -> list[tuple[str, str, int, str]]:
+    """(text, key, place, kind) of each line of a page. place: 0 in what may be a frame, 1 elsewhere, 2 in the article. key: what another page's line must have to be the same. kind: of the frame."""
+    out: list[tuple[str, str, int, str]] = []
+    # open elements, the place in them and the kind of frame; -1: no text, 3: an article in wrappers only, 4 and 5: in one or more wrappers, in no other frame
+    stack: list[tuple[str, int, str]] = []
     words: list[str] = []
-    place = 1
+    place, kind, articles = 1, "", 0
 
     def flush() -> None:
         text = " ".join("".join(words).split())
         words.clear()
         if text:
-            way = "/".join(t for t, _ in stack if t not in INLINE)
-            out.append((text, way, place))
+            way = "/".join(t for t, *_ in stack if t not in INLINE)
+            out.append((text, way, place, kind))
 
     at, page = 0, page or ""
     for m in iter(lambda: _TOKEN.search(page, at), None):
@@ -104,12 +118,12 @@ def lines_of(page: str | None) -> list[tuple[str, str, int]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     # an inline end tag doesn't close blocks
-                    if tag not in INLINE or all(t in INLINE for t, _ in stack[k:]):
+                    if tag not in INLINE or all(t in INLINE for t, *_ in stack[k:]):
                         del stack[k:]
                     else:
                         del stack[k]
                     break
-            place = stack[-1][1] if stack else 1
+            place, kind = stack[-1][1:] if stack else (1, "")
             continue
         if tag in VOID:
             continue
@@ -117,7 +131,7 @@ def lines_of(page: str | None) -> list[tuple[str, str, int]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    place = stack[-1][1] if stack else 1
+                    place, kind = stack[-1][1:] if stack else (1, "")
                     break
                 if stack[k][0] not in INLINE and stack[k][0] not in _ALONE:
                     break
@@ -126,22 +140,26 @@ def lines_of(page: str | None) -> list[tuple[str, str, int]]:
         if place > 0:
             if tag in SILENT:
                 place = -1
-            elif _framed(tag, m[4]):
+            elif (own := _framed(tag, m[4])) and not (tag == own == "header" and place in {2, 3}):
+                kind = own if place < 4 else kind
                 place = 0 if place in {2, 3} or tag in FRAME and tag != "form" else 4 if place == 1 else 5
             elif tag in {"article", "main"}:
+                articles += place == 1
                 place = 2 if place < 3 else 3
         elif place == 0 and tag in SILENT:
             place = -1
-        stack.append((tag, place))
+        stack.append((tag, place, kind))
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.start() if end else len(page)
     if place >= 0:
         words.append(entities.unescape(page[at:]))
         flush()
-    size = [sum(len(text) for text, _, p in out if p == k) for k in range(6)]
+    size = [sum(len(line[0]) for line in out if line[2] == p) for p in range(6)]
     becomes = {3: 2 if not size[2] and size[3] > size[1] else 0, 4: 0 if size[1] or size[2] or size[3] else 1, 5: 0}
-    return [(text, text if p else way, p) for text, way, p in ((text, way, becomes.get(p, p)) for text, way, p in out)]
+    if articles > 1 and size[1] > size[2]:
+        becomes[2] = 1
+    return [(text, text if p else way, p, "" if p else kind) for text, way, p, kind in ((text, way, becomes.get(p, p), kind) for text, way, p, kind in out)]
 
 
 def _columns(mine: list[str], other: list[str]) -> Iterator[int]:
@@ -200,11 +218,10 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[tuple[str, str, int]], gone: list[int] | None) -> str:
-    """The article's lines; of a page that marks none, the lines that are neither in a frame nor among the deleted positions."""
-    deleted = frozenset(gone or ())
-    article = any(place == 2 for *_, place in lines)
-    return " ".join(text for k, (text, _, place) in enumerate(lines) if place == 2 or (place == 1 and not article and k not in deleted))
+def main_text(lines: list[tuple[str, str, int, str]], gone: set[int]) -> str:
+    """The lines that are not among the deleted positions; of a page that marks its article, the article's of them and those within it."""
+    article = any(line[2] == 2 for line in lines)
+    return " ".join(text for k, (text, _, place, _) in enumerate(lines) if place == 2 or (k not in gone and not (article and place == 1)))
 
 
 def nearest(pages: DataFrame) -> DataFrame:
@@ -231,12 +248,13 @@ def nearest(pages: DataFrame) -> DataFrame:
     return near.select("_id", F.explode(F.array_compact(ways)).alias("other"))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, differencing: bool = True) -> DataFrame:
     """pages(page_id, url, html) in one row per page: page_id, url, text, n_chars.
 
     text is the main text of the whole html: character references decoded, white space in a line one space, lines joined by one
     space; empty for null and empty html. Pages with a null url, or one without ://, are one host's. Rows that share a
-    page_id are pages of their own. An empty table gives an empty result. Other columns play no part.
+    page_id are pages of their own; equal rows have one result, and are no neighbours of each other. An empty table gives an empty result. Other columns play no part.
+    Without differencing nothing is deleted, to show what it does.
     """
 
     own = F.xxhash64("page_id", "url", "html")  # equal rows have one result
@@ -245,31 +263,47 @@ def extracted(pages: DataFrame) -> DataFrame:
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                keys, at = [], []
+                keys, at, kinds = [], [], []
                 for page in part.column("html").to_pylist():
-                    lines = lines_of(page)
-                    loose = not any(place == 2 for *_, place in lines)
-                    keys.append([key for _, key, place in lines if place < 2])
-                    at.append([k if place and loose else -1 for k, (*_, place) in enumerate(lines) if place < 2])
-                yield pa.record_batch([part.column("_id"), part.column("url"), pa.array(keys, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32()))], ["_id", "url", "keys", "at"])
+                    lines = [(key, k, kind) for k, (_, key, place, kind) in enumerate(lines_of(page)) if place < 2]
+                    keys.append([x for x, *_ in lines])
+                    at.append([k for _, k, _ in lines])
+                    kinds.append([kind for *_, kind in lines])
+                columns = [part.column("_id"), part.column("url"), pa.array(keys, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32())), pa.array(kinds, pa.list_(pa.string()))]
+                yield pa.record_batch(columns, ["_id", "url", "keys", "at", "kinds"])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = []
-            for keys, at, other in zip(*(batch.column(c).to_pylist() for c in ("keys", "at", "other_keys")), strict=True):
-                gone.append([at[k] for k in sorted(shared(keys, other)) if at[k] >= 0])
-            yield pa.record_batch([batch.column("_id"), pa.array(gone, pa.list_(pa.int32()))], ["_id", "gone"])
+            gone, both, same = [], [], []
+            for keys, at, kinds, other, other_kinds in zip(*(batch.column(c).to_pylist() for c in ("keys", "at", "kinds", "other_keys", "other_kinds")), strict=True):
+                found = shared(keys, other)
+                gone.append([at[k] for k in sorted(found)])
+                both.append(sorted({x for x in kinds if x} & set(other_kinds)))
+                # a kind is shared if most of its lines are
+                same.append([x for x in both[-1] if 2 * sum(kinds[k] == x for k in found) >= kinds.count(x)])
+            yield pa.record_batch([batch.column("_id"), pa.array(gone, pa.list_(pa.int32())), pa.array(both, pa.list_(pa.string())), pa.array(same, pa.list_(pa.string()))], ["_id", "gone", "both", "same"])
+
+    # articles stay where they are: what travels is the lines outside them, and the positions to delete
+    lines = stored(pages.select("_id", "url", "html").transform(small_batches).mapInArrow(frames, "_id long, url string, keys array<string>, at array<int>, kinds array<string>").dropDuplicates(["_id"]), "frames")
+    others = nearest(lines.select("_id", "url"))
+    paired = lines.where("size(keys) > 0").join(others, "_id").join(lines.select(F.col("_id").alias("other"), F.col("keys").alias("other_keys"), F.col("kinds").alias("other_kinds")), "other")
+    found = stored(paired.transform(small_batches).mapInArrow(differ, "_id long, gone array<int>, both array<string>, same array<string>"), "differences")
+    # a row for each element and mark of the lists at most
+    both, same = (found.select(F.explode(c).alias("kind")).groupBy("kind").agg(F.count("*").alias(c)) for c in ("both", "same"))
+    frame_of = {r.kind: 2 * (r.same or 0) >= r.both for r in both.join(same, "kind", "left").collect()}
+    gone = found.where("size(gone) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # of two pairs at most
+    gone = stored(gone, "gone")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [main_text(lines_of(page), gone) for page, gone in zip(part.column("html").to_pylist(), part.column("gone").to_pylist(), strict=True)]
+                texts = []
+                for page, found in zip(part.column("html").to_pylist(), part.column("gone").to_pylist(), strict=True):
+                    lines = lines_of(page)
+                    deleted = set(found or ()) | {k for k, (*_, place, kind) in enumerate(lines) if not place and frame_of.get(kind, True)}
+                    texts.append(main_text(lines, deleted if differencing else set()))
                 yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    # articles stay where they are: what travels is the lines outside them, and the positions to delete on pages without one
-    lines = stored(pages.select("_id", "url", "html").transform(small_batches).mapInArrow(frames, "_id long, url string, keys array<string>, at array<int>").dropDuplicates(["_id"]), "frames")
-    others = nearest(lines.select("_id", "url"))
-    paired = lines.where("exists(at, k -> k >= 0)").join(others, "_id").join(lines.select(F.col("_id").alias("other"), F.col("keys").alias("other_keys")), "other")
-    gone = stored(paired.select("_id", "keys", "at", "other_keys").transform(small_batches).mapInArrow(differ, "_id long, gone array<int>").where("size(gone) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")  # of two pairs at most
-    pages = pages.join(broadcast_if_small(gone, gone.count(), SMALL), "_id", "left")
+    entries = gone.agg(F.sum(F.size("gone") + 8)).first()[0] or 0
+    pages = pages.join(broadcast_if_small(gone, entries, SMALL), "_id", "left")
     return pages.select("page_id", "url", "html", "gone").transform(small_batches).mapInArrow(text, "page_id long, url string, text string, n_chars long")
