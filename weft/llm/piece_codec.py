@@ -8,10 +8,14 @@ positions they are sorted by where they end, and relaxed in that order.
 For models of the BPE kind the relaxation is exact: the last piece of each prefix's encoding is unique, and an edge
 extends the encoding of the prefix before it just if BPE would leave the pair of pieces apart.
 Characters that no piece holds are edges of their own, and become byte pieces.
+
+Long segments are cut where no piece has both neighbours, since no piece crosses there. What is still long, and runs of spaces (pieces of one
+score, of which the leftmost goes first), is merged pair by pair from a heap, in time that grows with n log n.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +29,8 @@ from .common import lists, slices, small_batches
 
 #: Characters that are indexed at once, segments whose pieces a worker remembers, pairs, and bytes of text of a slice.
 INDEX_CHARS, REMEMBERED, PAIRS, SLICE = 1 << 18, 200_000, 1_000_000, 2 << 20
+#: Characters of a segment that are relaxed position by position at most.
+LONG = 512
 _START, _NONE = -2, -3
 
 
@@ -75,26 +81,51 @@ class PieceCodec:
         self.low = keys.copy().view(f"S{2 * self.depth}").ravel()
         keys[np.arange(len(names)), self.lengths] = 0xFFFF
         self.high = keys.copy().view(f"S{2 * self.depth}").ravel()
+        bridges = {int(self.code[ord(a)]) << 16 | int(self.code[ord(b)]) for t in names for a, b in zip(t, t[1:], strict=False)}
+        self.bridges = np.array(sorted(bridges), np.int64)
         self.apart: dict[int, bool] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Remembered segments: the number of each, and where the pieces of each begin in one array, with their end."""
         self.codes: dict[str, int] = {}
-        self.known: list[np.ndarray] = []
+        self.flat = np.empty(0, np.int32)
+        self.begin = np.zeros(1, np.int64)
+        self.new: list[np.ndarray] = []
+        self.new_sizes: list[np.ndarray] = []
 
     def _merged(self, text: str, last: bool = False):
-        """The pieces of text by merging the best neighbours; last: rather the single piece that comes out and the pair it was made of, if one does."""
+        """The pieces of text by merging the best neighbours, of equal ones the leftmost; last: rather the single piece that comes out and the pair it was made of, if one does."""
+        names, n = list(text), len(text)
         now = [self.piece.get(c, -1 - ord(c)) for c in text]
-        names = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(k: int) -> None:
+            if (r := self.rank.get(self.piece.get(names[k] + names[after[k]], -1))) is not None:
+                heapq.heappush(heap, (r, k, names[k], names[after[k]]))
+
+        for k in range(n - 1):
+            offer(k)
         pair = None
-        while len(now) > 1:
-            best = min(((self.rank.get(self.piece.get(names[k] + names[k + 1], -1), np.inf), k) for k in range(len(now) - 1)), default=(np.inf, 0))
-            if best[0] == np.inf:
-                break
-            k = best[1]
-            pair = (now[k], now[k + 1])
-            names[k : k + 2] = [names[k] + names[k + 1]]
-            now[k : k + 2] = [self.piece[names[k]]]
+        while heap:
+            _, k, left, right = heapq.heappop(heap)
+            j = after[k]
+            if names[k] != left or j >= n or names[j] != right:  # one of the two has been merged meanwhile
+                continue
+            pair = (now[k], now[j])
+            names[k] = left + right
+            now[k] = self.piece[names[k]]
+            names[j] = ""
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+                offer(k)
+            if before[k] >= 0:
+                offer(before[k])
         if last:
-            return (now[0], pair) if len(now) == 1 else None
-        return now
+            return (now[0], pair) if n and after[0] >= n else None
+        return [i for i, t in zip(now, names, strict=True) if t]
 
     def _stay_apart(self, a: int, b: int) -> bool:
         """Whether BPE over the text of both leaves just a and b: it does unless pieces of a's right edge and b's left edge would merge before the two were whole."""
@@ -133,11 +164,12 @@ class PieceCodec:
         return np.concatenate([*starts, odd]), np.concatenate([*ends, odd + 1]), np.concatenate([*pieces, np.full(len(odd), -1)])
 
     def _learn(self, segments: list[str]) -> None:
-        """Encodes new segments and remembers them, at codes from len(self.known) on."""
-        spaced = [s for s in segments if "  " in s]  # runs of spaces are pieces of one score, so their merges are simulated
-        plain = [s for s in segments if "  " not in s]
-        for s in spaced:
-            self._remember(s, self._merged_runs(s))
+        """Encodes new segments and remembers them."""
+        # runs of spaces are pieces of one score, so their merges are simulated
+        heaped = [s for s in segments if "  " in s or len(s) > LONG]
+        plain = [s for s in segments if "  " not in s and len(s) <= LONG]
+        for s in heaped:
+            self._remember([s], self._merged_runs(s))
         if not plain:
             return
         sizes = np.array([len(s) for s in plain])
@@ -184,11 +216,10 @@ class PieceCodec:
         has_odd = np.zeros(len(plain), bool)
         has_odd[seg[odd]] = True
         p32 = p.astype(np.int32)
-        for k, s in enumerate(plain):
+        for k in np.flatnonzero(has_odd):
             ids = p32[bounds[k] : bounds[k + 1]]
-            if has_odd[k]:
-                ids = self._with_bytes(s, ids, where[bounds[k] : bounds[k + 1]] - first[k])
-            self._remember(s, ids)
+            self._remember([plain[k]], self._with_bytes(plain[k], ids, where[bounds[k] : bounds[k + 1]] - first[k]))
+        self._remember([s for s, o in zip(plain, has_odd, strict=True) if not o], p32[~has_odd[seg]], np.diff(bounds)[~has_odd])
 
     def _with_bytes(self, s: str, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         return np.concatenate([self.byte_id[list(s[w].encode("utf-8", "surrogatepass"))] if i < 0 else [i] for i, w in zip(ids, at, strict=True)]).astype(np.int32)
@@ -197,9 +228,17 @@ class PieceCodec:
         now = self._merged(s)
         return np.concatenate([self.byte_id[list(chr(-1 - i).encode("utf-8", "surrogatepass"))] if i < 0 else [i] for i in now]).astype(np.int32)
 
-    def _remember(self, s: str, ids: np.ndarray) -> None:
-        self.codes[s] = len(self.known)
-        self.known.append(ids)
+    def _remember(self, segments: list[str], ids: np.ndarray, sizes: np.ndarray | None = None) -> None:
+        """ids: the pieces of the segments, one after the other."""
+        self.codes.update(zip(segments, range(len(self.codes), len(self.codes) + len(segments)), strict=True))
+        self.new.append(ids)
+        self.new_sizes.append(np.array([len(ids)]) if sizes is None else sizes)
+
+    def _cut(self, segment: str) -> list[str]:
+        """A long segment in parts that no piece crosses."""
+        code = self.code[np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        cuts = [0, *(np.flatnonzero(~np.isin(code[:-1] << 16 | code[1:], self.bridges)) + 1).tolist(), len(segment)]
+        return [segment[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _known_apart(self, key: int) -> bool:
         found = self.apart.get(key)
@@ -212,9 +251,9 @@ class PieceCodec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The piece ids of each text; none for null and empty texts."""
         parts = [self.segment.findall(" " + t.replace("▁", " ")) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.codes.clear()
-            self.known.clear()
+        parts = [[x for s in p for x in self._cut(s)] if len(max(p, key=len, default="")) > LONG else p for p in parts]
+        if len(self.codes) > REMEMBERED or len(self.flat) > 16 * REMEMBERED:
+            self._forget()
         new: dict[str, None] = {}
         for p in parts:
             new.update(dict.fromkeys(s for s in p if s not in self.codes))
@@ -227,9 +266,11 @@ class PieceCodec:
                 group, size = [], 0
         if group:
             self._learn(group)
-        counts = np.array([len(k) for k in self.known])
-        flat = np.concatenate(self.known) if self.known else np.empty(0, np.int32)
-        begin = np.cumsum(counts) - counts
+        if self.new:
+            self.flat = np.concatenate([self.flat, *self.new])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(self.new_sizes))])
+            self.new, self.new_sizes = [], []
+        flat, begin, counts = self.flat, self.begin[:-1], np.diff(self.begin)
         out = []
         for p in parts:
             c = np.fromiter(map(self.codes.__getitem__, p), np.int64, len(p))
