@@ -13,28 +13,33 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The piece ids of every document, and whether they decode to its text."""
+    """The piece ids of every document, and the digest of the text that they decode to."""
     docs = documents(spark, sf_dir)
     return piece_codec.pieces(docs).select("doc_id", "n_pieces", "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    """The lines that go from every document, with the text that is left as a digest, and how deep its repeated runs are."""
+    return line_dedup.dedup_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "deepest")
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set of shingles and the component that its links reach."""
     return jaccard_join.jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return page_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of every document."""
     return sharding.sharded(documents(spark, sf_dir))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -46,14 +51,17 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document, as a digest."""
     return substring_dedup.dedup_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds."""
     return decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and the feature of every document's media file."""
     return media.media_features(documents(spark, sf_dir))
 
 
@@ -67,6 +75,32 @@ _SETS = f"""
   select distinct id, array_to_string(w[i : i + 4], ' ') as s from (select id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from {{0}}_words where len(w) > 0)
 )"""
 
+def _lines_sql(levels: int = 14) -> str:
+    """op2 in SQL, with the rounds of doubling written out, to runs of 2^levels lines; texts of the given tables have fewer lines."""
+    ctes = []
+    for d in range(levels):
+        step = 2**d
+        ctes.append(f"""r{d + 1} as (
+  select doc_id, pos, name, count(*) over (partition by name) > 1 as held from (
+    select a.doc_id, a.pos, dense_rank() over (order by a.name, b.name) as name from r{d} a join r{d} b on b.doc_id = a.doc_id and b.pos = a.pos + {step} where a.held and b.held)
+)""")
+    deep = " union all ".join(f"select doc_id, {2**d}::bigint as depth from r{d} where held" for d in range(levels + 1))
+    return f"""
+with l as (
+  select doc_id, unnest(range(1, len(x) + 1)) as pos, unnest(x) as line, len(x) as n from (select doc_id, string_split(text, chr(10)) as x from documents)
+), p as (
+  select *, lead(line) over (partition by doc_id order by pos) as next from l
+), f as (
+  select *, row_number() over (partition by line order by doc_id, pos) as nth, case when next is not null then row_number() over (partition by line, next order by doc_id, pos) end as nth2 from p
+), g as (
+  select *, (nth > 1 and length(line) >= 40) or coalesce(nth2, 1) > 1 or coalesce(lag(nth2) over (partition by doc_id order by pos), 1) > 1 as gone from f
+), r0 as (select doc_id, pos, name, count(*) over (partition by name) > 1 as held from (select doc_id, pos, dense_rank() over (order by line) as name from l)),
+{", ".join(ctes)},
+deep as (select doc_id, max(depth) as deepest from ({deep}) group by doc_id)
+select g.doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256, coalesce(any_value(deepest), 0) as deepest
+from g left join deep using (doc_id) group by g.doc_id"""
+
+
 def _tree_sql(levels: int = 8) -> str:
     """op7 in SQL, with the rounds over the levels written out; paths of the given tables have fewer."""
     ctes = [
@@ -111,18 +145,7 @@ select page_id, host, path, rule, case rule {verdicts} else case when rejected t
 
 
 ORACLE_SQL = {
-    "op2_line_dedup": """
-with l as (
-  select doc_id, unnest(range(1, len(x) + 1)) as pos, unnest(x) as line, len(x) as n from (select doc_id, string_split(text, chr(10)) as x from documents)
-), p as (
-  select *, lead(line) over (partition by doc_id order by pos) as next from l
-), f as (
-  select *, row_number() over (partition by line order by doc_id, pos) as nth, case when next is not null then row_number() over (partition by line, next order by doc_id, pos) end as nth2 from p
-), g as (
-  select *, (nth > 1 and length(line) >= 40) or coalesce(nth2, 1) > 1 or coalesce(lag(nth2) over (partition by doc_id order by pos), 1) > 1 as gone from f
-)
-select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
-from g group by doc_id""",
+    "op2_line_dedup": _lines_sql(),
     "op3_ngram_jaccard_join": f"""
 with recursive {_SETS.format("d", "doc_id", "documents")},
 n as (select doc_id, count(s) as n from documents left join d_sets on id = doc_id group by doc_id),
