@@ -277,21 +277,23 @@ def extracted(pages: DataFrame, differencing: bool = True) -> DataFrame:
             gone, both, same = [], [], []
             for keys, at, kinds, other, other_kinds in zip(*(batch.column(c).to_pylist() for c in ("keys", "at", "kinds", "other_keys", "other_kinds")), strict=True):
                 found = shared(keys, other)
-                gone.append([at[k] for k in sorted(found)])
+                gone.append([{"at": at[k], "kind": kinds[k]} for k in sorted(found)])
                 both.append(sorted({x for x in kinds if x} & set(other_kinds)))
                 # a kind is shared if most of its lines are
                 same.append([x for x in both[-1] if 2 * sum(kinds[k] == x for k in found) >= kinds.count(x)])
-            yield pa.record_batch([batch.column("_id"), pa.array(gone, pa.list_(pa.int32())), pa.array(both, pa.list_(pa.string())), pa.array(same, pa.list_(pa.string()))], ["_id", "gone", "both", "same"])
+            yield pa.record_batch([batch.column("_id"), pa.array(gone, pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.string())]))), pa.array(both, pa.list_(pa.string())), pa.array(same, pa.list_(pa.string()))], ["_id", "gone", "both", "same"])
 
     # articles stay where they are: what travels is the lines outside them, and the positions to delete
     lines = stored(pages.select("_id", "url", "html").transform(small_batches).mapInArrow(frames, "_id long, url string, keys array<string>, at array<int>, kinds array<string>").dropDuplicates(["_id"]), "frames")
     others = nearest(lines.select("_id", "url"))
     paired = lines.where("size(keys) > 0").join(others, "_id").join(lines.select(F.col("_id").alias("other"), F.col("keys").alias("other_keys"), F.col("kinds").alias("other_kinds")), "other")
-    found = stored(paired.transform(small_batches).mapInArrow(differ, "_id long, gone array<int>, both array<string>, same array<string>"), "differences")
+    found = stored(paired.transform(small_batches).mapInArrow(differ, "_id long, gone array<struct<at:int,kind:string>>, both array<string>, same array<string>"), "differences")
     # a row for each element and mark of the lists at most
     both, same = (found.select(F.explode(c).alias("kind")).groupBy("kind").agg(F.count("*").alias(c)) for c in ("both", "same"))
     frame_of = {r.kind: 2 * (r.same or 0) >= r.both for r in both.join(same, "kind", "left").collect()}
-    gone = found.where("size(gone) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # of two pairs at most
+    # lines of a kind that is a frame everywhere need no positions
+    rest = F.transform(F.filter("gone", lambda x: ~x["kind"].isin([k for k, is_frame in frame_of.items() if is_frame])), lambda x: x["at"])
+    gone = found.select("_id", rest.alias("gone")).where("size(gone) > 0").groupBy("_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))  # of two pairs at most
     gone = stored(gone, "gone")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
