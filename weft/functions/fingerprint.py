@@ -5,8 +5,9 @@ from __future__ import annotations
 import ast
 import hashlib
 import inspect
+import re
 import textwrap
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -157,20 +158,52 @@ def code_fingerprint(fn: Any) -> str:
     return hashlib.sha256(":".join(hashlib.sha256(seen[k].encode()).hexdigest() for k in sorted(seen)).encode()).hexdigest()
 
 
-def output_fingerprint(spark: Any, outputs: tuple[str, ...]) -> str | None:
-    """Of a task's outputs: files, and tables written `table://name`. None if it has none or one is missing."""
+def row_fingerprint(df: DataFrame) -> str:
+    """md5 of the md5s of the rows (as JSON) in order; of a fixed text for no rows. For small tables: the digests go through the driver, see table_fingerprint."""
+    if df.isEmpty():
+        return hashlib.md5(b"empty-table").hexdigest()
+    rows = df.select(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})).alias("h"))
+    digest = hashlib.md5()
+    for r in rows.orderBy("h").toLocalIterator(prefetchPartitions=True):
+        digest.update(r.h.encode())
+    return digest.hexdigest()
+
+
+def object_fingerprint(value: Any) -> str:
+    """SHA-1 of an object's text."""
+    return hashlib.sha1(str(value).encode()).hexdigest()
+
+
+def output_files(spark: Any, pattern: str, values: dict[str, Any] | None = None) -> dict[str, str]:
+    """Digests by path of the files that a pattern names, on any file system that Spark reads: ${name} is its value, or anything."""
+    pattern = re.sub(r"\$\{(\w+)\}", lambda m: str((values or {}).get(m[1], "*")), pattern)
+    if not _exists(spark, pattern):
+        return {}
+    rows = spark.read.format("binaryFile").load(pattern).select("path", F.sha2("content", 256).alias("digest"))
+    return {r.path: r.digest for r in rows.orderBy("path").collect()}  # a row for each file
+
+
+def _exists(spark: Any, pattern: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[str], DataFrame | None] | None = None) -> str | None:
+    """Of a task's outputs: files and folders on any file system, and tables written `table://name`. None if it has none or one is missing. table: reads tables, if not the session."""
     parts = []
     for uri in outputs:
         if uri.startswith("table://"):
             name = uri.removeprefix("table://")
-            if not spark.catalog.tableExists(name):
+            df = table(name) if table else spark.table(name) if spark.catalog.tableExists(name) else None
+            if df is None:
                 return None
-            parts.append(table_fingerprint(spark.table(name)))
-        elif not Path(uri).exists():
+            parts.append(table_fingerprint(df))
+        elif "://" not in uri and Path(uri).is_file():
+            parts.append(file_fingerprint(uri))
+        elif not _exists(spark, uri):
             return None
-        elif Path(uri).is_dir():
+        else:
             rows = files_fingerprint(spark, uri).agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "digest").cast("decimal(38,0)")).alias("h")).first()
             parts.append(f"{rows.n}:{rows.h}")
-        else:
-            parts.append(file_fingerprint(uri))
     return hashlib.sha256(":".join(sorted(parts)).encode()).hexdigest() if parts else None

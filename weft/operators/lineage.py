@@ -5,6 +5,10 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.sql import referenced_tables
+from .relations import cascade
 
 
 def _seq(s: Any) -> list[Any]:
@@ -70,3 +74,33 @@ def lineage_edges(spark: SparkSession, queries: dict[str, str]) -> DataFrame:
     """from_table, from_column, to_table, to_column of tables made by queries."""
     rows = [(t, c, name, out) for name, q in queries.items() for out, found in column_sources(spark.sql(q)).items() for t, c in found]
     return spark.createDataFrame(rows, "from_table string, from_column string, to_table string, to_column string")
+
+
+class Tree:
+    """Tables by the queries that make them, and what they depend on. Only names are needed, so none of the tables must exist."""
+
+    def __init__(self, spark: SparkSession, queries: dict[str, str]) -> None:
+        self.names = {n.lower(): n for n in queries}
+        self.needs = {n.lower(): referenced_tables(spark, q) for n, q in queries.items()}
+
+    def depends_on(self, table: str) -> list[str]:
+        """Display names of the tables that a table is made of."""
+        if table.lower() not in self.needs:
+            raise KeyError(f"no table {table}; there are {', '.join(sorted(self.names.values()))}")
+        return [self.names.get(t, t) for t in self.needs[table.lower()]]
+
+    def edges(self, spark: SparkSession) -> DataFrame:
+        """src, dst of all dependencies; tables that no query makes are sources."""
+        return spark.createDataFrame([(self.names.get(t, t), self.names[n]) for n, needs in self.needs.items() for t in needs], "src string, dst string")
+
+
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """edges(src, dst), start(node) to node, way, direct: what start leads to (down) and what leads to it (up), in one edge or more."""
+    out = None
+    for way, a, b in (("down", "src", "dst"), ("up", "dst", "src")):
+        along = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+        near = along.join(start, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+        far = cascade(along, start).join(start, "node", "left_anti")
+        found = far.join(near.withColumn("near", F.lit(True)), "node", "left").select("node", F.lit(way).alias("way"), F.coalesce("near", F.lit(False)).alias("direct"))
+        out = found if out is None else out.union(found)
+    return out

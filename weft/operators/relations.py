@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import GraphError
+
 
 def staleness(current: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
     """current(key, now_hash), stored(key, output_hash) to key, is_stale, reason."""
@@ -33,6 +35,15 @@ def cascade(edges: DataFrame, start: DataFrame) -> DataFrame:
         reached = reached.union(frontier)
 
 
+def heads(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) to the nodes that nothing leads to."""
+    return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+
+
+def tails(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")), "node", "left_anti")
+
+
 def wrapper_cascade(subtasks: DataFrame, group: list[str], position: str, stale: str) -> DataFrame:
     """subtasks and must_run: the first stale one of a group and all after it."""
     w = Window.partitionBy(*group).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
@@ -74,3 +85,37 @@ def subset(items: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
 def binned(values: DataFrame, position: str, size: int = 500) -> DataFrame:
     """values and bin, by position."""
     return values.withColumn("bin", F.floor(F.col(position) / size).cast("long"))
+
+
+def bin_lists(values: DataFrame, position: str, value: str, size: int = 500) -> DataFrame:
+    """bin and items: the values of each bin in order, `size` of them at most."""
+    listed = F.array_sort(F.collect_list(F.struct(position, value)))
+    return binned(values, position, size).groupBy("bin").agg(F.transform(listed, lambda x: x[value]).alias("items"))
+
+
+def unbinned(bins: DataFrame, size: int = 500) -> DataFrame:
+    """bins(bin, items) to position and item, as they were."""
+    return bins.select("bin", F.posexplode("items").alias("nth", "item")).select((F.col("bin").cast("long") * size + F.col("nth")).alias("position"), "item")
+
+
+def with_item(bins: DataFrame, position: int, item: Column, size: int = 500) -> DataFrame:
+    """bins(bin, items) with another item at a position; only its bin changes."""
+    new = F.transform("items", lambda x, i: F.when(i == position % size, item).otherwise(x))
+    return bins.withColumn("items", F.when(F.col("bin") == position // size, new).otherwise(F.col("items")))
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) to node, level: the longest way that leads to a node. A round for each level; a cycle never ends in one, so it is an error."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    now = nodes.withColumn("level", F.lit(0))
+    frontier, level, most = now.select("node"), 0, None
+    while True:
+        frontier = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct()
+        frontier = frontier.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else frontier.cache()
+        if frontier.isEmpty():
+            return now.groupBy("node").agg(F.max("level").alias("level"))
+        level += 1
+        most = most or nodes.count()
+        if level >= most:
+            raise GraphError("cycle")
+        now = now.union(frontier.withColumn("level", F.lit(level)))

@@ -9,6 +9,9 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StateStoreError
+
+# The key columns of task state, and the status of a task that is done.
 KEY = ["storage_key", "pipeline_name", "task_name"]
 SCHEMA = "storage_key string, pipeline_name string, task_name string, output_hash string, status string, ran_at string, seq long, deleted boolean"
 
@@ -37,6 +40,13 @@ class MemoryStore:
         return sorted(t for s, p, t in self.rows if (s, p) == (storage_key, pipeline))
 
 
+class NoStore(MemoryStore):
+    """Keeps nothing: every task runs."""
+
+    def write_hash(self, storage_key: str, pipeline: str, task: str, output_hash: str) -> None:
+        pass
+
+
 class TableStore(MemoryStore):
     """State as Parquet files that are only added to, and read once for a run; a lost table is begun anew."""
 
@@ -64,8 +74,23 @@ class TableStore(MemoryStore):
         self._add(key, None, True)
 
     def compact(self) -> None:
-        """One file instead of one for each write."""
-        old = latest(self.spark.read.schema(SCHEMA).parquet(self.path)).withColumn("deleted", F.lit(False))
-        new = f"{self.path}-{uuid.uuid4().hex}"
-        old.coalesce(1).write.parquet(new)
-        self.spark.read.schema(SCHEMA).parquet(new).coalesce(1).write.mode("overwrite").parquet(self.path)
+        """One file instead of one for each write. The old folder is kept until the new one is in its place."""
+        now = latest(self.spark.read.schema(SCHEMA).parquet(self.path)).withColumn("deleted", F.lit(False))
+        new, old = f"{self.path}-{uuid.uuid4().hex}", f"{self.path}-{uuid.uuid4().hex}"
+        now.coalesce(1).write.parquet(new)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not (fs.rename(path(self.path), path(old)) and fs.rename(path(new), path(self.path))):
+            raise StateStoreError(f"{self.path} could not be put in place; the state is in {old}")
+        fs.delete(path(old), True)
+
+
+def store(kind: str, spark: SparkSession | None = None, path: str | None = None) -> MemoryStore:
+    """The store of a kind: memory, none, or table, which takes a folder."""
+    if kind == "table":
+        if not path:
+            raise StateStoreError("a table store needs a folder")
+        return TableStore(spark, path)
+    if kind not in {"memory", "none"}:
+        raise ValueError(f"no store {kind}; there are memory, none, table")
+    return MemoryStore() if kind == "memory" else NoStore()

@@ -8,9 +8,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-
-class GraphError(Exception):
-    """A cycle, or an edge to a node that isn't there."""
+from ..errors import GraphError
 
 
 @dataclass(eq=False)
@@ -90,14 +88,14 @@ def task(fn: Callable | None = None, *, outputs: Iterable[str] = (), optional: s
 
 
 def sql_task(path: str, *, outputs: Iterable[str] = (), optional: str | None = None, requires: Iterable[Any] = (), checkpoint: bool = False) -> Node:
-    """A file of SQL statements; its name is the file's stem. Called directly it takes spark= and caches nothing."""
+    """A file of SQL statements; its name is the file's stem. Called directly it takes spark= and args=, and caches nothing; in a run its parameters are the values and arguments that tasks get."""
 
-    def run(*, spark: Any) -> Any:
+    def run(*, spark: Any, args: dict[str, Any] | None = None) -> Any:
         from ..sources.sql import run_file
 
         if spark is None:
             raise TypeError("spark is needed")
-        return run_file(spark, path)
+        return run_file(spark, path, args)
 
     return Node(Path(path).stem, "sql", run, tuple(outputs), optional, tuple(requires), checkpoint, path)
 
@@ -106,7 +104,7 @@ def _group(kind: str, name: str, branches: tuple[Any, ...]) -> Graph:
     if not branches:
         raise ValueError(f"{kind} needs branches")
     graphs = [Graph.of(b) for b in branches]
-    start = Node(name, kind, members=tuple(g.heads()[0].name for g in graphs))
+    start = Node(name, kind, members=tuple(dict.fromkeys(n.name for g in graphs for n in g.nodes)))
     out = Graph([start])
     for g in graphs:
         out = out.merged(g, *((start, h) for h in g.heads()))
@@ -183,10 +181,21 @@ class Pipeline(Graph):
 
     def __init__(self, name: str, graph: Any):
         g = expanded(Graph.of(graph))
-        start = Node(name, "pipeline")
+        start = Node(name, "pipeline", members=tuple(n.name for n in g.nodes))
         super().__init__([start, *g.nodes], [*((start, h) for h in g.heads()), *g.edges], g.required)
         self.name = name
 
+    def run(self, spark: Any, **options: Any) -> dict[str, Any]:
+        from .run import run
+
+        return run(self, spark, **options)
+
+    def __call__(self, spark: Any, **options: Any) -> dict[str, Any]:
+        """Runs all tasks, whatever is cached, and keeps no state."""
+        if "no_cache" in options:
+            raise TypeError("a call never caches")
+        return self.run(spark, no_cache=True, **options)
+
 
 def order(graph: Graph) -> list[Node]:
     """Depth-first topological order: chains stay together, and of several heads the first declared comes first."""
@@ -194,21 +203,31 @@ def order(graph: Graph) -> list[Node]:
     for a, b in graph.edges:
         if a not in known or b not in known:
             raise GraphError(f"edge {a.name} -> {b.name} leaves the graph")
-    waits = {n: 0 for n in graph.nodes}
+    before: dict[Node, int] = {n: 0 for n in graph.nodes}
     after: dict[Node, list[Node]] = {n: [] for n in graph.nodes}
     for a, b in graph.edges:
-        waits[b] += 1
+        before[b] += 1
         after[a].append(b)
-    ready, out = [n for n in reversed(graph.nodes) if not waits[n]], []
-    while ready:
-        n = ready.pop()
-        out.append(n)
-        for b in reversed(after[n]):
-            waits[b] -= 1
-            if not waits[b]:
-                ready.append(b)
+    out: list[Node] = []
+
+    def visit(first: Node) -> None:
+        todo = [iter([first])]  # of each node on the way down, those after it that are left
+        while todo:
+            n = next(todo[-1], None)
+            if n is None:
+                todo.pop()
+            elif before[n] <= 0:
+                out.append(n)
+                todo.append(iter([m for m in after[n] if met(m)]))
+
+    def met(n: Node) -> bool:
+        before[n] -= 1
+        return not before[n]
+
+    for n in [n for n in graph.nodes if not before[n]]:
+        visit(n)
     if len(out) < len(graph.nodes):
-        raise GraphError("cycle: " + ", ".join(sorted(n.name for n, w in waits.items() if w > 0)))
+        raise GraphError("cycle: " + ", ".join(sorted(n.name for n, w in before.items() if w > 0)))
     return out
 
 

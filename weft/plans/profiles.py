@@ -7,13 +7,10 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
+from ..errors import ProfileError
 from .dag import AnyOf, Graph, Node, order
 
 
-class ProfileError(Exception):
-    pass
-
-
 @dataclass(frozen=True)
 class Profile:
     stages: dict[str, tuple[str, ...]] = field(default_factory=dict)
@@ -139,14 +136,26 @@ def gate(graph: Graph) -> Graph:
 
 
 def cut(graph: Graph, profile: Profile) -> tuple[Graph, set[Node]]:
-    """The graph up to stop_after, and the nodes before start_from, which are kept but not run."""
+    """The graph up to stop_after, and the nodes before start_from, which are kept but not run.
+
+    Stages stay whole: a cursor at a branch is one at its stage. So do parallels and pipelines at which a run stops: all their tasks are kept.
+    """
     nodes = order(graph)
-    names = [n.name for n in nodes]
+    at = {n.name: k for k, n in enumerate(nodes)}
+    stage = {b.name: a for a, b in graph.edges if a.kind == "stage"}
     for c in (profile.start_from, profile.stop_after):
-        if c and c not in names:
-            raise ProfileError(f"no task {c}")
-    first = names.index(profile.start_from) if profile.start_from else 0
-    last = names.index(profile.stop_after) if profile.stop_after else len(nodes) - 1
+        if c and c not in at:
+            near = difflib.get_close_matches(c, at, 1)
+            raise ProfileError(f"no task {c}" + (f". Did you mean {near[0]}?" if near else ""))
+
+    def group(c: str) -> Node:
+        return stage.get(c, nodes[at[c]])
+
+    first = at[group(profile.start_from).name] if profile.start_from else 0
+    last = len(nodes) - 1
+    if profile.stop_after:
+        end = group(profile.stop_after)
+        last = max(at[m] for m in (end.name, *end.members) if m in at)
     if last < first:
         raise ProfileError("stop_after comes before start_from")
     kept = set(nodes[: last + 1])

@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import TaskError
 from ..functions.fingerprint import code_fingerprint, file_fingerprint, output_fingerprint
-from ..operators.state import MemoryStore
+from ..operators import mapped
+from ..operators.state import MemoryStore, NoStore
 from . import profiles as P
+from . import snapshot
 from .dag import Graph, Node, Pipeline, lanes, order
 
 
-class TaskError(Exception):
-    pass
-
-
 def compiled(pipeline: Pipeline, profile: P.Profile | None) -> tuple[Graph, set[Node]]:
     graph: Graph = pipeline
     skipped: set[Node] = set()
@@ -32,9 +32,9 @@ def _code(n: Node) -> str:
     return file_fingerprint(n.path) if n.path else code_fingerprint(n.run)
 
 
-def fingerprint(spark: SparkSession, n: Node) -> str | None:
-    """Of a task's code and its outputs; None while an output is missing."""
-    if n.outputs and (found := output_fingerprint(spark, n.outputs)) is None:
+def fingerprint(spark: SparkSession, n: Node, table: Callable[[str], DataFrame] | None = None) -> str | None:
+    """Of a task's code and its outputs; None while an output is missing. table: where tables are read from, if not the session's."""
+    if n.outputs and (found := output_fingerprint(spark, n.outputs, table)) is None:
         return None
     return hashlib.sha256(f"{_code(n)}:{found if n.outputs else ''}".encode()).hexdigest()
 
@@ -52,24 +52,68 @@ def plan(pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.
     return out
 
 
-def run(pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.Profile | None = None, storage_key: str = "", force: bool = False) -> dict[str, Any]:
-    """Results by task name. Lanes run one after the other, the tasks of one at the same time; the first failure ends the run, and what is done stays recorded."""
-    store = MemoryStore() if store is None else store
+def run(
+    pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.Profile | None = None, storage_key: str = "", force: bool = False, no_cache: bool = False, checkpoints: str | None = None
+) -> dict[str, Any]:
+    """Results by task name. Lanes run one after the other, the tasks of one at the same time; the first failure ends the run, and what is done stays recorded.
+
+    no_cache: every task runs and no state is kept. checkpoints: the folder of snapshots, if not the session's.
+    """
+    store = NoStore() if no_cache else MemoryStore() if store is None else store
     graph, skipped = compiled(pipeline, profile)
     values: dict[str, Any] = {"spark": spark}
     results: dict[str, Any] = {}
     dirty: set[Node] = set()
     log: list[str] = []
     before = {n: [a for a, b in graph.edges if b is n] for n in graph.nodes}
+    place = snapshot.folder(spark, checkpoints, pipeline.name) if any(n.checkpoint for n in graph.nodes) and not no_cache else None
+    if place and not force and not store.list_tasks(storage_key, pipeline.name):
+        last = snapshot.candidate(spark, place, order(graph), lambda n, s: fingerprint(spark, n, lambda t: s.table(spark, t) if t in s.tables else None))
+        if last:
+            snapshot.restore(spark, last, lambda task, value: store.write_hash(storage_key, pipeline.name, task, value))
+            log.append(f"[RESTORE] {last.task}")
+
+    def arguments(n: Node) -> dict[str, Any]:
+        return values | (profile.args.get(n.name, {}) if profile else {})
 
-    def call(n: Node, *args: Any) -> Any:
-        given = values | (profile.args.get(n.name, {}) if profile else {})
+    def call(n: Node) -> Any:
         if n.kind == "sql":
-            return n(spark=spark)
+            return n.run(spark=spark, args={k: v for k, v in arguments(n).items() if k != "spark"})
         wanted = inspect.signature(n.run).parameters
         every = any(p.kind is p.VAR_KEYWORD for p in wanted.values())
-        positional = list(wanted)[: len(args)]
-        return n.run(*args, **{k: v for k, v in given.items() if (every or k in wanted) and k not in positional})
+        return n.run(**{k: v for k, v in arguments(n).items() if every or k in wanted})
+
+    def state(n: Node, name: str, forced: bool) -> tuple[bool, str | None]:
+        now = fingerprint(spark, n) if n.outputs else None
+        return bool(now and not forced and now == store.read_hash(storage_key, pipeline.name, name)), now
+
+    def over(n: Node, forced: bool) -> None:
+        """Runs a task for each item; an item's state is its own, and the first error ends the run."""
+        first, *path = n.over.split(".")
+        items = results.get(first)
+        for p in path:
+            items = items.get(p) if isinstance(items, dict) else getattr(items, p, None)
+        if items is None:
+            log.append(f"[WARN] {n.name} - nothing at {n.over}")
+        items = list(items or [])
+        names = [f"{n.name}[{i}]" for i in items]
+        cached = [state(n, name, forced)[0] for name in names]
+        log.extend(f"[{'SKIP' if c else 'RUN'}] {name}" + (" - cached" if c else "") for name, c in zip(names, cached, strict=True))
+        todo = [k for k, c in enumerate(cached) if not c]
+        wanted = list(inspect.signature(n.run).parameters)
+        given = {k: v for k, v in arguments(n).items() if k in wanted[1:]}
+        if "spark" in wanted:  # such tasks start jobs of their own
+            done = [(True, n.run(items[k], **given), None) for k in todo]
+        else:
+            done = mapped.run_items(spark, n.run, [items[k] for k in todo], given)
+        results[n.name] = [None] * len(items)
+        for k, (ok, value, error) in zip(todo, done, strict=True):
+            if not ok:
+                raise RuntimeError(f"{names[k]}: {error}")
+            results[n.name][k] = value
+        if n.outputs and (now := fingerprint(spark, n)) is not None:
+            for k in todo:
+                store.write_hash(storage_key, pipeline.name, names[k], now)
 
     def one(n: Node) -> None:
         if n in skipped:
@@ -77,27 +121,26 @@ def run(pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.P
         if n.kind == "config":
             for k, v in n.values.items():
                 make, alias = v if isinstance(v, tuple) else (v, k)
-                values[alias] = make()
+                try:
+                    values[alias] = make()
+                except Exception as e:
+                    log.append(f"[FAIL] {n.name}.{k}")
+                    raise TaskError(f"{n.name}.{k}: {e}", log) from e
             return
         forced = force or any(a in dirty for a in before[n])
         if n.kind not in {"python", "sql", "map"}:
             if forced:
                 dirty.add(n)
             return
-        now = fingerprint(spark, n) if n.outputs else None
-        then = store.read_hash(storage_key, pipeline.name, n.name)
-        if now and now == then and not forced:
+        cached, now = state(n, n.name, forced)
+        if cached and n.kind != "map":
             log.append(f"[SKIP] {n.name} - cached")
             results[n.name] = spark.table(n.outputs[0].removeprefix("table://")) if n.outputs[0].startswith("table://") else None
             return
         log.append(f"[{'MAP' if n.kind == 'map' else 'RUN'}] {n.name}")
         try:
             if n.kind == "map":
-                first, *path = n.over.split(".")
-                items = results.get(first)
-                for p in path:
-                    items = items.get(p) if isinstance(items, dict) else getattr(items, p, None)
-                results[n.name] = [call(n, i) for i in items or []]
+                over(n, forced)
             else:
                 out = call(n)
                 tables = [u.removeprefix("table://") for u in n.outputs if u.startswith("table://")]
@@ -107,14 +150,26 @@ def run(pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.P
                 results[n.name] = out
         except Exception as e:
             log.append(f"[FAIL] {n.name}")
-            raise TaskError(f"{n.name}: {e}") from e
+            raise TaskError(f"{n.name}: {e}", log) from e
         if n.outputs:
             dirty.add(n)
-            if (done := fingerprint(spark, n)) is not None:
+            if n.kind != "map" and (done := fingerprint(spark, n)) is not None:
                 store.write_hash(storage_key, pipeline.name, n.name, done)
+        if n.checkpoint and place:
+            tasks = order(graph)
+            tasks = [t for t in tasks[: tasks.index(n) + 1] if t.kind in {"python", "sql"}]
+            hashes = {t.name: h for t in tasks if (h := store.read_hash(storage_key, pipeline.name, t.name))}
+            snapshot.save(spark, place, n.name, [u.removeprefix("table://") for t in tasks for u in t.outputs if u.startswith("table://")], hashes)
+            log.append(f"[CHECKPOINT] {n.name}")
 
     for lane in lanes(graph):
         with ThreadPoolExecutor(max(1, len(lane))) as pool:
-            list(pool.map(one, lane))
+            tasks = [pool.submit(one, n) for n in lane]
+            done, rest = wait(tasks, return_when=FIRST_EXCEPTION)
+            for t in rest:  # those that have not begun
+                t.cancel()
+            for t in tasks:
+                if not t.cancelled():
+                    t.result()
     results["log"] = log
     return results

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fingerprint as fp
 from .operators import lineage, mapped, relations, state
 from .plans import dag, profiles, run
-from .sources import preview, sql
+from .sources import preview, scan, sql
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +37,7 @@ def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
     """A query that is one SQL text over some tables; oracle: the same in the other dialect, where it differs."""
 
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in tables.split()}))
+        return sql.run_text(spark, text.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in tables.split()}))
 
     QUERIES[name] = fn
     ORACLE_SQL[name] = (oracle or text).format(**{t: t for t in tables.split()})
@@ -132,21 +136,43 @@ def execution_lanes(spark, sf_dir):
     return spark.createDataFrame(rows, "task string, lane int")
 
 
-@query(None)
+@query("select * from (values (0, 'example'), (1, 'raw'), (2, 'clean'), (3, 'kind'), (4, 'left'), (5, 'right'), (6, 'extra'), (7, 'join'), (8, 'report')) t(position, task)")
 def topo_order(spark, sf_dir):
     return spark.createDataFrame([(k, n.name) for k, n in enumerate(dag.order(_example()))], "position int, task string")
 
 
-@query(f"select distinct src as task from {_EDGES} where not exists (select 1 from {_EDGES.replace(' e(', ' f(')} where f.dst = e.src)")
+def _dependencies(spark, sf_dir):
+    """Regions lead to nations, these to customers, and these to orders."""
+    node = lambda c, base: (F.col(c) + base).cast("long")
+    a = _t(spark, sf_dir, "nation").select(node("n_regionkey", 0).alias("src"), node("n_nationkey", 100).alias("dst"))
+    b = _t(spark, sf_dir, "customer").select(node("c_nationkey", 100).alias("src"), node("c_custkey", 1000).alias("dst"))
+    return a.union(b).union(_t(spark, sf_dir, "orders").select(node("o_custkey", 1000).alias("src"), node("o_orderkey", 100_000_000).alias("dst")))
+
+
+_DEPENDENCIES = "e as (select n_regionkey::bigint as src, 100 + n_nationkey::bigint as dst from nation union all select 100 + c_nationkey, 1000 + c_custkey from customer union all select 1000 + o_custkey, 100000000 + o_orderkey from orders)"
+
+
+@query(f"with {_DEPENDENCIES} select distinct src as node from e where src not in (select dst from e)")
 def graph_heads(spark, sf_dir):
-    e = spark.createDataFrame([(a.name, b.name) for a, b in _example().edges], "src string, dst string")
-    return e.select(F.col("src").alias("task")).distinct().join(e.select(F.col("dst").alias("task")), "task", "left_anti")
+    return relations.heads(_dependencies(spark, sf_dir))
 
 
-@query(f"select distinct dst as task from {_EDGES} where not exists (select 1 from {_EDGES.replace(' e(', ' f(')} where f.src = e.dst)")
+@query(f"with {_DEPENDENCIES} select distinct dst as node from e where dst not in (select src from e)")
 def graph_tails(spark, sf_dir):
-    e = spark.createDataFrame([(a.name, b.name) for a, b in _example().edges], "src string, dst string")
-    return e.select(F.col("dst").alias("task")).distinct().join(e.select(F.col("src").alias("task")), "task", "left_anti")
+    return relations.tails(_dependencies(spark, sf_dir))
+
+
+@query(f"with recursive {_DEPENDENCIES}, l as (select distinct src as node, 0 as level from e union select dst, level + 1 from l join e on src = node) select node, max(level) as level from l group by node")
+def topo_levels(spark, sf_dir):
+    return relations.levels(_dependencies(spark, sf_dir))
+
+
+@query(
+    f"""with recursive {_DEPENDENCIES}, d as (select 107::bigint as node union select dst from d join e on src = node), u as (select 107::bigint as node union select src from u join e on dst = node)
+    select node, 'down' as way, node in (select dst from e where src = 107) as direct from d where node <> 107 union all select node, 'up', node in (select src from e where dst = 107) from u where node <> 107"""
+)
+def lineage_reach(spark, sf_dir):
+    return lineage.reach(_dependencies(spark, sf_dir), spark.range(107, 108).select(F.col("id").alias("node")))
 
 
 @query("select * from (values ('example','raw'),('raw','clean'),('clean','kind'),('kind','left'),('left','join'),('join','report')) e(src, dst)")
@@ -188,9 +214,35 @@ def bins_500(spark, sf_dir):
     return relations.binned(_t(spark, sf_dir, "orders"), "o_orderkey").groupBy("bin").agg(F.count("*").alias("n_items"), F.min("o_custkey").alias("least"))
 
 
+@query("select o_orderkey, rank - 1 as position, case when rank = 1235 then -1 else o_custkey end as item from (select o_orderkey, o_custkey, row_number() over (order by o_orderkey) as rank from orders)")
+def bins_roundtrip(spark, sf_dir):
+    """Values in bins of 500, one of them rewritten, and read back."""
+    rows = relations.indexed(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+    bins = relations.with_item(relations.bin_lists(rows, "idx", "o_custkey"), 1234, F.lit(-1).cast("long"))
+    return relations.unbinned(bins).join(rows.select("o_orderkey", F.col("idx").alias("position")), "position").select("o_orderkey", "position", "item")
+
+
 # mapped execution, over customers
 
 
+@query("select o_orderkey, case when o_orderkey % 11 = 0 or o_orderkey % 7 = 0 or o_orderkey % 13 = 0 then 'RUN' else 'SKIP' end as action from orders")
+def map_cached(spark, sf_dir):
+    """Which items of a mapped task run again: every seventh has changed, every eleventh is unknown, every thirteenth has no hash."""
+    key = F.col("o_orderkey")
+    orders = _t(spark, sf_dir, "orders")
+    now = orders.select("o_orderkey", F.when(key % 13 != 0, F.md5(F.concat_ws("|", key, (key % 7 == 0).cast("int")))).alias("now_hash"))
+    return mapped.item_state(now, orders.where(key % 11 != 0).select("o_orderkey", F.md5(F.concat_ws("|", key, F.lit(0))).alias("output_hash")), ["o_orderkey"])
+
+
+@query("select n_nationkey::bigint as item, n_nationkey * 10 + 3 as result from nation")
+def map_pipeline(spark, sf_dir):
+    """A task that a pipeline maps over the result of another, on executors, with a value of the configuration."""
+    listed = dag.task(lambda spark: {"nations": [r.n_nationkey for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]}, name="listed")
+    graph = dag.config(plus=lambda: 3) >> listed >> dag.map_over(dag.task(lambda item, plus: int(item) * 10 + plus, name="ten"), "listed.nations")
+    done = run.run(dag.Pipeline("mapped", graph), spark)
+    return spark.createDataFrame(list(zip(map(int, done["listed"]["nations"]), done["ten"], strict=True)), "item long, result long")
+
+
 @query("select c_custkey, row_number() over (order by c_name, c_custkey) - 1 as idx from customer")
 def map_index(spark, sf_dir):
     return relations.indexed(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"]).select("c_custkey", "idx")
@@ -266,21 +318,76 @@ def preview_pad(spark, sf_dir):
 
 # pipelines and SQL tasks
 
-_PRICING = """create or replace table pricing as
+_PRICING = """create or replace table {name} as
 select l_returnflag, l_linestatus, cast(sum(l_quantity) as bigint) as sum_qty, count(*) as n_lines from items where l_linenumber <= :most group by l_returnflag, l_linestatus; -- one; statement
-select * from pricing"""
+select * from {name}"""
 
 
 @query("select l_returnflag, l_linestatus, sum(l_quantity)::bigint as sum_qty, count(*) as n_lines from lineitem where l_linenumber <= 5 group by all")
 def pipeline_pricing(spark, sf_dir):
-    """A pipeline of a load and a SQL task, run through profiles, lanes and a state store."""
+    """A pipeline of a load and a file of SQL, whose parameter comes from a profile, run lane by lane."""
 
     @dag.task
     def load(spark):
         _t(spark, sf_dir, "lineitem").createOrReplaceTempView("items")
 
-    pricing = dag.task(lambda spark: sql.run_text(spark, _PRICING.replace("create or replace table pricing as\n", "create or replace temporary view pricing as\n"), {"most": 5}), name="pricing")
-    return run.run(dag.Pipeline("pricing", load >> pricing), spark)["pricing"]
+    path = Path(tempfile.mkdtemp()) / "pricing.sql"  # the driver reads it
+    path.write_text(_PRICING.format(name=f"pricing_{uuid.uuid4().hex}"))
+    profile = profiles.resolve({"base": {"args": {"pricing": {"most": 3}}}, "five": {"extends": "base", "args": {"pricing": {"most": 5}}}}, "five")
+    return run.run(dag.Pipeline("pricing", load >> dag.sql_task(str(path))), spark, profile=profile)["pricing"]
+
+
+@query("select o_orderstatus, count(*) as n, true as restored, 1::bigint as runs from orders group by all")
+def checkpoint_restore(spark, sf_dir):
+    """A run whose state and tables are lost begins with its last checkpoint, and runs nothing again."""
+    name = f"counted_{uuid.uuid4().hex}"
+    ran = []
+
+    def counted(spark):
+        ran.append(1)
+        return _t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints_{uuid.uuid4().hex}"
+    pipeline = dag.Pipeline("kept", dag.task(counted, outputs=[f"table://{name}"], checkpoint=True))
+    pipeline.run(spark, checkpoints=place)
+    spark.sql(f"drop table {name}")
+    again = pipeline.run(spark, checkpoints=place)
+    return spark.table(name).withColumns({"restored": F.lit("[RESTORE] counted" in again["log"]), "runs": F.lit(len(ran)).cast("long")})
+
+
+# scans and statements
+
+
+@query("select r_regionkey::bigint as key, r_name as name, null::bigint as region from region union all select n_nationkey, n_name, n_regionkey from nation union all select 1000, 'none', null")
+def scan_formats(spark, sf_dir):
+    """CSV, JSON and values, matched by name."""
+    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/scans_{uuid.uuid4().hex}"
+    _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).write.option("header", "true").csv(f"{place}/region.csv")
+    _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).write.json(f"{place}/nation.json")
+    rows = scan.scan_all(spark, [f"{place}/region.csv", f"{place}/nation.json"]).unionByName(scan.values(spark, [(1000, "none", None)], "key long, name string, region long"))
+    return rows.select(F.col("key").cast("long"), "name", F.col("region").cast("long"))
+
+
+@query("select n_nationkey::bigint as k, n_name as name from nation where n_regionkey <> 2 union all select r_regionkey + 100, r_name from region where r_regionkey <> 3")
+def sql_insert_delete(spark, sf_dir):
+    """A table that statements make, add to, and delete from."""
+    t = f"kept_{uuid.uuid4().hex}"
+    read = {n: f"parquet.`{sf_dir}/{n}.parquet`" for n in ("nation", "region")}
+    text = f"""create or replace table {t} as select cast(n_nationkey as bigint) as k, n_name as name, n_regionkey as r from {read["nation"]};
+    insert into {t} select r_regionkey + 100, r_name, -1 from {read["region"]};
+    delete from {t} where r = :region or k = 103; select k, name from {t}"""
+    return sql.run_text(spark, text, {"region": 2})
+
+
+@query("select column_name from (describe nation)")
+def introspect_columns(spark, sf_dir):
+    return spark.createDataFrame([(c,) for c in preview.columns(_t(spark, sf_dir, "nation"))], "column_name string")
+
+
+@query("select * from (values ('orders'), ('customer'), ('elsewhere')) t(name)")
+def referenced_tables(spark, sf_dir):
+    found = sql.referenced_tables(spark, "with o as (select * from db.Orders), p as (select 1 as x) select * from o join customer on exists (select 1 from elsewhere e join p on e.x = p.x)")
+    return spark.createDataFrame([(t,) for t in found], "name string")
 
 
 _sql("sql_ctas_metrics", "select n_nationkey as id, n_name as name, cast(length(n_name) as bigint) as name_length, n_nationkey * 10 as score from {nation}", "nation")
@@ -292,7 +399,9 @@ _sql("sql_cte_chain", "with a as (select l_orderkey, count(*) as n from {lineite
 _sql("sql_try_date", "select o_orderkey, try_cast(concat('2024-', o_orderkey % 15, '-01') as date) as d from {orders} where o_orderkey % 15 between 10 and 14", "orders")
 _sql("sql_json_props", "select event_id, get_json_object(props, '$.k') as k from {events}", "events", "select event_id, json_extract_string(props, '$.k') as k from {events}")
 _sql("sql_union_all", "select n_name as name, 'nation' as kind from {nation} union all select r_name, 'region' from {region}", "nation region")
-_sql("sql_except", "select c_custkey as k from {customer} except select o_custkey from {orders}", "customer orders")
+_sql("sql_except", "select c_custkey as k from {customer} except select o_custkey from {orders} where o_orderstatus = 'P'", "customer orders")
+_sql("sql_session_variable", "declare or replace variable least_balance = 5000; select c_custkey from {customer} where c_acctbal > least_balance", "customer", "select c_custkey from {customer} where c_acctbal > 5000")
+_sql("sql_try_parse", "select o_orderkey, cast(try_to_timestamp(concat('2024-', o_orderkey % 15, '-01'), 'yyyy-M-dd') as date) as d from {orders}", "orders", "select o_orderkey, try_strptime(concat('2024-', o_orderkey % 15, '-01'), '%Y-%m-%d')::date as d from {orders}")
 _sql("sql_intersect", "select c_nationkey as k from {customer} intersect select s_nationkey from {supplier}", "customer supplier")
 _sql("sql_window_rank", "select c_custkey, c_nationkey, rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as nth from {customer}", "customer", "select c_custkey, c_nationkey, (rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey))::int as nth from {customer}")
 _sql("sql_rollup", "select l_returnflag, l_linestatus, count(*) as n from {lineitem} group by rollup(l_returnflag, l_linestatus)", "lineitem")

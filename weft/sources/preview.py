@@ -10,10 +10,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sql import statements
+
 
 def any_filter(df: DataFrame, clauses: str) -> DataFrame:
     """Rows for which one of the clauses, parted by semicolons, holds; all rows without clauses."""
-    parts = [F.expr(c) for c in clauses.split(";") if c.strip()]
+    parts = [F.expr(c) for c in statements(clauses)]
     return df.where(functools.reduce(operator.or_, parts)) if parts else df
 
 
@@ -46,3 +48,14 @@ def preview(df: DataFrame, limit: int = 5, where: str = "", columns: list[str] |
     df = padded(df, columns) if columns else df
     rows = [[_shown(v) for v in r] for r in df.limit(limit).collect()]
     return {"columns": df.columns, "rows": rows, "row": rows[0] if rows else None, "limit": limit}
+
+
+def query_preview(spark: Any, text: str, limit: int = 5) -> dict[str, Any]:
+    """preview() of one statement that reads; ValueError for several."""
+    if len(statements(text)) != 1:
+        raise ValueError("one statement is needed")
+    return preview(spark.sql(statements(text)[0]), limit)
+
+
+def columns(df: DataFrame) -> list[str]:
+    return list(df.columns)

@@ -8,14 +8,27 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import WeftError
+
 _PARTS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|;|(?<![:\w])[:$]([A-Za-z_]\w*)", re.DOTALL)
 _CREATE = re.compile(r"\s*create\s+(?:or\s+replace\s+)?table\s+(if\s+not\s+exists\s+)?([\w.`]+)\s+as\s+(.*)", re.IGNORECASE | re.DOTALL)
+_DELETE = re.compile(r"\s*delete\s+from\s+([\w.`]+)(?:\s+where\s+(.*))?\s*$", re.IGNORECASE | re.DOTALL)
+_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]+)\]")
+_CTES = re.compile(r"^[\s:+-]*'?CTE \[([^\]]+)\]", re.MULTILINE)
 
 
-class SqlTaskError(Exception):
+class SqlTaskError(WeftError):
     pass
 
 
+def referenced_tables(spark: SparkSession, statement: str) -> list[str]:
+    """The tables that a statement names, without its CTEs: last part of each name, in lower case. The tables needn't exist."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
+    names = {m[1].split(",")[-1].strip().lower() for m in _RELATION.finditer(plan)}
+    own = {c.strip().lower() for m in _CTES.finditer(plan) for c in m[1].split(",")}
+    return sorted(names - own)
+
+
 def statements(text: str) -> list[str]:
     """Statements parted by semicolons outside quotes and comments."""
     out, at = [], 0
@@ -35,6 +48,13 @@ def run_statement(spark: SparkSession, statement: str, args: dict[str, Any] | No
     """One statement. CREATE [OR REPLACE] TABLE AS writes the table anew, also if it reads itself."""
     text = _PARTS.sub(lambda m: f":{m[1]}" if m[1] else m[0], statement)
     used = {k: v for k, v in (args or {}).items() if k in parameters(statement)}
+    if d := _DELETE.match(text):  # tables of plain files are written anew without the rows
+        name, new = d[1], f"{d[1].replace('`', '')}__new"
+        kept = f"select * from {name}" + (f" where not coalesce({d[2]}, false)" if d[2] else " where false")
+        spark.sql(f"drop table if exists {new}")
+        spark.sql(kept, args=used or None).write.mode("overwrite").saveAsTable(new)
+        _put(spark, new, name)
+        return spark.table(name)
     m = _CREATE.match(text)
     if not m:
         return spark.sql(text, args=used or None)
@@ -45,11 +65,22 @@ def run_statement(spark: SparkSession, statement: str, args: dict[str, Any] | No
     new = f"{name.replace('`', '')}__new"
     spark.sql(f"drop table if exists {new}")
     df.write.mode("overwrite").saveAsTable(new)
-    spark.sql(f"drop table if exists {name}")
-    spark.sql(f"alter table {new} rename to {name}")
+    _put(spark, new, name)
     return spark.table(name)
 
 
+def _put(spark: SparkSession, new: str, name: str) -> None:
+    """The table new takes the place of another, which is there until it has."""
+    plain, old = name.replace("`", ""), f"{name.replace('`', '')}__old"
+    there = spark.catalog.tableExists(plain)
+    if there:
+        spark.sql(f"drop table if exists {old}")
+        spark.sql(f"alter table {name} rename to {old}")
+    spark.sql(f"alter table {new} rename to {name}")
+    if there:
+        spark.sql(f"drop table {old}")
+
+
 def run_text(spark: SparkSession, text: str, args: dict[str, Any] | None = None) -> DataFrame | None:
     parts, df = statements(text), None
     for i, s in enumerate(parts, 1):
@@ -60,5 +91,10 @@ def run_text(spark: SparkSession, text: str, args: dict[str, Any] | None = None)
     return df
 
 
+_FILE = re.compile(r"\b(csv|json|parquet|text|orc)\.`([^`:/][^`:]*)`", re.IGNORECASE)
+
+
 def run_file(spark: SparkSession, path: str, args: dict[str, Any] | None = None) -> DataFrame | None:
-    return run_text(spark, Path(path).read_text(), args)
+    """Files that the statements read by a relative path are beside the file of statements."""
+    here = Path(path).resolve().parent
+    return run_text(spark, _FILE.sub(lambda m: f"{m[1]}.`{here / m[2]}`", Path(path).read_text()), args)
