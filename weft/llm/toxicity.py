@@ -7,7 +7,7 @@ names that happen to be frequent in toxic texts don't cause false positives.
 
 Names are those of a list, and terms found in the fitted rows themselves, since texts may be in any language: words whose mentions are mostly
 neutral (clean rows prevail), but that are more frequent in toxic rows than chance would have it. Such a term's kind is
-itself and the words that occur in the most similar contexts without being uneven.
+itself and the words that occur in the most similar contexts without being more frequent in toxic rows.
 
 Fitted on at most `fit_rows` labelled rows, one for each doc_id and text, those with the smallest hash of both; which words are features and terms is
 counted over the same rows, and at most `most_features` are features. Everything else covers every document and its whole text.
@@ -139,7 +139,7 @@ def terms(rows: DataFrame, n: int, bad: int) -> tuple[tuple[str, ...], ...]:
     profile /= np.maximum(np.linalg.norm(profile, axis=1, keepdims=True), 1e-9)
     names, strength = list(pool), np.array(list(pool.values()))
     uneven = [int(i) for i in np.argsort(-strength, kind="stable") if strength[i] >= UNEVEN][:TERMS]
-    free = np.abs(strength) < UNEVEN
+    free = strength < UNEVEN
     out = []
     for i in uneven:
         likeness = np.where(free, np.round(profile @ profile[i], 9), -1.0)
