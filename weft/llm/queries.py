@@ -123,13 +123,18 @@ def _tree_sql(levels: int = 8) -> str:
     for d in range(1, levels + 1):
         here = f"array_to_string(s[1:{d - 1}], '/')" if d > 1 else "''"
         ctes.append(f"""b{d} as (
-  select *, sum(n) over w as all_n, sum(bad) over w as all_bad from (select host, {here} as node, s[{d}] as segment, sum(n) as n, sum(bad) as bad from m{d - 1} where len(s) >= {d} group by all) window w as (partition by host, node)
+  select *, bad::double / nullif(n, 0) as share, lag(n) over w as m, lag(bad) over w as ill, lag(bad::double / nullif(n, 0)) over w as before
+  from (select host, {here} as node, s[{d}] as segment, sum(n) as n, sum(bad) as bad from m{d - 1} where len(s) >= {d} group by all) window w as (partition by host, node order by bad::double / nullif(n, 0) nulls last, segment)
+)""")
+        ctes.append(f"""p{d} as (
+  select *, sum(case when n > 0 and m > 0 and abs(share - before) > {url_filter.DIFFERENT} * sqrt(((bad + ill)::double / (n + m)) * (1 - (bad + ill)::double / (n + m)) * (1.0::double / n + 1.0::double / m)) then 1 else 0 end)
+    over (partition by host, node order by share nulls last, segment rows unbounded preceding) as part from b{d}
 )""")
         ctes.append(f"""c{d} as (
-  select *, not apart and count(*) filter (not apart) over (partition by host, node) > 1 as merge from (
-    select *, coalesce(n > 0 and n * (all_bad::double / all_n) * (1 - all_bad::double / all_n) > 0 and abs(bad - n * (all_bad::double / all_n)) > {url_filter.DIFFERENT} * sqrt(n * (all_bad::double / all_n) * (1 - all_bad::double / all_n)), false) as apart from b{d})
+  select *, count(*) over (partition by host, node, own) > 1 as merge from (
+    select *, case when n > 0 then part else -(max({{'n': n, 'part': -part}}) over (partition by host, node)).part end as own from p{d})
 )""")
-        ctes.append(f"m{d} as (select m.* replace (case when merge then s[1:{d - 1}] || ['{{~}}'] || s[{d + 1}:] else s end as s) from m{d - 1} m left join c{d} c on c.host = m.host and c.node = {here} and c.segment = s[{d}] and len(s) >= {d})")
+        ctes.append(f"m{d} as (select m.* replace (case when merge then s[1:{d - 1}] || ['{{~' || own::bigint || '}}'] || s[{d + 1}:] else s end as s) from m{d - 1} m left join c{d} c on c.host = m.host and c.node = {here} and c.segment = s[{d}] and len(s) >= {d})")
     rules = "\n".join(f"    when (f.host = '{h}' or f.host like '%.{h}') and f.path like '/{p}%' then '{h}/{p}'" for h, _, p in (r.partition("/") for r, _ in sorted(RULES, key=lambda r: -len(r[0]))))
     verdicts = " ".join(f"when '{r}' then '{v}'" for r, v in RULES)
     return f"""

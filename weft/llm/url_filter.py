@@ -5,9 +5,9 @@ Each URL's path is a way down its host's tree. A segment becomes a wildcard if i
 `branches` different ones. Nodes are made level by level, each below the wildcards before it, so what follows a variable
 segment is counted over all its values. Ways of wildcards and other segments are the templates.
 
-Then, from the root down, the branches of a node whose labelled shares do not differ significantly from the share
-of all of them are merged: their segment becomes {~}, and what is below them is merged level by level in turn. Branches that do differ stay apart. A
-template is judged by the labels of all that it was merged with, and rejected if its smoothed share of bad labels is at least
+Then, from the root down, the branches of a node are put in the order of their labelled shares, and neighbours whose shares do not differ
+significantly are merged: their segment becomes {~0}, {~1} and so on, and what is below them is merged level by level in turn. Branches without labels go
+with the branch that has most. A template is judged by the labels of all that it was merged with, and rejected if its smoothed share of bad labels is at least
 `lift` times the share of all labels, or `reject`.
 
 Paths are counted by their form before anything is joined, so what the rounds pass on is a row for each form of path. DataFrame
@@ -77,19 +77,19 @@ def _steps(forms: DataFrame, depth: int) -> DataFrame:
     return deep.groupBy("host", _here(depth).alias("node"), F.get("segments", F.lit(depth - 1)).alias("segment")).agg(F.count("*").alias("below"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
 
-def _marked(forms: DataFrame, marks: DataFrame, depth: int, value: str, segment: bool) -> DataFrame:
-    """forms with value instead of the segment at the depth, for the nodes (or their segments) of marks(_host, _node[, _segment])."""
+def _marked(forms: DataFrame, marks: DataFrame, depth: int, segment: bool) -> DataFrame:
+    """forms with another value instead of the segment at the depth, for the nodes (or their segments) of marks(_host, _node[, _segment], _value)."""
     on = (F.col("host") == F.col("_host")) & (_here(depth) == F.col("_node")) & (F.size("segments") >= depth)
     if segment:
         on = on & (F.get("segments", F.lit(depth - 1)) == F.col("_segment"))
-    rows = forms.join(marks, on, "left").withColumn("segments", _put("segments", depth, F.lit(value), F.col("_host").isNotNull()))
+    rows = forms.join(marks, on, "left").withColumn("segments", _put("segments", depth, F.col("_value"), F.col("_host").isNotNull()))
     return stored(rows.select(*forms.columns), "forms")
 
 
 def templates(pages: DataFrame, labels: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """pages(page_id, url), labels(page_id, bad) in one row for each form of path of a host: host, form, template, branch, n, bad; a stored table.
 
-    n, bad: labelled pages and bad ones of the form. branch: the template with {~} where branches were merged.
+    n, bad: labelled pages and bad ones of the form. branch: the template with {~0}, {~1} and so on where branches were merged.
     """
     known = labels.where("page_id is not null and bad is not null").groupBy(F.col("page_id").alias("_id")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), form_of(F.col("url")).alias("form")).where("form is not null")
@@ -104,7 +104,7 @@ def templates(pages: DataFrame, labels: DataFrame, branches: int = BRANCHES) ->
         nodes = stored(nodes.select("host", "node", (F.col("n") > branches).alias("wide"), (F.when(F.col("n") > branches, F.col("below")).otherwise(F.col("most")) > branches).alias("live")), "nodes")
         found = nodes.agg(F.max("wide").alias("wide"), F.max("live").alias("live")).first()
         if found.wide:
-            forms = _marked(forms, nodes.where("wide").select(F.col("host").alias("_host"), F.col("node").alias("_node")), depth, "{s}", False)
+            forms = _marked(forms, nodes.where("wide").select(F.col("host").alias("_host"), F.col("node").alias("_node"), F.lit("{s}").alias("_value")), depth, False)
         if not found.live:
             break
         depth += 1
@@ -113,17 +113,21 @@ def templates(pages: DataFrame, labels: DataFrame, branches: int = BRANCHES) ->
     depth = 1
     while True:  # merged branches; a node has few, since more than `branches` are one wildcard
         node = Window.partitionBy("host", "node")
-        rows = _steps(forms, depth).withColumns({"all_n": F.sum("n").over(node), "all_bad": F.sum("bad").over(node)})
-        share = F.try_divide(F.col("all_bad").cast("double"), F.col("all_n"))
-        spread = F.sqrt(F.col("n") * share * (1 - share))
-        apart = F.coalesce((F.col("n") > 0) & (spread > 0) & (F.abs(F.col("bad") - F.col("n") * share) > DIFFERENT * spread), F.lit(False))
-        rows = rows.withColumn("apart", apart).withColumn("similar", F.count_if(~F.col("apart")).over(node))
+        share = F.when(F.col("n") > 0, F.col("bad").cast("double") / F.col("n"))
+        line = node.orderBy(F.asc_nulls_last("share"), "segment")  # labelled branches first
+        rows = _steps(forms, depth).withColumn("share", share).withColumns({"m": F.lag("n").over(line), "ill": F.lag("bad").over(line), "before": F.lag("share").over(line)})
+        both = F.try_divide((F.col("bad") + F.col("ill")).cast("double"), F.col("n") + F.col("m"))
+        differ = F.abs(F.col("share") - F.col("before")) > DIFFERENT * F.sqrt(both * (1 - both) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), F.col("m"))))
+        rows = rows.withColumn("part", F.sum(F.when((F.col("n") > 0) & (F.col("m") > 0) & differ, 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        rows = rows.withColumn("part", F.when(F.col("n") > 0, F.col("part")).otherwise(-F.max(F.struct("n", (-F.col("part")).alias("part"))).over(node).getField("part")))
+        rows = rows.withColumn("merge", F.count("*").over(Window.partitionBy("host", "node", "part")) > 1)
         # below merged branches, or one with several forms, there may be more to merge
-        rows = stored(rows.select("host", "node", "segment", (~F.col("apart") & (F.col("similar") > 1)).alias("merge"), "below"), "branches")
+        rows = stored(rows.select("host", "node", "segment", "part", "merge", "below"), "branches")
         found = rows.agg(F.max("merge").alias("merge"), F.max(F.col("merge") | (F.col("below") > 1)).alias("live")).first()
         if found.merge:
-            marks = rows.where("merge").select(F.col("host").alias("_host"), F.col("node").alias("_node"), F.col("segment").alias("_segment"))
-            forms = _marked(forms, marks, depth, "{~}", True)
+            value = F.concat(F.lit("{~"), "part", F.lit("}"))
+            marks = rows.where("merge").select(F.col("host").alias("_host"), F.col("node").alias("_node"), F.col("segment").alias("_segment"), value.alias("_value"))
+            forms = _marked(forms, marks, depth, True)
         if not found.live:
             break
         depth += 1
