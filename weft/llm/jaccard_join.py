@@ -165,7 +165,9 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
 
     ends = buckets.where("mid.hub <> set_id").groupBy("set_id").agg(F.min("mid.hub").alias("x"), F.min("mid").getField("hub").alias("y"))
     hubs = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("set_id").alias("b"))
-    links = _linked(hubs, sets, percent)
+    # stored, so that a hub that very many sets are compared with can be split in the join
+    filters = stored(sets.select("set_id", "n", "third", "fourth").dropDuplicates(["set_id"]), "filters")
+    links = _linked(hubs, sets, filters, percent)
     groups = stored(components(links), "groups")
 
     # sets of one bucket in different components that were not compared; their components are paired first, a few for each bucket
@@ -184,7 +186,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, shingle_words: int =
     met = met.join(first, ["token", "ca", "na", "ia"]).join(second, ["token", "cb", "nb", "ib"])
     rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = rest.join(hubs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    groups = components(links.union(_linked(rest, sets, percent)))
+    groups = components(links.union(_linked(rest, sets, filters, percent)))
 
     named = nodes.select("doc_id", "set_id", F.col("n").alias("n_shingles"))
     alone = named.where("set_id = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_id")
@@ -211,10 +213,9 @@ def _held_by_several(postings: DataFrame) -> DataFrame:
     return postings.join(stored(held.select("token", "several"), "held"), "token").select("token", "set_id", "several").distinct()
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, filters: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked, as a stored table: those that pass the filters, verified."""
-    of = sets.select("set_id", "n", "third", "fourth").dropDuplicates(["set_id"])
-    both = pairs.join(of.toDF("a", "na", "a3", "a4"), "a").join(of.toDF("b", "nb", "b3", "b4"), "b")
+    both = pairs.join(filters.toDF("a", "na", "a3", "a4"), "a").join(filters.toDF("b", "nb", "b3", "b4"), "b")
     near = both.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) and arrays_overlap(a3, b3) and arrays_overlap(a4, b4)")).select("a", "b", "na", "nb")
     near = stored(near, "near")
     of = sets.select("set_id", "tokens")
