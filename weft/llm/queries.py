@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, line_dedup, media, page_text, piece_codec, sharding, substring_dedup, toxicity, url_filter
+from . import byte_bpe, decontamination, fill_middle, jaccard_join, line_dedup, media, page_text, periodic_runs, piece_codec, sharding, substring_dedup, toxicity, url_filter
 from .common import documents
 
 # The rules of op7.
@@ -65,7 +65,40 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_ngram_jaccard_join, op4_html_extraction, op5_sharding, op6_toxicity, op7_url_filters, op8_substring_dedup, op9_benchmark_decontamination, op10_media_columns)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every document is cut in three, and digests of its output and of the text that this gives back."""
+    turned = fill_middle.fill_in_middle(documents(spark, sf_dir))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_middle.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """docs, with the words of one document in ten from somewhere on repeating: its text is then the words, joined by a space. Those without a doc_id stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.floor(h / 10)).alias("g")).withColumn("w", F.when(F.col("g").isNotNull(), words))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    text = F.expr("array_join(transform(sequence(0L, n - 1L), i -> w[cast(case when i >= a then a + (i - a) % p else i end as int)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document's words, and digests of all of them and of the words that they leave."""
+    runs = periodic_runs.periodic_runs(planted(documents(spark, sf_dir)))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digest = F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256")
+    rows = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), digest, F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("top.start"), F.col("top.length"), -F.col("top.period")
+    return rows.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes that they decode to."""
+    return byte_bpe.tokens(documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_line_dedup, op3_ngram_jaccard_join, op4_html_extraction, op5_sharding, op6_toxicity, op7_url_filters, op8_substring_dedup, op9_benchmark_decontamination, op10_media_columns, op11_fill_middle, op12_periodic_runs, op13_byte_bpe)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
@@ -172,4 +205,28 @@ with {_SETS.format("d", "doc_id", "documents").strip()},{_SETS.format("b", "item
 size as (select id, count(*) as n from b_sets group by id)
 select d.id as doc_id, b.id as item_id, count(*) as n_shared, size.n as n_item from d_sets d join b_sets b using (s) join size on size.id = b.id
 group by d.id, b.id, size.n having 100 * count(*) >= 80 * size.n""",
+    "op11_fill_middle": """
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(doc_id::varchar, '')) as x from documents),
+h as (select *, ('0x' || x[1:8])::ubigint % (n + 1) as c1, ('0x' || x[9:16])::ubigint % (n + 1) as c2, ('0x' || x[17:24])::ubigint % 100 as h3, ('0x' || x[25:32])::ubigint % 100 as h4 from d),
+f as (select *, least(c1, c2)::bigint as a, greatest(c1, c2)::bigint as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 90 then 'plain' when h4 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, substring(t, 1, a) as pre, substring(t, a + 1, b - a) as mid, substring(t, b + 1) as suf from f)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256
+from p""",
+    "op12_periodic_runs": f"""
+with c as (
+  select doc_id, {_WORDS.format("coalesce(text, '')")} as w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::bigint) as h from documents
+), g as (select doc_id, w, len(w)::bigint as n, h, h // 10 as g from c),
+a as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from g),
+b as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+word as (select doc_id, i, case when a is not null and i >= a then w[(a + (i - a) % p + 1)::bigint] else w[i + 1] end as x from (select *, unnest(range(0, n)) as i from b)),
+pair as (select u.doc_id, v.i - u.i as q, v.i from word u join word v on v.doc_id = u.doc_id and v.x = u.x and v.i > u.i),
+island as (select doc_id, q, min(i) - q as s, max(i) + 1 as e from (select *, i - row_number() over (partition by doc_id, q order by i) as k from pair) group by doc_id, q, k having count(*) >= greatest(q, {periodic_runs.LEAST} - q)),
+run as (select * from island r where not exists (select 1 from island z where z.doc_id = r.doc_id and z.q < r.q and r.q % z.q = 0 and z.s <= r.s and z.e >= r.e)),
+gone as (select distinct doc_id, unnest(range(s + q, e)) as i from run),
+kept as (select doc_id, string_agg(x, ' ' order by i) as kept from word anti join gone using (doc_id, i) group by doc_id),
+sums as (select doc_id, count(*) as n_runs, arg_max({{'start': s, 'length': e - s, 'period': q}}, {{'l': e - s, 's': -s, 'q': -q}}) as top, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' order by s, q) as lines from run group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, top.start as start, top.length as length, top.period as period, 1000 * top.length // top.period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from documents left join sums using (doc_id) left join kept using (doc_id)""",
 }
