@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.sql import referenced_tables
-from .relations import cascade
+from .relations import cascade, indexed
 
 
 def _seq(s: Any) -> list[Any]:
@@ -104,3 +104,16 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
         found = far.join(near.withColumn("near", F.lit(True)), "node", "left").select("node", F.lit(way).alias("way"), F.coalesce("near", F.lit(False)).alias("direct"))
         out = found if out is None else out.union(found)
     return out
+
+
+def payload(tables: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tables(position, name), edges(from_table, from_column, to_table, to_column) to nodes(idx, name, external) and links(from_idx, from_column, to_idx, to_column).
+
+    Tables are numbered in the order of their positions; what edges name besides them is external, and is numbered after them by name. Equal edges are one.
+    """
+    outside = edges.select(F.col("from_table").alias("name")).union(edges.select("to_table")).where("name is not null").distinct().join(tables.select("name"), "name", "left_anti")
+    every = tables.select("name", "position", F.lit(False).alias("external")).union(outside.select("name", F.lit(None), F.lit(True)))
+    nodes = indexed(every, ["external", "position", "name"]).select("idx", "name", "external")
+    at = nodes.select("name", "idx")
+    links = edges.distinct().join(at.select(F.col("name").alias("from_table"), F.col("idx").alias("from_idx")), "from_table").join(at.select(F.col("name").alias("to_table"), F.col("idx").alias("to_idx")), "to_table")
+    return nodes, links.select("from_idx", "from_column", "to_idx", "to_column")

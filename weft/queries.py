@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fingerprint as fp
-from .operators import lineage, mapped, relations, state
+from .operators import lineage, mapped, relations, resolver, state
 from .plans import dag, profiles, run
 from .sources import preview, scan, sql
 
@@ -299,6 +300,59 @@ def lineage_edges(spark, sf_dir):
     return lineage.lineage_edges(spark, {"spend": text})
 
 
+#: Three tables that three texts make; none of them, nor those they read, is in the catalog.
+_TEXTS = {
+    "priced": "-- orders; priced\ncreate table priced as select o_custkey as k, o_orderkey, o_totalprice * 2 as price from orders; insert into log select 'a;b' as note from priced",
+    "Spend": "create table tmp as select * from priced where price > 0; create table spend as with p as (select * from tmp), c as (select c_custkey as k, c_name, c_nationkey from customer) select c.c_name as who, sum(p.price) as total, max(n.n_name) as nation from p join c on p.k = c.k join (select n_nationkey, n_name from nation) n on n.n_nationkey = c.c_nationkey group by c.c_name",
+    "report": "select s.*, (select count(x.o_orderkey) from orders x where x.o_custkey = 1) as n, who in (select n_name from nation) as odd from spend s",
+}
+_FOUND = [
+    ("orders", "o_custkey", "priced", "k"), ("orders", "o_orderkey", "priced", "o_orderkey"), ("orders", "o_totalprice", "priced", "price"),
+    ("customer", "c_name", "Spend", "who"), ("tmp", "price", "Spend", "total"), ("nation", "n_name", "Spend", "nation"),
+    ("spend", "who", "report", "who"), ("spend", "total", "report", "total"), ("spend", "nation", "report", "nation"), ("orders", "o_orderkey", "report", "n"), ("nation", "n_name", "report", "odd"), ("spend", "who", "report", "odd"),
+]
+_READ = {"orders": ("o_custkey", "o_orderkey", "o_totalprice"), "customer": ("c_name",), "nation": ("n_name",)}
+
+
+@query(
+    f"""with e as (select * from (values {", ".join(map(str, _FOUND))}) e(from_table, from_column, to_table, to_column)),
+    s as ({" union all ".join(f"select '{t}' as from_table, '{c}' as from_column, count({c}) as n_values, count(distinct {c}) as n_distinct from {t}" for t, columns in _READ.items() for c in columns)})
+    select e.*, n_values, n_distinct from e left join s using (from_table, from_column)"""
+)
+def lineage_unresolved(spark, sf_dir):
+    """Where the columns of tables that don't exist come from, with the number of values that those columns have where they are given."""
+    edges = resolver.Lineage(spark, _TEXTS).edges(spark)
+    counts = []
+    for t, columns in _READ.items():
+        row = _t(spark, sf_dir, t).agg(*(F.struct(F.count(c).alias("n_values"), F.countDistinct(c).alias("n_distinct")).alias(c) for c in columns))
+        pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("from_table"), F.lit(c).alias("from_column"), f"{c}.n_values", f"{c}.n_distinct") for c in columns))).alias("x")
+        counts.append(row.select(pairs).select("x.*"))
+    return edges.join(functools.reduce(DataFrame.union, counts), ["from_table", "from_column"], "left")
+
+
+@query(
+    """with t as (select 't' || o_orderkey as name, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as idx from orders), x as (select distinct o_custkey, 'c' || o_custkey as name from orders),
+    y as (select o_custkey, row_number() over (order by name) - 1 + (select count(*) from t) as idx from x)
+    select y.idx as from_idx, o_orderpriority as from_column, t.idx as to_idx, o_orderstatus as to_column from orders join y using (o_custkey) join t on t.name = 't' || o_orderkey"""
+)
+def lineage_payload(spark, sf_dir):
+    """Edges between tables by number: a table for each order, by price, made of one for each customer, which no text makes."""
+    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit("t"), "o_orderkey").alias("name"), F.concat(F.lit("c"), "o_custkey").alias("of"), "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    tables = o.select(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey").alias("position"), "name")
+    edges = o.select(F.col("of").alias("from_table"), F.col("o_orderpriority").alias("from_column"), F.col("name").alias("to_table"), F.col("o_orderstatus").alias("to_column"))
+    return lineage.payload(tables, edges)[1]
+
+
+@query("select 'q' || c_custkey as reader, 'n' || c_nationkey as name from customer union all select 'q' || c_custkey, 'everyone' from customer where c_nationkey % 2 = 0")
+def referenced_tables(spark, sf_dir):
+    """The tables that each customer's statement reads; names of its WITH are none."""
+    own = _t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").distinct()
+    kinds = own.select("c_nationkey").distinct().collect()  # the statements: one for each nation
+    text = lambda k: f"with mine as (select * from db.N{k}), more as (select * from mine) select * from more where exists (select 1 from {'everyone' if k % 2 == 0 else 'mine'} e join more on e.x = more.x)"
+    reads = spark.createDataFrame([(r.c_nationkey, t) for r in kinds for t in sql.referenced_tables(spark, text(r.c_nationkey))], "c_nationkey int, name string")
+    return own.join(reads, "c_nationkey").select(F.concat(F.lit("q"), "c_custkey").alias("reader"), "name")
+
+
 @query("select c_custkey, c_name from customer order by c_acctbal desc, c_custkey limit 5")
 def preview_limit(spark, sf_dir):
     df = _t(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").select("c_custkey", "c_name")
@@ -384,12 +438,6 @@ def introspect_columns(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in preview.columns(_t(spark, sf_dir, "nation"))], "column_name string")
 
 
-@query("select * from (values ('orders'), ('customer'), ('elsewhere')) t(name)")
-def referenced_tables(spark, sf_dir):
-    found = sql.referenced_tables(spark, "with o as (select * from db.Orders), p as (select 1 as x) select * from o join customer on exists (select 1 from elsewhere e join p on e.x = p.x)")
-    return spark.createDataFrame([(t,) for t in found], "name string")
-
-
 _sql("sql_ctas_metrics", "select n_nationkey as id, n_name as name, cast(length(n_name) as bigint) as name_length, n_nationkey * 10 as score from {nation}", "nation")
 _sql("sql_summary", "select count(*) as n_rows, cast(sum(p_size) as bigint) as total, avg(p_size) as mean, max(p_size) as most, min(p_size) as least from {part}", "part")
 _sql("sql_case_pivot", "select o_custkey, max(case when o_orderstatus = 'F' then o_orderdate end) as last_f, max(case when o_orderstatus = 'O' then o_orderdate end) as last_o from {orders} group by o_custkey", "orders")

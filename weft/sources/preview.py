@@ -57,5 +57,15 @@ def query_preview(spark: Any, text: str, limit: int = 5) -> dict[str, Any]:
     return preview(spark.sql(statements(text)[0]), limit)
 
 
+def output_table(outputs: list[str], name: str) -> str:
+    """The declared table that a name means: its whole name, else the last part of one. KeyError for names that no output has."""
+    tables = [u.removeprefix("table://") for u in outputs if u.startswith("table://")]
+    last = name.rpartition(".")[2].lower()
+    for same in (lambda t: t.lower() == name.lower(), lambda t: t.rpartition(".")[2].lower() == last):
+        if found := [t for t in tables if same(t)]:
+            return found[0]
+    raise KeyError(f"no output {name}; there are {', '.join(tables)}")
+
+
 def columns(df: DataFrame) -> list[str]:
     return list(df.columns)

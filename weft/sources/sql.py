@@ -10,11 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import WeftError
 
-_PARTS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|;|(?<![:\w])[:$]([A-Za-z_]\w*)", re.DOTALL)
+_PARTS = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|;|(?<![:\w])[:$]([A-Za-z_]\w*)", re.DOTALL)
 _CREATE = re.compile(r"\s*create\s+(?:or\s+replace\s+)?table\s+(if\s+not\s+exists\s+)?([\w.`]+)\s+as\s+(.*)", re.IGNORECASE | re.DOTALL)
 _DELETE = re.compile(r"\s*delete\s+from\s+([\w.`]+)(?:\s+where\s+(.*))?\s*$", re.IGNORECASE | re.DOTALL)
-_RELATION = re.compile(r"'UnresolvedRelation \[([^\]]+)\]")
-_CTES = re.compile(r"^[\s:+-]*'?CTE \[([^\]]+)\]", re.MULTILINE)
 
 
 class SqlTaskError(WeftError):
@@ -23,10 +21,9 @@ class SqlTaskError(WeftError):
 
 def referenced_tables(spark: SparkSession, statement: str) -> list[str]:
     """The tables that a statement names, without its CTEs: last part of each name, in lower case. The tables needn't exist."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
-    names = {m[1].split(",")[-1].strip().lower() for m in _RELATION.finditer(plan)}
-    own = {c.strip().lower() for m in _CTES.finditer(plan) for c in m[1].split(",")}
-    return sorted(names - own)
+    from ..operators.resolver import parsed, tables_of
+
+    return tables_of(parsed(spark, statement))
 
 
 def statements(text: str) -> list[str]:
