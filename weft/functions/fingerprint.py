@@ -189,8 +189,8 @@ def _exists(spark: Any, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[str], DataFrame | None] | None = None) -> str | None:
-    """Of a task's outputs: files and folders on any file system, and tables written `table://name`. None if it has none or one is missing. table: reads tables, if not the session."""
+def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[str], DataFrame | None] | None = None, digests: Any = None) -> str | None:
+    """Of a task's outputs: files and folders on any file system, and tables written `table://name`. None if it has none or one is missing. table: reads tables, if not the session. digests: kept ones, of which files that haven't changed are taken."""
     parts = []
     for uri in outputs:
         if uri.startswith("table://"):
@@ -198,11 +198,13 @@ def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[st
             df = table(name) if table else spark.table(name) if spark.catalog.tableExists(name) else None
             if df is None:
                 return None
-            parts.append(table_fingerprint(df))
+            parts.append(digests.table(name) if digests and not table else table_fingerprint(df))
         elif "://" not in uri and Path(uri).is_file():
             parts.append(file_fingerprint(uri))
         elif not _exists(spark, uri):
             return None
+        elif digests:
+            parts.append(digests.folder(uri))
         else:
             rows = files_fingerprint(spark, uri).agg(F.count("*").alias("n"), F.sum(F.xxhash64("path", "digest").cast("decimal(38,0)")).alias("h")).first()
             parts.append(f"{rows.n}:{rows.h}")

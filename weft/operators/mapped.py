@@ -6,6 +6,7 @@ import hashlib
 import json
 import pickle
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 from typing import Any
 
 import pandas as pd
@@ -29,8 +30,8 @@ def map_items(items: DataFrame, fn: Callable[..., Any], columns: list[str]) -> D
     return items.select("idx", *columns).mapInPandas(run, "idx long, ok boolean, result string, error string")
 
 
-def run_items(spark: SparkSession, fn: Callable[..., Any], items: list[Any], given: dict[str, Any]) -> list[tuple[bool, Any, str | None]]:
-    """(ok, value, error) of fn(item, **given) for each item of a list, which executors work on, a few items a task."""
+def run_items(spark: SparkSession, fn: Callable[..., Any], items: list[Any], given: dict[str, Any]) -> list[tuple[bool, Any, str | None, datetime, datetime]]:
+    """(ok, value, error, start, end) of fn(item, **given) for each item of a list, which executors work on, a few items a task. For collections that the driver has; see items.run_groups for others."""
     if not items:
         return []
     data = pickle.dumps  # items and values are Python's own
@@ -39,15 +40,16 @@ def run_items(spark: SparkSession, fn: Callable[..., Any], items: list[Any], giv
         for batch in batches:
             out = []
             for idx, item in batch.itertuples(index=False, name=None):
+                began = datetime.now(UTC)
                 try:
-                    out.append((idx, True, data(fn(pickle.loads(item), **given)), None))
+                    out.append((idx, True, data(fn(pickle.loads(item), **given)), None, began, datetime.now(UTC)))
                 except Exception as e:
-                    out.append((idx, False, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["idx", "ok", "value", "error"])
+                    out.append((idx, False, None, f"{type(e).__name__}: {e}", began, datetime.now(UTC)))
+            yield pd.DataFrame(out, columns=["idx", "ok", "value", "error", "began", "ended"])
 
     rows = spark.createDataFrame([(k, data(x)) for k, x in enumerate(items)], "idx long, item binary").repartition(min(len(items), spark.sparkContext.defaultParallelism))
-    found = rows.mapInPandas(run, "idx long, ok boolean, value binary, error string").orderBy("idx").collect()  # as many as the list has
-    return [(r.ok, pickle.loads(r.value) if r.ok else None, r.error) for r in found]
+    found = rows.mapInPandas(run, "idx long, ok boolean, value binary, error string, began timestamp, ended timestamp").orderBy("idx").collect()  # as many as the list has
+    return [(r.ok, pickle.loads(r.value) if r.ok else None, r.error, r.began, r.ended) for r in found]
 
 
 def item_state(results: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:

@@ -26,6 +26,9 @@ class Node:
     over: str | None = None
     values: dict[str, Any] = field(default_factory=dict)
     members: tuple[str, ...] = ()
+    result: str | None = None
+    bundle: int | None = None
+    group: int | None = None
 
     def __rshift__(self, other: Any) -> Graph:
         return Graph.of(self) >> other
@@ -76,11 +79,14 @@ class Graph:
         return Graph.of(other) >> self
 
 
-def task(fn: Callable | None = None, *, outputs: Iterable[str] = (), optional: str | None = None, requires: Iterable[Any] = (), checkpoint: bool = False, name: str | None = None) -> Any:
-    """Makes a task of a function; usable as a decorator with or without arguments. The task stays callable."""
+def task(fn: Callable | None = None, *, outputs: Iterable[str] = (), optional: str | None = None, requires: Iterable[Any] = (), checkpoint: bool = False, name: str | None = None, result: str | None = None) -> Any:
+    """Makes a task of a function; usable as a decorator with or without arguments. The task stays callable.
+
+    result: the columns of the rows that it returns, in SQL. They are kept, and tasks that follow can be mapped over them, or take them as a relation by the task's name.
+    """
 
     def wrap(f: Callable) -> Node:
-        n = Node(name or f.__name__, run=f, outputs=tuple(outputs), optional=optional, requires=tuple(requires), checkpoint=checkpoint)
+        n = Node(name or f.__name__, run=f, outputs=tuple(outputs), optional=optional, requires=tuple(requires), checkpoint=checkpoint, result=result)
         functools.update_wrapper(n, f)
         return n
 
@@ -122,10 +128,12 @@ def stage(name: str, *branches: Any) -> Graph:
     return _group("stage", name, branches)
 
 
-def map_over(t: Any, over: str) -> Node:
-    """Runs a task for each item of a collection, `task.path`."""
+def map_over(t: Any, over: str, bundle: int | None = None, group: int | None = None) -> Node:
+    """Runs a task for each item of a collection, `task.path`, or for each row of a task's kept result. bundle: rows that are run again as a whole; group: bundles of a job, after which the next begins."""
+    if not callable(t) and not isinstance(t, Node):
+        raise TypeError(f"not a task: {t!r}")
     n = t if isinstance(t, Node) else task(t)
-    return Node(n.name, "map", n.run, n.outputs, n.optional, n.requires, n.checkpoint, n.path, over)
+    return Node(n.name, "map", n.run, n.outputs, n.optional, n.requires, n.checkpoint, n.path, over, result=n.result, bundle=bundle, group=group)
 
 
 def noop() -> Node:

@@ -6,13 +6,16 @@ import hashlib
 import inspect
 from collections.abc import Callable
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import TaskError
+from ..functions.digests import Digests
 from ..functions.fingerprint import code_fingerprint, file_fingerprint, output_fingerprint
-from ..operators import mapped
+from ..operators import items as rows_of
+from ..operators import mapped, relations
 from ..operators.state import MemoryStore, NoStore
 from . import profiles as P
 from . import snapshot
@@ -32,9 +35,9 @@ def _code(n: Node) -> str:
     return file_fingerprint(n.path) if n.path else code_fingerprint(n.run)
 
 
-def fingerprint(spark: SparkSession, n: Node, table: Callable[[str], DataFrame] | None = None) -> str | None:
+def fingerprint(spark: SparkSession, n: Node, table: Callable[[str], DataFrame] | None = None, digests: Digests | None = None) -> str | None:
     """Of a task's code and its outputs; None while an output is missing. table: where tables are read from, if not the session's."""
-    if n.outputs and (found := output_fingerprint(spark, n.outputs, table)) is None:
+    if n.outputs and (found := output_fingerprint(spark, n.outputs, table, digests)) is None:
         return None
     return hashlib.sha256(f"{_code(n)}:{found if n.outputs else ''}".encode()).hexdigest()
 
@@ -53,17 +56,22 @@ def plan(pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.
 
 
 def run(
-    pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.Profile | None = None, storage_key: str = "", force: bool = False, no_cache: bool = False, checkpoints: str | None = None
-) -> dict[str, Any]:
+    pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.Profile | None = None, storage_key: str = "", force: bool = False, no_cache: bool = False, checkpoints: str | None = None,
+    results: str | None = None, digests: Digests | None = None,
+) -> dict[str, Any]:
     """Results by task name. Lanes run one after the other, the tasks of one at the same time; the first failure ends the run, and what is done stays recorded.
 
-    no_cache: every task runs and no state is kept. checkpoints: the folder of snapshots, if not the session's.
+    no_cache: every task runs and no state is kept. checkpoints, results: the folders of snapshots and of kept results, if not the session's. digests: kept digests
+    of outputs, so that files that haven't changed aren't read for fingerprints.
     """
     store = NoStore() if no_cache else MemoryStore() if store is None else store
     graph, skipped = compiled(pipeline, profile)
     values: dict[str, Any] = {"spark": spark}
-    results: dict[str, Any] = {}
+    shared: dict[str, DataFrame] = {}  # kept results
+    kept = results or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    results = {}
     dirty: set[Node] = set()
+    same: set[Node] = set()  # of the mapped tasks, those of which no row ran
     log: list[str] = []
     before = {n: [a for a, b in graph.edges if b is n] for n in graph.nodes}
     place = snapshot.folder(spark, checkpoints, pipeline.name) if any(n.checkpoint for n in graph.nodes) and not no_cache else None
@@ -74,7 +82,22 @@ def run(
             log.append(f"[RESTORE] {last.task}")
 
     def arguments(n: Node) -> dict[str, Any]:
-        return values | (profile.args.get(n.name, {}) if profile else {})
+        return shared | values | (profile.args.get(n.name, {}) if profile else {})
+
+    def numbered(out: Any, schema: str) -> DataFrame:
+        """The rows of a result, with idx: in the order of a list, and in that of all columns for a relation that has none."""
+        if not isinstance(out, DataFrame):
+            names = spark.createDataFrame([], schema).columns
+            out = [dict(zip(names, r if isinstance(r, tuple) else (r,), strict=True)) if not isinstance(r, dict) else r for r in out]
+            return spark.createDataFrame([(k, *(r.get(c) for c in names)) for k, r in enumerate(out)], f"idx long, {schema}")
+        return out if "idx" in out.columns else relations.indexed(out, out.columns)
+
+    def result_of(n: Node) -> rows_of.Results:
+        schema = n.result or "value string"
+        return rows_of.Results(spark, f"{kept}/results/{pipeline.name}/{n.name}-{hashlib.sha256(schema.encode()).hexdigest()[:8]}", schema)
+
+    def keep(n: Node, r: rows_of.Results) -> None:
+        results[n.name] = shared[n.name] = r.values()
 
     def call(n: Node) -> Any:
         if n.kind == "sql":
@@ -84,7 +107,7 @@ def run(
         return n.run(**{k: v for k, v in arguments(n).items() if every or k in wanted})
 
     def state(n: Node, name: str, forced: bool) -> tuple[bool, str | None]:
-        now = fingerprint(spark, n) if n.outputs else None
+        now = fingerprint(spark, n, digests=digests) if n.outputs else None
         return bool(now and not forced and now == store.read_hash(storage_key, pipeline.name, name)), now
 
     def over(n: Node, forced: bool) -> None:
@@ -95,25 +118,44 @@ def run(
             items = items.get(p) if isinstance(items, dict) else getattr(items, p, None)
         if items is None:
             log.append(f"[WARN] {n.name} - nothing at {n.over}")
+        wanted = list(inspect.signature(n.run).parameters)
+        if isinstance(items, DataFrame):
+            return by_rows(n, items, wanted, forced)
         items = list(items or [])
         names = [f"{n.name}[{i}]" for i in items]
-        cached = [state(n, name, forced)[0] for name in names]
+        key = (storage_key, pipeline.name, n.name)
+        now = fingerprint(spark, n, digests=digests) if n.outputs else None  # one for all items
+        known = store.item_hashes(*key) if now and not forced else {}
+        cached = [bool(now) and known.get(str(i)) == now for i in items]
         log.extend(f"[{'SKIP' if c else 'RUN'}] {name}" + (" - cached" if c else "") for name, c in zip(names, cached, strict=True))
         todo = [k for k, c in enumerate(cached) if not c]
-        wanted = list(inspect.signature(n.run).parameters)
         given = {k: v for k, v in arguments(n).items() if k in wanted[1:]}
         if "spark" in wanted:  # such tasks start jobs of their own
-            done = [(True, n.run(items[k], **given), None) for k in todo]
+            done = []
+            for k in todo:
+                began = datetime.now(UTC)
+                done.append((True, n.run(items[k], **given), None, began, datetime.now(UTC)))
         else:
             done = mapped.run_items(spark, n.run, [items[k] for k in todo], given)
         results[n.name] = [None] * len(items)
-        for k, (ok, value, error) in zip(todo, done, strict=True):
+        now = fingerprint(spark, n, digests=digests) if n.outputs and todo else now
+        store.write_items(key, [(str(items[k]), "SUCCESS" if ok else "FAILURE", began, ended, now, error) for k, (ok, _, error, began, ended) in zip(todo, done, strict=True)])
+        for k, (ok, value, error, _, _) in zip(todo, done, strict=True):
             if not ok:
                 raise RuntimeError(f"{names[k]}: {error}")
             results[n.name][k] = value
-        if n.outputs and (now := fingerprint(spark, n)) is not None:
-            for k in todo:
-                store.write_hash(storage_key, pipeline.name, names[k], now)
+
+    def by_rows(n: Node, items: DataFrame, wanted: list[str], forced: bool) -> None:
+        """Runs a task for each row of a kept result, whose columns, and the fields of its structs, are arguments by name."""
+        items = rows_of.apart(items)
+        columns = [c for c in items.columns if c != "idx" and c in wanted]
+        given = {k: v for k, v in arguments(n).items() if k in wanted and k not in columns and k != "spark"}
+        own = result_of(n)
+        groups = rows_of.run_groups(own, items, n.run, columns, given, fingerprint(spark, n, digests=digests) or _code(n), n.bundle or rows_of.BUNDLE, n.group or rows_of.GROUP, forced)
+        log.extend(f"[GROUP] {n.name} {g}" for g in groups)
+        keep(n, own)
+        if not groups:
+            same.add(n)
 
     def one(n: Node) -> None:
         if n in skipped:
@@ -127,13 +169,19 @@ def run(
                     log.append(f"[FAIL] {n.name}.{k}")
                     raise TaskError(f"{n.name}.{k}: {e}", log) from e
             return
-        forced = force or any(a in dirty for a in before[n])
+        source = n.over.split(".")[0] if n.kind == "map" and n.over else None
+        # rows of a kept result are compared one by one
+        forced = force or no_cache or any(a in dirty and not (a.name == source and a.result) for a in before[n])
         if n.kind not in {"python", "sql", "map"}:
             if forced:
                 dirty.add(n)
             return
-        cached, now = state(n, n.name, forced)
-        if cached and n.kind != "map":
+        cached, now = state(n, n.name, forced) if n.kind != "map" else (False, None)
+        own = result_of(n) if n.result and n.kind == "python" else None
+        if own and not forced and not no_cache and (cached or not n.outputs) and own.output_hash() == _code(n):
+            log.append(f"[SKIP] {n.name} - cached")
+            return keep(n, own)
+        if cached and own is None:
             log.append(f"[SKIP] {n.name} - cached")
             results[n.name] = spark.table(n.outputs[0].removeprefix("table://")) if n.outputs[0].startswith("table://") else None
             return
@@ -144,16 +192,21 @@ def run(
             else:
                 out = call(n)
                 tables = [u.removeprefix("table://") for u in n.outputs if u.startswith("table://")]
-                if isinstance(out, DataFrame) and n.kind == "python" and len(tables) == 1:
+                if own:
+                    own.put(numbered(out, n.result), _code(n))
+                    keep(n, own)
+                    out = results[n.name]
+                elif isinstance(out, DataFrame) and n.kind == "python" and len(tables) == 1:
                     out.write.mode("overwrite").saveAsTable(tables[0])
                     out = spark.table(tables[0])
                 results[n.name] = out
         except Exception as e:
             log.append(f"[FAIL] {n.name}")
             raise TaskError(f"{n.name}: {e}", log) from e
-        if n.outputs:
+        if (n.outputs or n.result) and n not in same:
             dirty.add(n)
-            if n.kind != "map" and (done := fingerprint(spark, n)) is not None:
+        if n.outputs:
+            if n.kind != "map" and (done := fingerprint(spark, n, digests=digests)) is not None:
                 store.write_hash(storage_key, pipeline.name, n.name, done)
         if n.checkpoint and place:
             tasks = order(graph)
@@ -163,7 +216,7 @@ def run(
             log.append(f"[CHECKPOINT] {n.name}")
 
     for lane in lanes(graph):
-        with ThreadPoolExecutor(max(1, len(lane))) as pool:
+        with store.batch(), ThreadPoolExecutor(max(1, len(lane))) as pool:
             tasks = [pool.submit(one, n) for n in lane]
             done, rest = wait(tasks, return_when=FIRST_EXCEPTION)
             for t in rest:  # those that have not begun

@@ -10,8 +10,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import TaskError
+from .functions import digests
 from .functions import fingerprint as fp
-from .operators import lineage, mapped, relations, resolver, state
+from .operators import items, lineage, mapped, relations, resolver, state
+from .operators.log import MergeLog, delete, stored
 from .plans import dag, profiles, run
 from .sources import preview, scan, sql
 
@@ -20,6 +23,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share, below one of the application's own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/weft-queries-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what queries have left in the shared folder; results that are not written yet need it."""
+    delete(spark, _scratch(spark).rpartition("/")[0])
+
+
 QUERIES = {}
 ORACLE_SQL = {}
 
@@ -289,6 +303,91 @@ def subset_semi(spark, sf_dir):
     return relations.subset(_t(spark, sf_dir, "customer"), wanted, ["c_nationkey"]).select("c_custkey", "c_name")
 
 
+# results as inputs, groups, item state, kept digests
+
+
+@query("select l_orderkey as a, l_linenumber::bigint as b, l_orderkey * 10 + l_linenumber + 3 as value from lineitem")
+def results_as_inputs(spark, sf_dir):
+    """Three tasks: rows with a composite key, a task for each row that takes the key apart, and one that reads what those returned."""
+
+    def keys(spark):
+        return _t(spark, sf_dir, "lineitem").select(F.struct(F.col("l_orderkey").alias("a"), F.col("l_linenumber").cast("long").alias("b")).alias("pair"))
+
+    def score(a, b, plus):
+        return a, b, a * 10 + b + plus
+
+    def scored(score):
+        return score.select("idx", "a", "b", "value")
+
+    graph = dag.config(plus=lambda: 3) >> dag.task(keys, result="pair struct<a: long, b: long>") >> dag.map_over(dag.task(score, result="a long, b long, value long"), "keys", bundle=100_000, group=512) >> dag.task(scored, result="a long, b long, value long")
+    return run.run(dag.Pipeline("results", graph), spark, no_cache=True, results=_scratch(spark))["scored"].select("a", "b", "value")
+
+
+_BUNDLES = "select idx // 100 as bundle, idx // 500 as grp, c_custkey, c_acctbal < -990 as bad from (select *, row_number() over (order by c_custkey) - 1 as idx from customer)"
+
+
+@query(
+    f"""with b as ({_BUNDLES}), g as (select grp, bool_or(bad) as bad from b group by grp), f as (select coalesce(min(grp), 1000000000) as first_bad from g where bad)
+    select bundle, count(*) as n_items, case when grp > any_value(first_bad) then null when count(*) filter (bad) = 0 or grp < any_value(first_bad) then 'SUCCESS' when count(*) filter (bad) = count(*) then 'FAILURE' else 'INCOMPLETE' end as first_status,
+    'SUCCESS' as last_status, case when grp = any_value(first_bad) and bool_or(bad) then 2 else 1 end::bigint as runs from b, f group by bundle, grp"""
+)
+def map_groups_resumed(spark, sf_dir):
+    """Customers in bundles of 100 and groups of five bundles. A first run fails in the first group that has a customer deep in debt; a second goes on at the bundles that weren't done."""
+    rows = relations.indexed(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
+    results = items.Results(spark, f"{_scratch(spark)}/owed", "value long")
+
+    def owed(c_custkey, c_acctbal, strict):
+        if strict and c_acctbal < -990:
+            raise ValueError("debt")
+        return c_custkey
+
+    ways = {"fn": owed, "columns": ["c_custkey", "c_acctbal"], "output_hash": "h", "bundle": 100, "group": 5}
+    try:
+        items.run_groups(results, rows, given={"strict": True}, **ways)
+    except TaskError:
+        pass
+    first = results.bundles().select("bundle", F.col("status").alias("first_status"))
+    first = stored(first, f"{_scratch(spark)}/first")
+    items.run_groups(results, rows, given={"strict": False}, **ways)
+    runs = results.log.rows().groupBy("bundle", "idx").count().groupBy("bundle").agg(F.max("count").alias("runs"))
+    last = results.bundles().select("bundle", "n_items", F.col("status").alias("last_status"))
+    return last.join(first, "bundle", "left").join(runs, "bundle")
+
+
+@query("select c_custkey as item, case when c_acctbal < 0 then 'FAILURE' else 'SUCCESS' end as status, true as timed, case when c_acctbal >= 0 then md5(c_name) end as output_hash from customer where c_mktsegment <> 'BUILDING'")
+def item_state_log(spark, sf_dir):
+    """The state of items by three batches: all as failed, then those that are well, then one of each sixth item that is taken out."""
+    c = _t(spark, sf_dir, "customer")
+    log = MergeLog(spark, f"{_scratch(spark)}/log", "item long, status string, started_at timestamp, ended_at timestamp, output_hash string, deleted boolean", ["item"], merge_at=2)
+    now = F.current_timestamp()
+    batch = lambda df, status, h, gone: df.select(F.col("c_custkey").alias("item"), F.lit(status).alias("status"), now.alias("started_at"), now.alias("ended_at"), h.alias("output_hash"), F.lit(gone).alias("deleted"))
+    log.append(batch(c, "FAILURE", F.lit(None).cast("string"), False))
+    log.append(batch(c.where("c_acctbal >= 0"), "SUCCESS", F.md5("c_name"), False))
+    log.append(batch(c.where("c_mktsegment = 'BUILDING'"), None, F.lit(None).cast("string"), True))
+    return log.current().select("item", "status", (F.col("started_at") <= F.col("ended_at")).alias("timed"), "output_hash")
+
+
+@query(
+    """with f as (select c_nationkey as k, string_agg(c_custkey::varchar, ',' order by c_custkey) as t from customer group by 1)
+    select k, sha256(case when k % 7 = 3 then t || ' changed' else t end || chr(10)) as digest, k % 7 = 3 as changed, (select count(*) from f where k % 7 = 3) as n_read from f"""
+)
+def digests_after_a_change(spark, sf_dir):
+    """A file of customers for each nation, of which some are written anew: only these are read again, and the tree of digests leads to them."""
+    place = _scratch(spark)
+    rows = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",").alias("t"))
+    writer = lambda df: df.write.partitionBy("c_nationkey").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(f"{place}/files")
+    kept = digests.Digests(spark, f"{place}/digests")
+    nation = F.regexp_extract("path", r"c_nationkey=(\d+)/", 1).cast("int")
+    now = lambda: kept.files(f"{place}/files").select(nation.cast("string").alias("path"), "digest")
+    writer(rows)
+    before = stored(now(), f"{place}/before")
+    read = kept.read.files_read
+    writer(rows.where("c_nationkey % 7 = 3").withColumn("t", F.concat("t", F.lit(" changed"))))
+    after = stored(now(), f"{place}/after")
+    found = digests.changed(before, after).select("path", F.lit(True).alias("changed"))
+    return after.join(found, "path", "left").select(F.col("path").cast("int").alias("k"), "digest", F.coalesce("changed", F.lit(False)).alias("changed"), F.lit(kept.read.files_read - read).cast("long").alias("n_read"))
+
+
 # lineage and previews
 
 
