@@ -195,3 +195,51 @@ def test_items_without_rows_and_with_nulls(spark, tmp_path):
     rows = spark.createDataFrame([(0, None), (1, "")], "idx long, a string")
     items.run_groups(store, rows, lambda a: {"x": a, "y": 1}, ["a"], {}, "h")
     assert {tuple(r) for r in store.values().collect()} == {(0, None, 1), (1, "", 1)}
+
+
+# order by peeling
+
+
+def by_queue(order, edges):
+    waits = {n: sum(b == n for _, b in edges) for n in order}
+    ready, out, level = [n for n in order if not waits[n]], [], {n: 0 for n in order}
+    while ready:
+        n = ready.pop(0)
+        out.append(n)
+        for b in [b for x in order for a, b in edges if a == n and b == x]:
+            waits[b] -= 1
+            level[b] = max(level[b], level[n] + 1)
+            if not waits[b]:
+                ready.append(b)
+    return [(n, level[n], k) for k, n in enumerate(out)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_peeling_is_the_order_of_a_queue(spark, seed):
+    import random
+
+    from weft.operators import relations
+
+    rng = random.Random(seed)
+    order = rng.sample(range(100, 112), 12)
+    edges = [(order[i], order[j]) for i in range(12) for j in range(i + 1, 12) if rng.random() < 0.25]
+    names = order[:]
+    rng.shuffle(names)
+    nodes = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "node long, declared long")
+    got = [tuple(r) for r in relations.peeled(spark.createDataFrame(edges, "src long, dst long"), nodes).orderBy("position").select("node", "level", "position").collect()]
+    assert got == by_queue(names, edges)
+
+
+def test_peeling_names_cycles_and_unknown_nodes(spark):
+    from weft.errors import GraphError
+    from weft.operators import relations
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("c", "d")], "src string, dst string")
+    with pytest.raises(GraphError, match="cycle: b, c, d"):
+        relations.peeled(edges)
+    nodes = spark.createDataFrame([("a", 1)], "node string, declared int")
+    with pytest.raises(GraphError, match="no node"):
+        relations.peeled(edges, nodes)
+    assert relations.peeled(edges.where("src = 'z'")).collect() == []
+    alone = relations.peeled(edges.where("src = 'z'"), nodes).collect()
+    assert [tuple(r) for r in alone] == [("a", 0, 0)]

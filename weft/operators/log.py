@@ -29,8 +29,20 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """df, written to a folder of its own and read from there: its lineage ends."""
+def scratch(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share, below one of the application's own."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/weft-rounds-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all such folders of the application; results that are not written yet need them."""
+    delete(spark, scratch(spark).rpartition("/")[0])
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """df, written to a folder of its own and read from there: its lineage ends, and a lost executor costs nothing of it."""
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import GraphError
+from .log import scratch, stored
+
+#: Rows that are numbered in one task, and nodes that an error names.
+_ONE_TASK, _NAMED = 1 << 16, 10
 
 
 def staleness(current: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
@@ -26,13 +30,16 @@ def submission_reason(ignore_cache: Column, subset: Column, status: Column, code
 
 def cascade(edges: DataFrame, start: DataFrame) -> DataFrame:
     """edges(src, dst), start(node) to the nodes that are reached, themselves included: a round is a join, and as many run as the longest way has edges."""
-    reached = frontier = start.select("node").distinct().checkpoint() if start.sparkSession.sparkContext.getCheckpointDir() else start.select("node").distinct()
+    place = scratch(edges.sparkSession)
+    frontier = stored(start.select("node").distinct(), f"{place}/round=0")
+    reached, n = frontier, 0
     while True:
         frontier = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
-        frontier = frontier.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else frontier.cache()
+        n += 1
+        frontier = stored(frontier, f"{place}/round={n}")
+        reached = edges.sparkSession.read.schema(reached.schema).parquet(*(f"{place}/round={k}" for k in range(n + 1)))
         if frontier.isEmpty():
             return reached
-        reached = reached.union(frontier)
 
 
 def heads(edges: DataFrame) -> DataFrame:
@@ -53,7 +60,7 @@ def wrapper_cascade(subtasks: DataFrame, group: list[str], position: str, stale:
 def indexed(items: DataFrame, order: list[str]) -> DataFrame:
     """items and idx, 0 to n - 1 in a total order: positions within ranges of the order, and where each range begins."""
     parts = items.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    parts = parts.checkpoint() if items.sparkSession.sparkContext.getCheckpointDir() else parts.cache()
+    parts = stored(parts)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     begins = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_begin"))  # one row for each range
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
@@ -104,18 +111,41 @@ def with_item(bins: DataFrame, position: int, item: Column, size: int = 500) ->
     return bins.withColumn("items", F.when(F.col("bin") == position // size, new).otherwise(F.col("items")))
 
 
-def levels(edges: DataFrame) -> DataFrame:
-    """edges(src, dst) to node, level: the longest way that leads to a node. A round for each level; a cycle never ends in one, so it is an error."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    now = nodes.withColumn("level", F.lit(0))
-    frontier, level, most = now.select("node"), 0, None
+def peeled(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """edges(src, dst), nodes(node, declared) to node, level, position: nodes leave when nothing they wait for is left.
+
+    level is the longest way to a node. position is that of a queue: of the nodes of a level those come first whose last predecessor did, and of several those that were declared first.
+    Without nodes, they are those of the edges, and declared by themselves. A round takes away what is ready, and its edges from the counts of those it leads to; so it takes as many rounds as there are
+    levels, and what is left then waits for a cycle, which is a GraphError, as an edge to a node that isn't declared is.
+    """
+    spark, place = edges.sparkSession, scratch(edges.sparkSession)
+    edges = stored(edges.groupBy("src", "dst").agg(F.count("*").alias("n")), f"{place}/edges")
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    if nodes is None:
+        nodes = ends.withColumn("declared", F.col("node"))
+    elif lost := ends.join(nodes, "node", "left_anti").limit(_NAMED).collect():
+        raise GraphError(f"no node {', '.join(str(r.node) for r in lost)}")
+    counts = edges.groupBy(F.col("dst").alias("node")).agg(F.sum("n").alias("open"))
+    waits = nodes.select("node", "declared").join(counts, "node", "left").select("node", "declared", F.coalesce("open", F.lit(0)).alias("open"), F.lit(None).cast("long").alias("last"))
+    level = begun = 0
     while True:
-        frontier = edges.join(frontier, edges.src == frontier.node).select(F.col("dst").alias("node")).distinct()
-        frontier = frontier.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else frontier.cache()
-        if frontier.isEmpty():
-            return now.groupBy("node").agg(F.max("level").alias("level"))
+        waits = stored(waits, f"{place}/waits-{level}")
+        n = waits.where("open = 0").count()
+        ready = waits.where("open = 0").select("node", "declared", "last")
+        order = ["last", "declared", "node"]
+        nth = ready.withColumn("idx", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")) if n <= _ONE_TASK else indexed(ready, order)
+        ready = stored(nth.select("node", F.lit(level).alias("level"), (F.col("idx") + begun).alias("position")), f"{place}/done/round={level}")
+        if not n:
+            break
+        begun += n
+        freed = edges.join(ready, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum("n").alias("freed"), F.max("position").alias("by"))
+        waits = waits.where("open > 0").join(freed, "node", "left").select("node", "declared", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open"), F.greatest("last", "by").alias("last"))
         level += 1
-        most = most or nodes.count()
-        if level >= most:
-            raise GraphError("cycle")
-        now = now.union(frontier.withColumn("level", F.lit(level)))
+    if left := waits.orderBy("declared").limit(_NAMED).collect():
+        raise GraphError("cycle: " + ", ".join(str(r.node) for r in left))
+    return spark.read.schema(ready.schema).parquet(*(f"{place}/done/round={k}" for k in range(level + 1)))
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) to node, level: the longest way that leads to a node; a cycle is an error."""
+    return peeled(edges).select("node", "level")

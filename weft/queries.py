@@ -14,7 +14,7 @@ from .errors import TaskError
 from .functions import digests
 from .functions import fingerprint as fp
 from .operators import items, lineage, mapped, relations, resolver, state
-from .operators.log import MergeLog, delete, stored
+from .operators.log import MergeLog, scratch, stored
 from .plans import dag, profiles, run
 from .sources import preview, scan, sql
 
@@ -23,17 +23,6 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share, below one of the application's own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/weft-queries-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes what queries have left in the shared folder; results that are not written yet need it."""
-    delete(spark, _scratch(spark).rpartition("/")[0])
-
-
 QUERIES = {}
 ORACLE_SQL = {}
 
@@ -136,26 +125,27 @@ def dirty_cascade(spark, sf_dir):
     return relations.cascade(a.union(b), spark.range(1, 2).select(F.col("id").alias("node")))
 
 
-def _example() -> dag.Pipeline:
-    t = {n: dag.task(lambda: None, name=n) for n in ("raw", "clean", "left", "right", "extra", "join", "report")}
-    t["extra"].optional = "extras"
-    return dag.Pipeline("example", t["raw"] >> t["clean"] >> dag.stage("kind", t["left"], t["right"] >> t["extra"]) >> t["join"] >> t["report"])
+def _by_region(spark, sf_dir) -> dag.Pipeline:
+    """A pipeline with a branch for each region, in which the nations are side by side; nations of even numbers are optional."""
+    task = lambda name, **more: dag.task(lambda: None, name=name, **more)
+    nations = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()  # a task for each
+    branches = []
+    for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        own = [task(n.n_name, optional="even" if n.n_nationkey % 2 == 0 else None) for n in nations if n.n_regionkey == r.r_regionkey]
+        branches.append(task(r.r_name) >> dag.parallel(f"of {r.r_regionkey}", *own))
+    return dag.Pipeline("world", task("raw") >> dag.stage("region", *branches) >> task("report"))
 
 
-_EDGES = "(values ('example','raw'),('raw','clean'),('clean','kind'),('kind','left'),('kind','right'),('right','extra'),('left','join'),('extra','join'),('join','report')) e(src, dst)"
+_BRANCHES = """e as (select 'world' as src, 'raw' as dst, null as r, null as n union all select 'raw', 'region', null, null union all select 'region', r_name, r_regionkey, null from region union all select r_name, 'of ' || r_regionkey, r_regionkey, null from region
+    union all select 'of ' || n_regionkey, n_name, n_regionkey, n_nationkey from nation union all select n_name, 'report', n_regionkey, n_nationkey from nation)"""
 
 
-@query(f"with recursive e as (select * from {_EDGES}), l as (select 'example' as task, 0 as lane union all select dst, lane + 1 from l join e on src = task) select task, max(lane) as lane from l group by task")
+@query(f"with recursive {_BRANCHES}, l as (select 'world' as task, 0 as lane union all select dst, lane + 1 from l join e on src = task) select task, max(lane) as lane from l group by task")
 def execution_lanes(spark, sf_dir):
-    rows = [(n.name, k) for k, lane in enumerate(dag.lanes(_example())) for n in lane]
+    rows = [(n.name, k) for k, lane in enumerate(dag.lanes(_by_region(spark, sf_dir))) for n in lane]
     return spark.createDataFrame(rows, "task string, lane int")
 
 
-@query("select * from (values (0, 'example'), (1, 'raw'), (2, 'clean'), (3, 'kind'), (4, 'left'), (5, 'right'), (6, 'extra'), (7, 'join'), (8, 'report')) t(position, task)")
-def topo_order(spark, sf_dir):
-    return spark.createDataFrame([(k, n.name) for k, n in enumerate(dag.order(_example()))], "position int, task string")
-
-
 def _dependencies(spark, sf_dir):
     """Regions lead to nations, these to customers, and these to orders."""
     node = lambda c, base: (F.col(c) + base).cast("long")
@@ -167,6 +157,15 @@ def _dependencies(spark, sf_dir):
 _DEPENDENCIES = "e as (select n_regionkey::bigint as src, 100 + n_nationkey::bigint as dst from nation union all select 100 + c_nationkey, 1000 + c_custkey from customer union all select 1000 + o_custkey, 100000000 + o_orderkey from orders)"
 
 
+@query(
+    f"with recursive {_DEPENDENCIES}, p as (select distinct src as node, [src] as way from e where src not in (select dst from e) union all select dst, list_append(way, dst) from p join e on src = node) "
+    "select node, row_number() over (order by len(way), way) - 1 as position from p"
+)
+def topo_order(spark, sf_dir):
+    """The nodes in the order in which a queue takes them: nothing before what it follows."""
+    return relations.peeled(_dependencies(spark, sf_dir)).select("node", "position")
+
+
 @query(f"with {_DEPENDENCIES} select distinct src as node from e where src not in (select dst from e)")
 def graph_heads(spark, sf_dir):
     return relations.heads(_dependencies(spark, sf_dir))
@@ -190,16 +189,21 @@ def lineage_reach(spark, sf_dir):
     return lineage.reach(_dependencies(spark, sf_dir), spark.range(107, 108).select(F.col("id").alias("node")))
 
 
-@query("select * from (values ('example','raw'),('raw','clean'),('clean','kind'),('kind','left'),('left','join'),('join','report')) e(src, dst)")
+def _edges_of(spark, graph):
+    return spark.createDataFrame([(a.name, b.name) for a, b in graph.edges], "src string, dst string")
+
+
+@query(f"with {_BRANCHES} select src, dst from e where n is null and (r is null or r < 2) or r < 2 and (n % 2 = 1 or n is null) or r < 2 and n % 2 = 0")
 def profile_stage_prune(spark, sf_dir):
-    g = profiles.prune(_example(), profiles.Profile(stages={"kind": ("left",)}), "example")
-    return spark.createDataFrame([(a.name, b.name) for a, b in g.edges], "src string, dst string")
+    """The edges that are left when a profile selects the first two regions, with all nations."""
+    names = [r.r_name for r in _t(spark, sf_dir, "region").where("r_regionkey < 2").collect()]
+    return _edges_of(spark, profiles.prune(_by_region(spark, sf_dir), profiles.Profile(stages={"region": tuple(names)}, groups={"even": True}), "world"))
 
 
-@query("select * from (values ('example','raw'),('raw','clean'),('clean','kind'),('kind','left'),('kind','right'),('right','join'),('left','join'),('join','report')) e(src, dst)")
+@query(f"with {_BRANCHES} select src, dst from e where n is null or n % 2 = 1 union select 'of ' || n_regionkey, 'report' from nation where n_nationkey % 2 = 0")
 def optional_bypass(spark, sf_dir):
-    g = profiles.prune(_example(), profiles.Profile(), "example")
-    return spark.createDataFrame([(a.name, b.name) for a, b in g.edges], "src string, dst string")
+    """The edges that are left when the nations of even numbers are off: what led to them leads to what followed."""
+    return _edges_of(spark, profiles.prune(_by_region(spark, sf_dir), profiles.Profile(), "world"))
 
 
 # task state, with the orders as a log of writes by customer
@@ -320,7 +324,7 @@ def results_as_inputs(spark, sf_dir):
         return score.select("idx", "a", "b", "value")
 
     graph = dag.config(plus=lambda: 3) >> dag.task(keys, result="pair struct<a: long, b: long>") >> dag.map_over(dag.task(score, result="a long, b long, value long"), "keys", bundle=100_000, group=512) >> dag.task(scored, result="a long, b long, value long")
-    return run.run(dag.Pipeline("results", graph), spark, no_cache=True, results=_scratch(spark))["scored"].select("a", "b", "value")
+    return run.run(dag.Pipeline("results", graph), spark, no_cache=True, results=scratch(spark))["scored"].select("a", "b", "value")
 
 
 _BUNDLES = "select idx // 100 as bundle, idx // 500 as grp, c_custkey, c_acctbal < -990 as bad from (select *, row_number() over (order by c_custkey) - 1 as idx from customer)"
@@ -334,7 +338,7 @@ _BUNDLES = "select idx // 100 as bundle, idx // 500 as grp, c_custkey, c_acctbal
 def map_groups_resumed(spark, sf_dir):
     """Customers in bundles of 100 and groups of five bundles. A first run fails in the first group that has a customer deep in debt; a second goes on at the bundles that weren't done."""
     rows = relations.indexed(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
-    results = items.Results(spark, f"{_scratch(spark)}/owed", "value long")
+    results = items.Results(spark, f"{scratch(spark)}/owed", "value long")
 
     def owed(c_custkey, c_acctbal, strict):
         if strict and c_acctbal < -990:
@@ -347,7 +351,7 @@ def map_groups_resumed(spark, sf_dir):
     except TaskError:
         pass
     first = results.bundles().select("bundle", F.col("status").alias("first_status"))
-    first = stored(first, f"{_scratch(spark)}/first")
+    first = stored(first, f"{scratch(spark)}/first")
     items.run_groups(results, rows, given={"strict": False}, **ways)
     runs = results.log.rows().groupBy("bundle", "idx").count().groupBy("bundle").agg(F.max("count").alias("runs"))
     last = results.bundles().select("bundle", "n_items", F.col("status").alias("last_status"))
@@ -358,7 +362,7 @@ def map_groups_resumed(spark, sf_dir):
 def item_state_log(spark, sf_dir):
     """The state of items by three batches: all as failed, then those that are well, then one of each sixth item that is taken out."""
     c = _t(spark, sf_dir, "customer")
-    log = MergeLog(spark, f"{_scratch(spark)}/log", "item long, status string, started_at timestamp, ended_at timestamp, output_hash string, deleted boolean", ["item"], merge_at=2)
+    log = MergeLog(spark, f"{scratch(spark)}/log", "item long, status string, started_at timestamp, ended_at timestamp, output_hash string, deleted boolean", ["item"], merge_at=2)
     now = F.current_timestamp()
     batch = lambda df, status, h, gone: df.select(F.col("c_custkey").alias("item"), F.lit(status).alias("status"), now.alias("started_at"), now.alias("ended_at"), h.alias("output_hash"), F.lit(gone).alias("deleted"))
     log.append(batch(c, "FAILURE", F.lit(None).cast("string"), False))
@@ -373,7 +377,7 @@ def item_state_log(spark, sf_dir):
 )
 def digests_after_a_change(spark, sf_dir):
     """A file of customers for each nation, of which some are written anew: only these are read again, and the tree of digests leads to them."""
-    place = _scratch(spark)
+    place = scratch(spark)
     rows = _t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string")), ",").alias("t"))
     writer = lambda df: df.write.partitionBy("c_nationkey").option("partitionOverwriteMode", "dynamic").mode("overwrite").text(f"{place}/files")
     kept = digests.Digests(spark, f"{place}/digests")
