@@ -12,8 +12,9 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of joined texts that go to the driver at once.
 BLOCK = 1 << 20
@@ -84,17 +85,27 @@ def compatible_fingerprint(df: DataFrame) -> str:
     return hashlib.md5(f"{rows}:{';'.join(digests)}".encode()).hexdigest()
 
 
-def table_summary(df: DataFrame) -> DataFrame:
-    """One row: the row count and two order-free sums of 64-bit row hashes, aggregated before they are shuffled."""
+def summary(df: DataFrame) -> list[Column]:
+    """Aggregates of a table's rows: n_rows, and two order-free sums of 64-bit row hashes, h1 and h2."""
     row = [F.col(f"`{c}`") for c in sorted(df.columns)]
     big = "decimal(38,0)"
-    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.xxhash64(*row).cast(big)), F.lit(0).cast(big)).alias("h1"), F.coalesce(F.sum(F.xxhash64(F.lit(1), *row).cast(big)), F.lit(0).cast(big)).alias("h2"))
+    total = lambda h: F.coalesce(F.sum(h.cast(big)), F.lit(0).cast(big))
+    return [F.count(F.lit(1)).alias("n_rows"), total(F.xxhash64(*row)).alias("h1"), total(F.xxhash64(F.lit(1), *row)).alias("h2")]
+
+
+def table_summary(df: DataFrame) -> DataFrame:
+    """One row: the row count and two order-free sums of 64-bit row hashes, aggregated before they are shuffled."""
+    return df.agg(*summary(df))
+
+
+def fingerprint_of(schema: T.StructType, s: Any) -> str:
+    """That of a table with a schema and a row of table_summary()."""
+    return hashlib.sha256(f"{schema.json()}|{s.n_rows}|{s.h1}|{s.h2}".encode()).hexdigest()
 
 
 def table_fingerprint(df: DataFrame) -> str:
     """The default for tables of any size: schema, rows and both sums."""
-    s = table_summary(df).first()
-    return hashlib.sha256(f"{df.schema.json()}|{s.n_rows}|{s.h1}|{s.h2}".encode()).hexdigest()
+    return fingerprint_of(df.schema, table_summary(df).first())
 
 
 def file_fingerprint(path: str) -> str:
@@ -199,6 +210,12 @@ def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[st
             if df is None:
                 return None
             parts.append(digests.table(name) if digests and not table else table_fingerprint(df))
+        elif uri.partition("://")[0] in {"csv", "json", "parquet", "orc"}:  # published files
+            from ..sources import sink
+
+            if (found := sink.fingerprint(spark, uri.partition("://")[2])) is None:
+                return None
+            parts.append(found)
         elif "://" not in uri and Path(uri).is_file():
             parts.append(file_fingerprint(uri))
         elif not _exists(spark, uri):

@@ -17,6 +17,7 @@ from ..functions.fingerprint import code_fingerprint, file_fingerprint, output_f
 from ..operators import items as rows_of
 from ..operators import mapped, relations
 from ..operators.state import MemoryStore, NoStore
+from ..sources import sink
 from . import profiles as P
 from . import snapshot
 from .dag import Graph, Node, Pipeline, lanes, order
@@ -183,7 +184,8 @@ def run(
             return keep(n, own)
         if cached and own is None:
             log.append(f"[SKIP] {n.name} - cached")
-            results[n.name] = spark.table(n.outputs[0].removeprefix("table://")) if n.outputs[0].startswith("table://") else None
+            kind, _, name = n.outputs[0].partition("://")
+            results[n.name] = spark.table(name) if kind == "table" else sink.read(spark, name) if kind in sink.FORMATS else None
             return
         log.append(f"[{'MAP' if n.kind == 'map' else 'RUN'}] {n.name}")
         try:
@@ -199,6 +201,10 @@ def run(
                 elif isinstance(out, DataFrame) and n.kind == "python" and len(tables) == 1:
                     out.write.mode("overwrite").saveAsTable(tables[0])
                     out = spark.table(tables[0])
+                elif isinstance(out, DataFrame) and n.kind == "python" and len(n.outputs) == 1 and n.outputs[0].partition("://")[0] in sink.FORMATS:
+                    kind, _, name = n.outputs[0].partition("://")
+                    sink.put(out, name, kind)
+                    out = sink.read(spark, name)
                 results[n.name] = out
         except Exception as e:
             log.append(f"[FAIL] {n.name}")
@@ -212,7 +218,7 @@ def run(
             tasks = order(graph)
             tasks = [t for t in tasks[: tasks.index(n) + 1] if t.kind in {"python", "sql"}]
             hashes = {t.name: h for t in tasks if (h := store.read_hash(storage_key, pipeline.name, t.name))}
-            snapshot.save(spark, place, n.name, [u.removeprefix("table://") for t in tasks for u in t.outputs if u.startswith("table://")], hashes)
+            snapshot.save(spark, place, n.name, [u.removeprefix("table://") for t in tasks for u in t.outputs if u.startswith("table://")], hashes, digests)
             log.append(f"[CHECKPOINT] {n.name}")
 
     for lane in lanes(graph):

@@ -15,8 +15,8 @@ from .functions import digests
 from .functions import fingerprint as fp
 from .operators import items, lineage, mapped, relations, resolver, state
 from .operators.log import MergeLog, scratch, stored
-from .plans import dag, profiles, run
-from .sources import preview, scan, sql
+from .plans import dag, profiles, run, snapshot
+from .sources import preview, scan, sink, sql
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -512,6 +512,42 @@ def checkpoint_restore(spark, sf_dir):
     return spark.table(name).withColumns({"restored": F.lit("[RESTORE] counted" in again["log"]), "runs": F.lit(len(ran)).cast("long")})
 
 
+@query("select o_orderkey, o_comment_like, o_orderstatus, 'csv' as format, true as old_seen from (select o_orderkey, o_orderpriority || ', \"' || o_orderstatus || '\"' as o_comment_like, o_orderstatus from orders) union all select o_orderkey, o_orderpriority || ', \"' || o_orderstatus || '\"', o_orderstatus, 'parquet', true from orders")
+def sink_published(spark, sf_dir):
+    """Orders as files of two formats, in two versions: between the write of the second and its publication readers have the first."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')).alias("o_comment_like"), "o_orderstatus")
+    out = []
+    for kind in ("csv", "parquet"):
+        place = f"{scratch(spark)}/orders"
+        sink.put(orders.where("o_orderstatus = 'F'"), place, kind)
+        new = sink.write(orders, place, kind, ("o_orderstatus",))
+        old = sink.read(spark, place).where("o_orderstatus <> 'F'").isEmpty()
+        sink.publish(spark, place, new)
+        out.append(sink.read(spark, place).withColumns({"format": F.lit(kind), "old_seen": F.lit(old)}))
+    return out[0].union(out[1])
+
+
+@query("select o_orderkey % 4 as part, count(*) as n, 4::bigint as folders, true as in_place from orders group by 1")
+def snapshots_shared(spark, sf_dir):
+    """Four tables of orders, a checkpoint after each: each table's rows are in one folder that all later snapshots name, and a restored run reads them there."""
+    stem, place = f"shared_{uuid.uuid4().hex}", scratch(spark)
+
+    def made(k):
+        return dag.task(lambda spark: _t(spark, sf_dir, "orders").where(F.col("o_orderkey") % 4 == k).groupBy((F.col("o_orderkey") % 4).alias("part")).agg(F.count("*").alias("n")), name=f"made{k}", outputs=[f"table://{stem}_{k}"], checkpoint=True)
+
+    graph = functools.reduce(lambda g, k: g >> made(k), range(1, 4), dag.Graph.of(made(0)))
+    pipeline = dag.Pipeline(stem, graph)
+    pipeline.run(spark, checkpoints=place)
+    for k in range(4):
+        spark.sql(f"drop table {stem}_{k}")
+    again = pipeline.run(spark, checkpoints=place)["log"]
+    counts = snapshot.references(spark, snapshot.folder(spark, place, stem))
+    rows = functools.reduce(DataFrame.union, [spark.read.parquet(digests.location(spark, f"{stem}_{k}")) for k in range(4)])
+    for k in range(4):
+        spark.sql(f"drop table {stem}_{k}")
+    return rows.withColumns({"folders": F.lit(len(counts)).cast("long"), "in_place": F.lit(again[0] == "[RESTORE] made3" and sorted(counts.values()) == [1, 2, 3, 4])})
+
+
 # scans and statements
 
 

@@ -13,6 +13,9 @@ from ..errors import WeftError
 _PARTS = re.compile(r"'(?:[^'\\]|''|\\.)*'|\"(?:[^\"\\]|\"\"|\\.)*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|;|(?<![:\w])[:$]([A-Za-z_]\w*)", re.DOTALL)
 _CREATE = re.compile(r"\s*create\s+(?:or\s+replace\s+)?table\s+(if\s+not\s+exists\s+)?([\w.`]+)\s+as\s+(.*)", re.IGNORECASE | re.DOTALL)
 _DELETE = re.compile(r"\s*delete\s+from\s+([\w.`]+)(?:\s+where\s+(.*))?\s*$", re.IGNORECASE | re.DOTALL)
+_INSERT = re.compile(r"\s*insert\s+(?:into|overwrite)\s+(?:table\s+)?([\w.`]+)", re.IGNORECASE)
+#: The property of tables whose files a snapshot keeps.
+SHARED = "weft.shared"
 
 
 class SqlTaskError(WeftError):
@@ -52,6 +55,8 @@ def run_statement(spark: SparkSession, statement: str, args: dict[str, Any] | No
         spark.sql(kept, args=used or None).write.mode("overwrite").saveAsTable(new)
         _put(spark, new, name)
         return spark.table(name)
+    if i := _INSERT.match(text):
+        own(spark, i[1])
     m = _CREATE.match(text)
     if not m:
         return spark.sql(text, args=used or None)
@@ -66,6 +71,16 @@ def run_statement(spark: SparkSession, statement: str, args: dict[str, Any] | No
     return spark.table(name)
 
 
+def own(spark: SparkSession, name: str) -> None:
+    """Makes a table whose files a snapshot keeps a copy of them, before rows are added."""
+    if not spark.catalog.tableExists(name.replace("`", "")) or not spark.sql(f"show tblproperties {name}").where(f"key = '{SHARED}'").head(1):
+        return
+    new = f"{name.replace('`', '')}__new"
+    spark.sql(f"drop table if exists {new}")
+    spark.table(name).write.saveAsTable(new)
+    _put(spark, new, name)
+
+
 def _put(spark: SparkSession, new: str, name: str) -> None:
     """The table new takes the place of another, which is there until it has."""
     plain, old = name.replace("`", ""), f"{name.replace('`', '')}__old"
