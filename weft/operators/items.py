@@ -103,10 +103,11 @@ def _called(fn: Callable[..., Any], columns: list[str], given: dict[str, Any], s
     return run
 
 
-def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], columns: list[str], given: dict[str, Any], output_hash: str, bundle: int = BUNDLE, group: int = GROUP, force: bool = False) -> list[int]:
+def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], columns: list[str], given: dict[str, Any], output_hash: str, bundle: int = BUNDLE, group: int = GROUP, force: bool = False, profile: Any = None) -> list[int]:
     """items(idx, columns) through fn, group after group; the groups that had something to run. TaskError after the first group with items that failed.
 
-    fn is called with the columns by name, and with what is given. Items with a null are passed as None or NaN, as pandas has them.
+    fn is called with the columns by name, and with what is given. Items with a null are passed as None or NaN, as pandas has them. profile: of
+    resources, for the stages that call it.
     """
     spark = results.spark
     text = F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in columns))
@@ -119,7 +120,7 @@ def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], colum
         own = rows.where(F.col("grp") == g.grp).where(F.col("bundle").isin(g.bundles)).repartition(max(1, min(len(g.bundles), spark.sparkContext.defaultParallelism * 4)), "bundle")
         schema = f"idx long, bundle long, item string, status string, started_at timestamp, ended_at timestamp, error string, value struct<{_fields(spark, results.schema)}>"
         kind = spark.createDataFrame([], schema).schema
-        made = own.mapInPandas(_called(fn, columns, given, kind), schema)
+        made = own.mapInPandas(_called(fn, columns, given, kind), schema, profile=profile)
         results.log.append(made.withColumns({"bin": F.floor(F.col("idx") / BIN).cast("long"), "output_hash": F.lit(output_hash), "deleted": F.lit(False)}))
         ran.append(g.grp)
         failed = results.state().join(rows.where(F.col("grp") == g.grp).select("idx"), "idx", "left_semi").where(F.col("status") == FAILURE)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import inspect
 import json
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
@@ -64,18 +65,24 @@ def selected(graph: Graph, names: str) -> list[Node]:
     return [by_name[x] for x in wanted]
 
 
-def problems(graph: Graph, given: dict[str, dict[str, Any]]) -> list[str]:
-    """What is wrong with the arguments that a profile gives to tasks: unknown tasks, arguments that a task doesn't take, and those that nothing gives it."""
+def problems(graph: Graph, given: dict[str, dict[str, Any]], values: Iterable[str] = ()) -> list[str]:
+    """What is wrong with the arguments that a profile gives to tasks: unknown tasks, arguments that a task doesn't take, and those that nothing gives it. values: names of a configuration."""
     by_name = {n.name: n for n in graph.nodes}
-    shared = {alias for n in graph.nodes if n.kind == "config" for k, v in n.values.items() for alias in [v[1] if isinstance(v, tuple) else k]} | {"spark"}
+    shared = {alias for n in graph.nodes if n.kind == "config" for k, v in n.values.items() for alias in [v[1] if isinstance(v, tuple) else k]} | {"spark", *values} | {n.name for n in graph.nodes if n.result}
     out = [f"no task {t}" for t in given if t not in by_name]
     for n in graph.nodes:
         if n.kind not in {"python", "map"} or n.run is None:
             continue
-        wanted = inspect.signature(n.run).parameters
+        try:
+            wanted = inspect.signature(n.run).parameters
+        except ValueError:  # built-in functions may tell nothing
+            continue
         every = any(p.kind is p.VAR_KEYWORD for p in wanted.values())
         own = given.get(n.name, {})
         out += [f"{n.name} takes no {k}" for k in own if k not in wanted and not every]
         open_ = [k for k, p in wanted.items() if p.default is p.empty and p.kind in {p.POSITIONAL_OR_KEYWORD, p.KEYWORD_ONLY} and k not in own and k not in shared]
-        out += [f"{n.name} gets no {k}" for k in (open_[1:] if n.kind == "map" else open_)]
+        if n.kind == "map":  # an item, or the columns of a row
+            source = by_name.get(n.over.split(".")[0]) if n.over else None
+            open_ = [] if source is not None and source.result else open_[1:]
+        out += [f"{n.name} gets no {k}" for k in open_]
     return out

@@ -29,6 +29,7 @@ class Node:
     result: str | None = None
     bundle: int | None = None
     group: int | None = None
+    compute: dict[str, Any] | None = None
 
     def __rshift__(self, other: Any) -> Graph:
         return Graph.of(self) >> other
@@ -79,14 +80,15 @@ class Graph:
         return Graph.of(other) >> self
 
 
-def task(fn: Callable | None = None, *, outputs: Iterable[str] = (), optional: str | None = None, requires: Iterable[Any] = (), checkpoint: bool = False, name: str | None = None, result: str | None = None) -> Any:
+def task(fn: Callable | None = None, *, outputs: Iterable[str] = (), optional: str | None = None, requires: Iterable[Any] = (), checkpoint: bool = False, name: str | None = None, result: str | None = None, compute: dict[str, Any] | None = None) -> Any:
     """Makes a task of a function; usable as a decorator with or without arguments. The task stays callable.
 
     result: the columns of the rows that it returns, in SQL. They are kept, and tasks that follow can be mapped over them, or take them as a relation by the task's name.
+    compute: cpu and memory that it asks for where it is mapped over rows.
     """
 
     def wrap(f: Callable) -> Node:
-        n = Node(name or f.__name__, run=f, outputs=tuple(outputs), optional=optional, requires=tuple(requires), checkpoint=checkpoint, result=result)
+        n = Node(name or f.__name__, run=f, outputs=tuple(outputs), optional=optional, requires=tuple(requires), checkpoint=checkpoint, result=result, compute=compute)
         functools.update_wrapper(n, f)
         return n
 
@@ -133,7 +135,7 @@ def map_over(t: Any, over: str, bundle: int | None = None, group: int | None = N
     if not callable(t) and not isinstance(t, Node):
         raise TypeError(f"not a task: {t!r}")
     n = t if isinstance(t, Node) else task(t)
-    return Node(n.name, "map", n.run, n.outputs, n.optional, n.requires, n.checkpoint, n.path, over, result=n.result, bundle=bundle, group=group)
+    return Node(n.name, "map", n.run, n.outputs, n.optional, n.requires, n.checkpoint, n.path, over, result=n.result, bundle=bundle, group=group, compute=n.compute)
 
 
 def noop() -> Node:

@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import TaskError
+from ..errors import ProfileError, TaskError
 from ..functions.digests import Digests
 from ..functions.fingerprint import code_fingerprint, file_fingerprint, output_fingerprint
 from ..operators import items as rows_of
@@ -20,7 +20,9 @@ from ..operators.state import MemoryStore, NoStore
 from ..sources import sink
 from . import profiles as P
 from . import snapshot
+from .config import problems, selected, values_of
 from .dag import Graph, Node, Pipeline, lanes, order
+from .resources import Compute, profile_for
 
 
 def compiled(pipeline: Pipeline, profile: P.Profile | None) -> tuple[Graph, set[Node]]:
@@ -58,16 +60,22 @@ def plan(pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.
 
 def run(
     pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.Profile | None = None, storage_key: str = "", force: bool = False, no_cache: bool = False, checkpoints: str | None = None,
-    results: str | None = None, digests: Digests | None = None,
+    results: str | None = None, digests: Digests | None = None, config: dict[str, Any] | None = None, base: str = ".", tasks: str | None = None,
 ) -> dict[str, Any]:
     """Results by task name. Lanes run one after the other, the tasks of one at the same time; the first failure ends the run, and what is done stays recorded.
 
     no_cache: every task runs and no state is kept. checkpoints, results: the folders of snapshots and of kept results, if not the session's. digests: kept digests
-    of outputs, so that files that haven't changed aren't read for fingerprints.
+    of outputs, so that files that haven't changed aren't read for fingerprints. config: values for all tasks, see config.values_of, with files beside base; tasks: names of those
+    that are to run, parted by commas. Arguments that don't fit the tasks are a ProfileError before anything runs.
     """
     store = NoStore() if no_cache else MemoryStore() if store is None else store
     graph, skipped = compiled(pipeline, profile)
-    values: dict[str, Any] = {"spark": spark}
+    values: dict[str, Any] = {"spark": spark} | values_of(config or {}, base)
+    if wrong := problems(pipeline, profile.args if profile else {}, set(values)):
+        raise ProfileError("; ".join(wrong))
+    if tasks is not None:
+        chosen = selected(graph, tasks)
+        skipped = skipped | {n for n in graph.nodes if n.kind in {"python", "sql", "map"} and n not in chosen}
     shared: dict[str, DataFrame] = {}  # kept results
     kept = results or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     results = {}
@@ -152,7 +160,7 @@ def run(
         columns = [c for c in items.columns if c != "idx" and c in wanted]
         given = {k: v for k, v in arguments(n).items() if k in wanted and k not in columns and k != "spark"}
         own = result_of(n)
-        groups = rows_of.run_groups(own, items, n.run, columns, given, fingerprint(spark, n, digests=digests) or _code(n), n.bundle or rows_of.BUNDLE, n.group or rows_of.GROUP, forced)
+        groups = rows_of.run_groups(own, items, n.run, columns, given, fingerprint(spark, n, digests=digests) or _code(n), n.bundle or rows_of.BUNDLE, n.group or rows_of.GROUP, forced, profile_for(spark, Compute.of(n.compute)))
         log.extend(f"[GROUP] {n.name} {g}" for g in groups)
         keep(n, own)
         if not groups:
@@ -215,19 +223,19 @@ def run(
             if n.kind != "map" and (done := fingerprint(spark, n, digests=digests)) is not None:
                 store.write_hash(storage_key, pipeline.name, n.name, done)
         if n.checkpoint and place:
-            tasks = order(graph)
-            tasks = [t for t in tasks[: tasks.index(n) + 1] if t.kind in {"python", "sql"}]
-            hashes = {t.name: h for t in tasks if (h := store.read_hash(storage_key, pipeline.name, t.name))}
-            snapshot.save(spark, place, n.name, [u.removeprefix("table://") for t in tasks for u in t.outputs if u.startswith("table://")], hashes, digests)
+            made = order(graph)
+            made = [t for t in made[: made.index(n) + 1] if t.kind in {"python", "sql"}]
+            hashes = {t.name: h for t in made if (h := store.read_hash(storage_key, pipeline.name, t.name))}
+            snapshot.save(spark, place, n.name, [u.removeprefix("table://") for t in made for u in t.outputs if u.startswith("table://")], hashes, digests)
             log.append(f"[CHECKPOINT] {n.name}")
 
     for lane in lanes(graph):
         with store.batch(), ThreadPoolExecutor(max(1, len(lane))) as pool:
-            tasks = [pool.submit(one, n) for n in lane]
-            done, rest = wait(tasks, return_when=FIRST_EXCEPTION)
+            begun = [pool.submit(one, n) for n in lane]
+            done, rest = wait(begun, return_when=FIRST_EXCEPTION)
             for t in rest:  # those that have not begun
                 t.cancel()
-            for t in tasks:
+            for t in begun:
                 if not t.cancelled():
                     t.result()
     results["log"] = log
