@@ -3,12 +3,13 @@
 import json
 import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from weft.__main__ import main
-from weft.errors import ProfileError
+from weft.errors import ProfileError, TaskError
 from weft.operators.state import TableStore
 from weft.plans import dag
 from weft.plans.profiles import Profile
@@ -69,6 +70,24 @@ def test_configuration_reaches_tasks(spark, tmp_path):
         run(p, spark)
 
 
+def test_arguments_refer_to_results_and_become_paths(spark, tmp_path):
+    got = []
+
+    def made():
+        return {"deep": {"n": 5}}
+
+    def used(n, where: Path, more: list[Path], all_of=None):
+        got.append((n, where, more, all_of))
+
+    p = dag.Pipeline("p", dag.task(made) >> dag.task(used))
+    run(p, spark, profile=Profile(args={"used": {"n": {"ref": "made.deep.n"}, "where": "a/b", "more": ["c"], "all_of": {"ref": "made"}}}))
+    assert got == [(5, Path("a/b"), [Path("c")], {"deep": {"n": 5}})]
+    with pytest.raises(TaskError, match="later has no result yet"):
+        run(dag.Pipeline("p", dag.task(lambda x: x, name="early") >> dag.task(made, name="later")), spark, profile=Profile(args={"early": {"x": {"ref": "later"}}}))
+    with pytest.raises(TypeError, match="not a task"):
+        dag.map_over("text", "made")
+
+
 def test_hints_are_numbers_or_none():
     assert Compute.of({"cpu": 256, "memory": "512"}) == Compute(0.25, 512) and Compute.of({"cpu": "2"}) == Compute(2.0, None) and Compute.of({"cpu": 64}) == Compute(0.0625, None)
     assert Compute.of({"cpu": 63.5, "memory": 0.5}) == Compute(63.5, 1)

@@ -16,16 +16,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of joined texts that go to the driver at once.
-BLOCK = 1 << 20
+from ..errors import HashError
 
+#: Bytes of joined texts that go to the driver at once, and of a column that may go there in all.
+BLOCK, MOST = 1 << 20, 1 << 33
 
-def column_digests(df: DataFrame) -> DataFrame:
-    """column_name, digest: md5 of each column's texts in order, joined by commas; `null` for columns without values.
+
+def column_digests(df: DataFrame, most: int = MOST) -> DataFrame:
+    """column_name, digest: md5 of each column's texts in order, joined by commas; `null` for columns without values. HashError for columns of more bytes than most.
 
     Equal texts are counted, then sorted by ranges and joined to blocks where they are; only the md5, which is defined over all of
-    them in order, reads block after block in the driver. So a column may be of any size, but goes through the driver: see table_fingerprint.
+    them in order, reads block after block in the driver. Columns are measured first, in one pass; for large tables see table_fingerprint.
     """
+    sizes = df.agg(*(F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`").cast("string")).cast("long") + 1), F.lit(0)).alias(f"s{i}") for i, c in enumerate(sorted(df.columns)))).first()
+    if large := [c for i, c in enumerate(sorted(df.columns)) if sizes[f"s{i}"] > most]:
+        raise HashError(f"columns of more than {most} bytes: {', '.join(large)}")
     rows = [(c, _column_digest(df.select(F.col(f"`{c}`").cast("string").alias("v")))) for c in sorted(df.columns)]
     return df.sparkSession.createDataFrame(rows, "column_name string, digest string")
 
@@ -85,17 +90,27 @@ def compatible_fingerprint(df: DataFrame) -> str:
     return hashlib.md5(f"{rows}:{';'.join(digests)}".encode()).hexdigest()
 
 
-def summary(df: DataFrame) -> list[Column]:
-    """Aggregates of a table's rows: n_rows, and two order-free sums of 64-bit row hashes, h1 and h2."""
+def _xxhash(row: list[Column], lane: int) -> Column:
+    return F.xxhash64(*([F.lit(1)] if lane else []), *row)
+
+
+def portable(row: list[Column], lane: int) -> Column:
+    """A row hash below 2^60 that other engines have too: hexadecimal digits of the md5 of the columns' texts, each with its length before it, or a dash for a null."""
+    text = F.concat(*(F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in row))
+    return F.conv(F.substring(F.md5(text), 1 + 15 * lane, 15), 16, 10).cast("long")
+
+
+def summary(df: DataFrame, row_hash: Callable[[list[Column], int], Column] = _xxhash) -> list[Column]:
+    """Aggregates of a table's rows: n_rows, and two order-free sums of row hashes, h1 and h2."""
     row = [F.col(f"`{c}`") for c in sorted(df.columns)]
     big = "decimal(38,0)"
     total = lambda h: F.coalesce(F.sum(h.cast(big)), F.lit(0).cast(big))
-    return [F.count(F.lit(1)).alias("n_rows"), total(F.xxhash64(*row)).alias("h1"), total(F.xxhash64(F.lit(1), *row)).alias("h2")]
+    return [F.count(F.lit(1)).alias("n_rows"), total(row_hash(row, 0)).alias("h1"), total(row_hash(row, 1)).alias("h2")]
 
 
-def table_summary(df: DataFrame) -> DataFrame:
-    """One row: the row count and two order-free sums of 64-bit row hashes, aggregated before they are shuffled."""
-    return df.agg(*summary(df))
+def table_summary(df: DataFrame, row_hash: Callable[[list[Column], int], Column] = _xxhash) -> DataFrame:
+    """One row: the row count and two order-free sums of row hashes (of 64 bits, or portable ones), aggregated before they are shuffled."""
+    return df.agg(*summary(df, row_hash))
 
 
 def fingerprint_of(schema: T.StructType, s: Any) -> str:
@@ -147,8 +162,19 @@ def _named(code: Any, scope: dict[str, Any]) -> Iterator[Any]:
             yield from _named(inner, scope)
 
 
+def _codes(f: Any) -> list[tuple[Any, dict[str, Any]]]:
+    """The code of a function, or of the methods and properties of a class, each with the names that it sees."""
+    if not inspect.isclass(f):
+        return [(f.__code__, f.__globals__)] if hasattr(f, "__code__") else []
+    found = []
+    for member in vars(f).values():
+        parts = [member.fget, member.fset, member.fdel] if isinstance(member, property) else [getattr(member, "__func__", member)]
+        found += [(m.__code__, m.__globals__) for p in parts if inspect.isfunction(m := inspect.unwrap(p) if callable(p) else p)]
+    return found
+
+
 def code_fingerprint(fn: Any) -> str:
-    """Of a function and the functions of its package that it names, alone or through their module, without comments, docstrings and layout."""
+    """Of a function and the functions and classes of its package that it names, alone or through their module, without comments, docstrings and layout. A class counts with its methods and the classes it is derived from."""
     fn = inspect.unwrap(fn)
     root = (fn.__module__ or "").split(".")[0]
     seen: dict[str, str] = {}
@@ -162,16 +188,20 @@ def code_fingerprint(fn: Any) -> str:
             seen[key] = _plain(f)
         except (OSError, TypeError, SyntaxError):
             seen[key] = repr(getattr(f, "__code__", None) and f.__code__.co_code)
-        for g in _named(f.__code__, f.__globals__) if hasattr(f, "__code__") else ():
-            g = g if inspect.ismodule(g) else getattr(g, "run", g)
-            if inspect.isfunction(g) and (g.__module__ or "").split(".")[0] == root:
+        named = [g for code, scope in _codes(f) for g in _named(code, scope)] + (list(f.__bases__) if inspect.isclass(f) else [])
+        for g in named:
+            g = g if inspect.ismodule(g) or inspect.isclass(g) else getattr(g, "run", g)
+            if (inspect.isfunction(g) or inspect.isclass(g)) and (g.__module__ or "").split(".")[0] == root:
                 todo.append(g)
     return hashlib.sha256(":".join(hashlib.sha256(seen[k].encode()).hexdigest() for k in sorted(seen)).encode()).hexdigest()
 
 
-def row_fingerprint(df: DataFrame) -> str:
-    """md5 of the md5s of the rows (as JSON) in order; of a fixed text for no rows. For small tables: the digests go through the driver, see table_fingerprint."""
-    if df.isEmpty():
+def row_fingerprint(df: DataFrame, most: int = MOST) -> str:
+    """md5 of the md5s of the rows (as JSON) in order; of a fixed text for no rows. The digests go through the driver: HashError if they have more bytes than most; for large tables see table_fingerprint."""
+    n = df.count()
+    if 32 * n > most:
+        raise HashError(f"digests of {n} rows")
+    if not n:
         return hashlib.md5(b"empty-table").hexdigest()
     rows = df.select(F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})).alias("h"))
     digest = hashlib.md5()

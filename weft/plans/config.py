@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 import inspect
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 from typing import Any
 
@@ -86,3 +86,35 @@ def problems(graph: Graph, given: dict[str, dict[str, Any]], values: Iterable[st
             open_ = [] if source is not None and source.result else open_[1:]
         out += [f"{n.name} gets no {k}" for k in open_]
     return out
+
+
+def given(fn: Callable[..., Any], values: dict[str, Any], results: dict[str, Any]) -> dict[str, Any]:
+    """The arguments that fn takes of values. `{"ref": "task"}` is that task's result, `{"ref": "task.a.b"}` what is at a.b in it; texts become paths where fn says so."""
+    try:
+        wanted = inspect.signature(fn).parameters
+    except ValueError:
+        return {}
+    every = any(p.kind is p.VAR_KEYWORD for p in wanted.values())
+    return {k: _as(wanted[k].annotation if k in wanted else None, _referred(v, results)) for k, v in values.items() if every or k in wanted}
+
+
+def _referred(v: Any, results: dict[str, Any]) -> Any:
+    if not (isinstance(v, dict) and v.keys() == {"ref"} and isinstance(v["ref"], str)):
+        return v
+    task, *way = v["ref"].split(".")
+    if task not in results:
+        raise ProfileError(f"ref {v['ref']}: {task} has no result yet")
+    found = results[task]
+    for step in way:
+        found = found.get(step) if isinstance(found, dict) else getattr(found, step, None)
+    return found
+
+
+def _as(annotation: Any, v: Any) -> Any:
+    """v as a path, or a list of paths, where that is asked for."""
+    asked = str(getattr(annotation, "__name__", annotation) if not hasattr(annotation, "__args__") else annotation)
+    if "Path" not in asked:
+        return v
+    if isinstance(v, str):
+        return Path(v)
+    return [Path(x) if isinstance(x, str) else x for x in v] if isinstance(v, (list, tuple)) else v

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import re
 from collections.abc import Callable
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from datetime import UTC, datetime
@@ -11,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import ProfileError, TaskError
+from ..errors import HashError, ProfileError, TaskError
 from ..functions.digests import Digests
 from ..functions.fingerprint import code_fingerprint, file_fingerprint, output_fingerprint
 from ..operators import items as rows_of
@@ -20,7 +21,7 @@ from ..operators.state import MemoryStore, NoStore
 from ..sources import sink
 from . import profiles as P
 from . import snapshot
-from .config import problems, selected, values_of
+from .config import given, problems, selected, values_of
 from .dag import Graph, Node, Pipeline, lanes, order
 from .resources import Compute, profile_for
 
@@ -51,13 +52,25 @@ def plan(pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.
     out = []
     for n in order(graph):
         if n.kind in {"python", "sql"} and n not in skipped:
-            now = fingerprint(spark, n) if n.outputs else None
+            try:
+                now = fingerprint(spark, n) if n.outputs else None
+            except HashError:  # such a task runs
+                now = None
             out.append(("SKIP" if now and store and store.read_hash(storage_key, pipeline.name, n.name) == now else "RUN", n.name))
         elif n.kind == "map":
             out.append(("MAP", n.name))
     return out
 
 
+_EVENT = re.compile(r"\[(\w+)\] (\S+(?: \d+)?)(?: - (.*))?")
+
+
+def events(spark: SparkSession, log: list[str]) -> DataFrame:
+    """nth, event, task, note of the lines of a run's log."""
+    found = [(k, *m.groups()) for k, line in enumerate(log) if (m := _EVENT.match(line))]
+    return spark.createDataFrame(found, "nth long, event string, task string, note string")
+
+
 def run(
     pipeline: Pipeline, spark: SparkSession, store: Any = None, profile: P.Profile | None = None, storage_key: str = "", force: bool = False, no_cache: bool = False, checkpoints: str | None = None,
     results: str | None = None, digests: Digests | None = None, config: dict[str, Any] | None = None, base: str = ".", tasks: str | None = None,
@@ -111,9 +124,7 @@ def run(
     def call(n: Node) -> Any:
         if n.kind == "sql":
             return n.run(spark=spark, args={k: v for k, v in arguments(n).items() if k != "spark"})
-        wanted = inspect.signature(n.run).parameters
-        every = any(p.kind is p.VAR_KEYWORD for p in wanted.values())
-        return n.run(**{k: v for k, v in arguments(n).items() if every or k in wanted})
+        return n.run(**given(n.run, arguments(n), results))
 
     def state(n: Node, name: str, forced: bool) -> tuple[bool, str | None]:
         now = fingerprint(spark, n, digests=digests) if n.outputs else None
@@ -138,14 +149,14 @@ def run(
         cached = [bool(now) and known.get(str(i)) == now for i in items]
         log.extend(f"[{'SKIP' if c else 'RUN'}] {name}" + (" - cached" if c else "") for name, c in zip(names, cached, strict=True))
         todo = [k for k, c in enumerate(cached) if not c]
-        given = {k: v for k, v in arguments(n).items() if k in wanted[1:]}
+        more = {k: v for k, v in given(n.run, arguments(n), results).items() if k in wanted[1:]}
         if "spark" in wanted:  # such tasks start jobs of their own
             done = []
             for k in todo:
                 began = datetime.now(UTC)
-                done.append((True, n.run(items[k], **given), None, began, datetime.now(UTC)))
+                done.append((True, n.run(items[k], **more), None, began, datetime.now(UTC)))
         else:
-            done = mapped.run_items(spark, n.run, [items[k] for k in todo], given)
+            done = mapped.run_items(spark, n.run, [items[k] for k in todo], more)
         results[n.name] = [None] * len(items)
         now = fingerprint(spark, n, digests=digests) if n.outputs and todo else now
         store.write_items(key, [(str(items[k]), "SUCCESS" if ok else "FAILURE", began, ended, now, error) for k, (ok, _, error, began, ended) in zip(todo, done, strict=True)])
@@ -158,9 +169,9 @@ def run(
         """Runs a task for each row of a kept result, whose columns, and the fields of its structs, are arguments by name."""
         items = rows_of.apart(items)
         columns = [c for c in items.columns if c != "idx" and c in wanted]
-        given = {k: v for k, v in arguments(n).items() if k in wanted and k not in columns and k != "spark"}
+        more = {k: v for k, v in given(n.run, arguments(n), results).items() if k in wanted and k not in columns and k != "spark"}
         own = result_of(n)
-        groups = rows_of.run_groups(own, items, n.run, columns, given, fingerprint(spark, n, digests=digests) or _code(n), n.bundle or rows_of.BUNDLE, n.group or rows_of.GROUP, forced, profile_for(spark, Compute.of(n.compute)))
+        groups = rows_of.run_groups(own, items, n.run, columns, more, fingerprint(spark, n, digests=digests) or _code(n), n.bundle or rows_of.BUNDLE, n.group or rows_of.GROUP, forced, profile_for(spark, Compute.of(n.compute)))
         log.extend(f"[GROUP] {n.name} {g}" for g in groups)
         keep(n, own)
         if not groups:

@@ -7,13 +7,13 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import TaskError
 from .functions import digests
 from .functions import fingerprint as fp
-from .operators import items, lineage, mapped, relations, resolver, state
+from .operators import items, lineage, mapped, relations, resolver, state, tasks
 from .operators.log import MergeLog, scratch, stored
 from .plans import dag, profiles, run, snapshot
 from .sources import preview, scan, sink, sql
@@ -69,9 +69,15 @@ def fingerprint_empty(spark, sf_dir):
     return spark.createDataFrame([(fp.compatible_fingerprint(_t(spark, sf_dir, "nation").where("n_nationkey < 0")),)], "digest string")
 
 
-@query(None)
+_SUMMED = ("l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_returnflag", "l_suppkey")
+_ROW = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in _SUMMED)
+
+
+@query(f"select count(*) as n_rows, sum(('0x' || substr(h, 1, 15))::bigint)::varchar as h1, sum(('0x' || substr(h, 16, 15))::bigint)::varchar as h2 from (select md5({_ROW}) as h from lineitem)")
 def fingerprint_table(spark, sf_dir):
-    return fp.table_summary(_t(spark, sf_dir, "lineitem"))
+    """The row count and sums of row hashes of lineitem, with the hash that other engines have too."""
+    s = fp.table_summary(_t(spark, sf_dir, "lineitem").select(*_SUMMED), fp.portable)
+    return s.select("n_rows", F.col("h1").cast("string").alias("h1"), F.col("h2").cast("string").alias("h2"))
 
 
 @query("select count(distinct md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_returnflag))) as n_distinct from lineitem")
@@ -512,6 +518,40 @@ def checkpoint_restore(spark, sf_dir):
     return spark.table(name).withColumns({"restored": F.lit("[RESTORE] counted" in again["log"]), "runs": F.lit(len(ran)).cast("long")})
 
 
+@query(
+    """select 't' || o_custkey as task_name, row_number() over (partition by o_custkey order by o_orderkey) - 1 as idx, o_orderkey::varchar as item, o_orderstatus <> 'O' as started, o_orderstatus = 'F' as ended,
+    case when o_orderstatus = 'F' then md5(o_orderkey::varchar) end as output_hash, count(*) over (partition by o_custkey) as subtask_count from orders join customer on c_custkey = o_custkey where c_acctbal >= 0"""
+)
+def subtask_rows(spark, sf_dir):
+    """A task for each customer and a subtask for each order: some begin, some of these end, and tasks of customers in debt go with all they have."""
+    orders = _t(spark, sf_dir, "orders").select(F.concat(F.lit("t"), "o_custkey").alias("task_name"), "o_orderkey", "o_orderstatus")
+    items = stored(orders.withColumn("idx", (F.row_number().over(Window.partitionBy("task_name").orderBy("o_orderkey")) - 1).cast("long")).withColumn("item", F.col("o_orderkey").cast("string")))
+    rows = tasks.TaskRows(spark, scratch(spark), "local", "orders")
+    rows.put(items.select("task_name").distinct())
+    rows.create_subtasks(items)
+    rows.started(items.where("o_orderstatus <> 'O'"))
+    rows.ended(items.where("o_orderstatus = 'F'").withColumn("output_hash", F.md5("item")))
+    rows.delete(_t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("t"), "c_custkey").alias("task_name")))
+    began, ended = F.col("started_at").isNotNull(), F.coalesce(F.col("ended_at") >= F.col("started_at"), F.lit(False))
+    return rows.subtasks().join(rows.list().select("task_name", "subtask_count"), "task_name").select("task_name", "idx", "item", began.alias("started"), ended.alias("ended"), "output_hash", "subtask_count")
+
+
+_DECIDED = "case when o_orderkey % 7 = 0 then 'Task not selected' when o_orderstatus = 'P' then 'No cached state' when o_orderkey % 5 = 0 then 'ignore_cache' when o_orderkey % 3 = 0 then 'FAILURE' when o_orderkey % 4 = 0 then 'Code changed' when o_custkey % 9 = 2 then 'Data changed' when o_orderkey % 11 = 1 then 'Not finished' end"
+
+
+@query(f"select task_name, reason is not null and reason <> 'Task not selected' as should_run, reason, case when reason is not null and reason <> 'Task not selected' and o_orderstatus <> 'P' then n end as array_size from (select o_orderkey::varchar as task_name, {_DECIDED} as reason, o_orderstatus, o_custkey as n from orders)")
+def task_decisions(spark, sf_dir):
+    """Which tasks run, why, and over how many subtasks: a task for each order, with what is stored of it."""
+    o = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    rows = tasks.TaskRows(spark, scratch(spark), "local", "orders")
+    h = lambda c, gone: F.md5(F.concat(k.cast("string"), F.lit(c), gone.cast("string")))
+    same = F.lit(False)
+    rows.put(o.where("o_orderstatus <> 'P'").select(k.cast("string").alias("task_name"), F.when(k % 3 == 0, "FAILURE").otherwise("SUCCESS").alias("status"), h("c", k % 4 == 0).alias("code_hash"), h("i", same).alias("input_hash"), h("d", F.col("o_custkey") % 9 == 2).alias("data_hash"), F.when(k % 11 != 1, F.current_timestamp()).alias("ended_at"), F.col("o_custkey").cast("long").alias("subtask_count")))
+    now = o.select(k.cast("string").alias("task_name"), h("c", same).alias("code_hash"), h("i", same).alias("input_hash"), h("d", same).alias("data_hash"), (k % 5 == 0).alias("ignore_cache"), (k % 7 != 0).alias("selected"))
+    return rows.decisions(now)
+
+
 @query("select o_orderkey, o_comment_like, o_orderstatus, 'csv' as format, true as old_seen from (select o_orderkey, o_orderpriority || ', \"' || o_orderstatus || '\"' as o_comment_like, o_orderstatus from orders) union all select o_orderkey, o_orderpriority || ', \"' || o_orderstatus || '\"', o_orderstatus, 'parquet', true from orders")
 def sink_published(spark, sf_dir):
     """Orders as files of two formats, in two versions: between the write of the second and its publication readers have the first."""
