@@ -102,6 +102,11 @@ def test_profiles_are_for_clusters_that_take_them(spark):
     assert profile_for(spark, Compute(2, 1)) is None  # the session's master is local
 
 
+def test_profiles_show_in_plans(spark, capsys):
+    spark.range(3).mapInPandas(lambda batches: batches, "id long", profile=profile(Compute(2.5, 100), False)).explain()
+    assert "amount: 3" in capsys.readouterr().out
+
+
 def test_hints_do_not_stop_a_local_run(spark, tmp_path):
     listed = dag.task(lambda spark: spark.range(5).select(F.col("id").alias("idx"), F.col("id").alias("a")), name="listed", result="a long")
     p = dag.Pipeline("hints", listed >> dag.map_over(dag.task(lambda a: a + 1, name="more", result="value long", compute={"cpu": 512, "memory": 100}), "listed"))

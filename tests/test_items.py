@@ -197,6 +197,13 @@ def test_items_without_rows_and_with_nulls(spark, tmp_path):
     assert {tuple(r) for r in store.values().collect()} == {(0, None, 1), (1, "", 1)}
 
 
+def test_items_may_have_any_column_names(spark, tmp_path):
+    store = items.Results(spark, str(tmp_path / "r"), "item long, status string, idx2 long")
+    rows = spark.range(4).select(F.col("id").alias("idx"), F.col("id").alias("item"), F.lit("b").alias("bundle"), F.lit(1).alias("grp"), F.lit("v").alias("value"))
+    items.run_groups(store, rows, lambda item, bundle, grp, value: (item + grp, bundle + value, item), ["item", "bundle", "grp", "value"], {}, "h", bundle=3, group=1)
+    assert sorted(tuple(r) for r in store.values().collect()) == [(i, i + 1, "bv", i) for i in range(4)]
+
+
 # order by peeling
 
 

@@ -10,7 +10,6 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 from .errors import WeftError
-from .functions.digests import Digests
 from .operators.state import store
 from .plans import profiles
 from .plans.config import included, problems, selected, values_of
@@ -48,8 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.what == "plan":
             lines = [f"{action} {task}" for action, task in plan(pipeline, spark, kept, profile)]
         else:
-            digests = Digests(spark, f"{a.state.rstrip('/')}-digests") if a.state else None
-            lines = run(pipeline, spark, kept, profile, force=a.force, digests=digests, config=config, base=base, tasks=a.tasks)["log"]
+            lines = run(pipeline, spark, kept, profile, force=a.force, config=config, base=base, tasks=a.tasks)["log"]
     except (WeftError, ValueError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.log import MergeLog, hadoop
-from .fingerprint import table_fingerprint
+from .fingerprint import fingerprint_of, table_fingerprint
 
 #: Bytes of a file whose content is read as one value; the digest of a larger one is of its length and time.
 MOST_BYTES = 1 << 30
@@ -81,18 +81,21 @@ class Digests:
     def table_files(self, name: str) -> DataFrame | None:
         """path, size, modified, n, h1, h2 of each file of a table; None for views, which have none."""
         place = location(self.spark, name)
-        if place is None:
-            return None
-        df = self.spark.table(name)
+        return None if place is None else self._row_files(self.spark.table(name), place)
+
+    def _row_files(self, df: DataFrame, place: str) -> DataFrame:
         return self._current(hashlib.sha256(df.schema.json().encode()).hexdigest(), self._listed(place), df).drop("digest")
 
     def table(self, name: str) -> str:
         """What table_fingerprint() gives for the table."""
-        files = self.table_files(name)
-        if files is None:
-            return table_fingerprint(self.spark.table(name))
-        s = files.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast(_BIG).alias(c) for c in ("n", "h1", "h2"))).first()
-        return hashlib.sha256(f"{self.spark.table(name).schema.json()}|{s.n}|{s.h1}|{s.h2}".encode()).hexdigest()
+        place = location(self.spark, name)
+        return table_fingerprint(self.spark.table(name)) if place is None else self.rows(self.spark.table(name), place)
+
+    def rows(self, df: DataFrame, place: str) -> str:
+        """What table_fingerprint() gives for df, which has all rows of the files in a folder."""
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(_BIG)
+        s = self._row_files(df, place).agg(total("n").alias("n_rows"), total("h1").alias("h1"), total("h2").alias("h2")).first()
+        return fingerprint_of(df.schema, s)
 
     def files(self, path: str) -> DataFrame:
         """path (below the folder), size, modified, digest of each file."""

@@ -230,8 +230,8 @@ def _exists(spark: Any, pattern: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[str], DataFrame | None] | None = None, digests: Any = None) -> str | None:
-    """Of a task's outputs: files and folders on any file system, and tables written `table://name`. None if it has none or one is missing. table: reads tables, if not the session. digests: kept ones, of which files that haven't changed are taken."""
+def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[str], DataFrame | str | None] | None = None, digests: Any = None) -> str | None:
+    """Of a task's outputs: files and folders on any file system, and tables written `table://name`. None if it has none or one is missing. table: reads tables, or gives their fingerprints, if not the session. digests: kept ones, of which files that haven't changed are taken."""
     parts = []
     for uri in outputs:
         if uri.startswith("table://"):
@@ -239,7 +239,7 @@ def output_fingerprint(spark: Any, outputs: tuple[str, ...], table: Callable[[st
             df = table(name) if table else spark.table(name) if spark.catalog.tableExists(name) else None
             if df is None:
                 return None
-            parts.append(digests.table(name) if digests and not table else table_fingerprint(df))
+            parts.append(df if isinstance(df, str) else digests.table(name) if digests and not table else table_fingerprint(df))
         elif uri.partition("://")[0] in {"csv", "json", "parquet", "orc"}:  # published files
             from ..sources import sink
 

@@ -80,7 +80,7 @@ def _fields(spark: SparkSession, schema: str) -> str:
 
 
 def _called(fn: Callable[..., Any], columns: list[str], given: dict[str, Any], schema: T.StructType) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Runs fn for each row of (idx, bundle, item, columns); its value is a single one, a tuple or a dictionary."""
+    """Runs fn for each row of (idx, bundle, item, _c0, _c1, ...), which has the columns in order; its value is a single one, a tuple or a dictionary."""
     names = schema["value"].dataType.names  # type: ignore[union-attr]
 
     def shaped(v: Any) -> dict[str, Any]:
@@ -91,7 +91,7 @@ def _called(fn: Callable[..., Any], columns: list[str], given: dict[str, Any], s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for idx, bundle, item, *own in batch[["idx", "bundle", "item", *columns]].itertuples(index=False, name=None):
+            for idx, bundle, item, *own in batch[["idx", "bundle", "item", *(f"_c{k}" for k in range(len(columns)))]].itertuples(index=False, name=None):
                 began, value, error = datetime.datetime.now(datetime.UTC), None, None
                 try:
                     value = shaped(fn(**dict(zip(columns, own, strict=True)), **given))
@@ -112,7 +112,8 @@ def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], colum
     spark = results.spark
     text = F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in columns))
     at = F.floor(F.col("idx") / bundle).cast("long")
-    rows = items.select(F.col("idx").cast("long").alias("idx"), *(F.col(f"`{c}`") for c in columns)).withColumns({"item": text, "bundle": at}).withColumn("grp", F.floor(F.col("bundle") / group).cast("long"))
+    given_as = [f"_c{k}" for k in range(len(columns))]  # so that columns may have any names
+    rows = items.select(F.col("idx").cast("long").alias("idx"), at.alias("bundle"), text.alias("item"), *(F.col(f"`{c}`").alias(a) for a, c in zip(given_as, columns, strict=True))).withColumn("grp", F.floor(F.col("bundle") / group).cast("long"))
     done = results.state().where((F.col("status") == SUCCESS) & (F.col("output_hash") == output_hash)).select("idx", "item")
     open_ = (rows if force else rows.join(done, ["idx", "item"], "left_anti")).groupBy("grp", "bundle").agg(F.count("*").alias("n")).groupBy("grp").agg(F.collect_list("bundle").alias("bundles"))
     ran = []

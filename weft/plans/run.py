@@ -17,7 +17,7 @@ from ..functions.digests import Digests
 from ..functions.fingerprint import code_fingerprint, file_fingerprint, output_fingerprint
 from ..operators import items as rows_of
 from ..operators import mapped, relations
-from ..operators.state import MemoryStore, NoStore
+from ..operators.state import MemoryStore, NoStore, TableStore
 from ..sources import sink
 from . import profiles as P
 from . import snapshot
@@ -39,7 +39,7 @@ def _code(n: Node) -> str:
     return file_fingerprint(n.path) if n.path else code_fingerprint(n.run)
 
 
-def fingerprint(spark: SparkSession, n: Node, table: Callable[[str], DataFrame] | None = None, digests: Digests | None = None) -> str | None:
+def fingerprint(spark: SparkSession, n: Node, table: Callable[[str], DataFrame | str | None] | None = None, digests: Digests | None = None) -> str | None:
     """Of a task's code and its outputs; None while an output is missing. table: where tables are read from, if not the session's."""
     if n.outputs and (found := output_fingerprint(spark, n.outputs, table, digests)) is None:
         return None
@@ -78,10 +78,12 @@ def run(
     """Results by task name. Lanes run one after the other, the tasks of one at the same time; the first failure ends the run, and what is done stays recorded.
 
     no_cache: every task runs and no state is kept. checkpoints, results: the folders of snapshots and of kept results, if not the session's. digests: kept digests
-    of outputs, so that files that haven't changed aren't read for fingerprints. config: values for all tasks, see config.values_of, with files beside base; tasks: names of those
+    of outputs, so that files that haven't changed aren't read for fingerprints; beside a table store they are kept anyway. config: values for all tasks, see config.values_of, with files beside base; tasks: names of those
     that are to run, parted by commas. Arguments that don't fit the tasks are a ProfileError before anything runs.
     """
     store = NoStore() if no_cache else MemoryStore() if store is None else store
+    if digests is None and isinstance(store, TableStore):
+        digests = Digests(spark, f"{store.path.rstrip('/')}-digests")
     graph, skipped = compiled(pipeline, profile)
     values: dict[str, Any] = {"spark": spark} | values_of(config or {}, base)
     if wrong := problems(pipeline, profile.args if profile else {}, set(values)):
@@ -98,7 +100,7 @@ def run(
     before = {n: [a for a, b in graph.edges if b is n] for n in graph.nodes}
     place = snapshot.folder(spark, checkpoints, pipeline.name) if any(n.checkpoint for n in graph.nodes) and not no_cache else None
     if place and not force and not store.list_tasks(storage_key, pipeline.name):
-        last = snapshot.candidate(spark, place, order(graph), lambda n, s: fingerprint(spark, n, lambda t: s.table(spark, t) if t in s.tables else None))
+        last = snapshot.candidate(spark, place, order(graph), lambda n, s: fingerprint(spark, n, lambda t: s.rows(spark, t, digests) if t in s.tables else None))
         if last:
             snapshot.restore(spark, last, lambda task, value: store.write_hash(storage_key, pipeline.name, task, value))
             log.append(f"[RESTORE] {last.task}")

@@ -33,6 +33,10 @@ class Snapshot:
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(self.tables[name])
 
+    def rows(self, spark: SparkSession, name: str, digests: Any) -> DataFrame | str:
+        """A table, or with kept digests its fingerprint."""
+        return digests.rows(self.table(spark, name), self.tables[name]) if digests else self.table(spark, name)
+
 
 def folder(spark: SparkSession, place: str | None, pipeline: str) -> str | None:
     """place, or the session's checkpoint folder; without either there are no checkpoints."""

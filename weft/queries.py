@@ -15,7 +15,7 @@ from .functions import digests
 from .functions import fingerprint as fp
 from .operators import items, lineage, mapped, relations, resolver, state, tasks
 from .operators.log import MergeLog, scratch, stored
-from .plans import dag, profiles, run, snapshot
+from .plans import dag, profiles, run, snapshot, specs
 from .sources import preview, scan, sink, sql
 
 
@@ -195,6 +195,23 @@ def lineage_reach(spark, sf_dir):
     return lineage.reach(_dependencies(spark, sf_dir), spark.range(107, 108).select(F.col("id").alias("node")))
 
 
+@query(
+    """with r as (select r_regionkey, r_name from region), n as (select n_name, n_nationkey, n_regionkey, r_name from nation join region on r_regionkey = n_regionkey)
+    select 'raw' as task, null as dep, 0::bigint as plus union all select r_name, 'raw', null from r union all select n_name, r_name, case when n_regionkey = 1 then 100 + n_nationkey else n_nationkey end from n union all select 'report', n_name, null from n"""
+)
+def graph_inherited(spark, sf_dir):
+    """The tasks of a graph that takes in one for each region, which all take in another: what each depends on, and an argument that is put over for one region."""
+    nations = _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a task for each
+    graphs = {"base": {"tasks": {"raw": {"args": {"plus": 0}}}}, "world": {"extends": [], "tasks": {"report": [n.n_name for n in nations]}}}
+    for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        own = [n for n in nations if n.n_regionkey == r.r_regionkey]
+        graphs[f"of {r.r_name}"] = {"extends": "base", "tasks": {r.r_name: "raw"} | {n.n_name: {"deps": r.r_name, "args": {"plus": n.n_nationkey}} for n in own}}
+        over = {n.n_name: {"plus": 100 + n.n_nationkey} for n in own} if r.r_regionkey == 1 else {}
+        graphs["world"]["extends"].append({"graph": f"of {r.r_name}", "args": over})
+    rows = [(t, d, e.get("args", {}).get("plus")) for t, e in specs.flattened(graphs, "world").items() for d in e["deps"] or [None]]
+    return spark.createDataFrame(rows, "task string, dep string, plus long")
+
+
 def _edges_of(spark, graph):
     return spark.createDataFrame([(a.name, b.name) for a, b in graph.edges], "src string, dst string")
 
@@ -261,11 +278,10 @@ def map_cached(spark, sf_dir):
 
 @query("select n_nationkey::bigint as item, n_nationkey * 10 + 3 as result from nation")
 def map_pipeline(spark, sf_dir):
-    """A task that a pipeline maps over the result of another, on executors, with a value of the configuration."""
-    listed = dag.task(lambda spark: {"nations": [r.n_nationkey for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]}, name="listed")
-    graph = dag.config(plus=lambda: 3) >> listed >> dag.map_over(dag.task(lambda item, plus: int(item) * 10 + plus, name="ten"), "listed.nations")
-    done = run.run(dag.Pipeline("mapped", graph), spark)
-    return spark.createDataFrame(list(zip(map(int, done["listed"]["nations"]), done["ten"], strict=True)), "item long, result long")
+    """A task that a pipeline maps over the rows of another, on executors, with a value of the configuration."""
+    listed = dag.task(lambda spark: _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("item")), name="listed", result="item long")
+    ten = dag.task(lambda item, plus: (item, item * 10 + plus), name="ten", result="item long, result long")
+    return run.run(dag.Pipeline("mapped", dag.config(plus=lambda: 3) >> listed >> dag.map_over(ten, "listed")), spark, no_cache=True, results=scratch(spark))["ten"].select("item", "result")
 
 
 @query("select c_custkey, row_number() over (order by c_name, c_custkey) - 1 as idx from customer")
