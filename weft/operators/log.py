@@ -82,30 +82,33 @@ class MergeLog:
             self.merge()
 
     def replace(self, rows: DataFrame) -> None:
-        """Makes rows all that is current, with one row for each key; readers see the old rows until the new ones are whole."""
-        base, live, replaced = self._parts()
-        self._base(_last(self._dated(rows, time.time_ns()), self.key), live, replaced)
+        """Makes rows, one for each key, all that is current; readers see the old rows until the new ones are whole."""
+        _, live, replaced = self._parts()
+        self._base(self._dated(rows, time.time_ns()), live, replaced)
 
     def _dated(self, rows: DataFrame, seq: int) -> DataFrame:
         return rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.fields), F.lit(seq).alias("_seq"), F.monotonically_increasing_id().alias("_nth"))
 
     def rows(self) -> DataFrame:
         """All rows that are there, older ones of a key as well."""
-        base, live, _ = self._parts()
+        return self._rows(*self._parts()[:2])
+
+    def _rows(self, base: str | None, live: list[str]) -> DataFrame:
         paths = [f"{self.path}/{n}" for n in ([f"{base}/rows"] if base else []) + live]
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def current(self) -> DataFrame:
-        """The last row of each key, in the columns of the schema."""
-        return _last(self.rows(), self.key).select(*self.columns)
+        """The last row of each key, in the columns of the schema; a base has one of each, so it is only read."""
+        base, live, _ = self._parts()
+        rows = self._rows(base, live)
+        return (_last(rows, self.key) if live else rows).select(*self.columns)
 
     def merge(self) -> None:
         """Makes a new base of what is current, and deletes what the base before had replaced."""
         base, live, replaced = self._parts()
         if not live:
             return
-        paths = [f"{self.path}/{n}" for n in ([f"{base}/rows"] if base else []) + live]
-        self._base(_last(self.spark.read.schema(self.schema).parquet(*paths), self.key), live, replaced)
+        self._base(_last(self._rows(base, live), self.key), live, replaced)
 
     def _base(self, rows: DataFrame, live: list[str], replaced: list[str]) -> None:
         """Puts rows in the place of the base and of the appends that are live."""
