@@ -99,3 +99,27 @@ def test_outputs_are_found_by_name_or_last_part():
 def test_filters_keep_semicolons_in_quotes(spark):
     rows = spark.createDataFrame([("a;b",), ("c",), ("d",)], "x string")
     assert sorted(r.x for r in preview.any_filter(rows, "x = 'a;b'; x = \"c\"").collect()) == ["a;b", "c"]
+
+
+#: Of what both know: the analysed plan is not followed into generators and scalar subqueries.
+QUERIES = [
+    "select o.k, c.name, o.price * o.n as total from o join c on o.cust = c.k",
+    "with a as (select k, cust, price + n as p from o), b as (select a.k, a.p, c.name from a join c on a.k = c.k) select name, sum(p) as s, max(k) as m from b group by name",
+    "select * from (select k as x, price as y from o union all select k, n from o) t where x > 1",
+    "select x.*, x.p + 1 as q from (select price as p, name from o join c using (k)) x",
+    "select c.name, row_number() over (partition by o.cust order by o.price) as r from o, c where o.cust = c.k",
+    "select upper(name) as u, case when k > 1 then name else 'x' end as v from c order by k limit 5",
+    "with a as (select * from o), b as (select * from a), d as (select * from b where n = 1) select d.price, b.n from d join b on d.k = b.k",
+    "select k, price from o intersect select k, k + 1 from c",
+    "select distinct a.k from o a left join o b on a.k = b.k and a.price < b.price",
+    "select s.a.b as f, s.a as g from (select named_struct('b', price) as a from o) s",
+    "select k from o where exists (select 1 from c where c.k = o.cust) and n in (select k from c)",
+]
+
+
+@pytest.mark.parametrize("text", QUERIES)
+def test_parsed_and_analysed_lineage_agree(spark, text):
+    spark.createDataFrame([], "k int, cust int, price int, n int").createOrReplaceTempView("o")
+    spark.createDataFrame([], "k int, name string").createOrReplaceTempView("c")
+    wanted = {c: set(s) for c, s in lineage.column_sources(spark.sql(text)).items()}
+    assert sources(spark, text, o=["k", "cust", "price", "n"], c=["k", "name"]) == wanted
