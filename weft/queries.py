@@ -47,6 +47,13 @@ def _sql(name: str, text: str, tables: str, oracle: str | None = None) -> None:
     ORACLE_SQL[name] = (oracle or text).format(**{t: t for t in tables.split()})
 
 
+def _taken(df: DataFrame, table: str) -> DataFrame:
+    """df, kept in the shared folder, and without the table that it was read from."""
+    kept = stored(df)
+    df.sparkSession.sql(f"drop table if exists {table}")
+    return kept
+
+
 def _digest(c: str) -> str:
     return f"select '{c}' as column_name, coalesce(md5(string_agg({c}::varchar, ',' order by {c}::varchar)), 'null') as digest from {{t}}"
 
@@ -510,10 +517,10 @@ def pipeline_pricing(spark, sf_dir):
     def load(spark):
         _t(spark, sf_dir, "lineitem").createOrReplaceTempView("items")
 
-    path = Path(tempfile.mkdtemp()) / "pricing.sql"  # the driver reads it
-    path.write_text(_PRICING.format(name=f"pricing_{uuid.uuid4().hex}"))
+    path, name = Path(tempfile.mkdtemp()) / "pricing.sql", f"pricing_{uuid.uuid4().hex}"  # the driver reads it
+    path.write_text(_PRICING.format(name=name))
     profile = profiles.resolve({"base": {"args": {"pricing": {"most": 3}}}, "five": {"extends": "base", "args": {"pricing": {"most": 5}}}}, "five")
-    return run.run(dag.Pipeline("pricing", load >> dag.sql_task(str(path))), spark, profile=profile)["pricing"]
+    return _taken(run.run(dag.Pipeline("pricing", load >> dag.sql_task(str(path))), spark, profile=profile)["pricing"], name)
 
 
 @query("select o_orderstatus, count(*) as n, true as restored, 1::bigint as runs from orders group by all")
@@ -526,12 +533,12 @@ def checkpoint_restore(spark, sf_dir):
         ran.append(1)
         return _t(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
-    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints_{uuid.uuid4().hex}"
+    place = scratch(spark)
     pipeline = dag.Pipeline("kept", dag.task(counted, outputs=[f"table://{name}"], checkpoint=True))
     pipeline.run(spark, checkpoints=place)
     spark.sql(f"drop table {name}")
     again = pipeline.run(spark, checkpoints=place)
-    return spark.table(name).withColumns({"restored": F.lit("[RESTORE] counted" in again["log"]), "runs": F.lit(len(ran)).cast("long")})
+    return _taken(spark.table(name), name).withColumns({"restored": F.lit("[RESTORE] counted" in again["log"]), "runs": F.lit(len(ran)).cast("long")})
 
 
 @query(
@@ -610,7 +617,7 @@ def snapshots_shared(spark, sf_dir):
 @query("select r_regionkey::bigint as key, r_name as name, null::bigint as region from region union all select n_nationkey, n_name, n_regionkey from nation union all select 1000, 'none', null")
 def scan_formats(spark, sf_dir):
     """CSV, JSON and values, matched by name."""
-    place = f"{spark.conf.get('spark.sql.warehouse.dir')}/scans_{uuid.uuid4().hex}"
+    place = scratch(spark)
     _t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).write.option("header", "true").csv(f"{place}/region.csv")
     _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")).write.json(f"{place}/nation.json")
     rows = scan.scan_all(spark, [f"{place}/region.csv", f"{place}/nation.json"]).unionByName(scan.values(spark, [(1000, "none", None)], "key long, name string, region long"))
@@ -625,7 +632,7 @@ def sql_insert_delete(spark, sf_dir):
     text = f"""create or replace table {t} as select cast(n_nationkey as bigint) as k, n_name as name, n_regionkey as r from {read["nation"]};
     insert into {t} select r_regionkey + 100, r_name, -1 from {read["region"]};
     delete from {t} where r = :region or k = 103; select k, name from {t}"""
-    return sql.run_text(spark, text, {"region": 2})
+    return _taken(sql.run_text(spark, text, {"region": 2}), t)
 
 
 @query("select column_name from (describe nation)")
