@@ -116,16 +116,15 @@ def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], colum
     rows = items.select(F.col("idx").cast("long").alias("idx"), at.alias("bundle"), text.alias("item"), *(F.col(f"`{c}`").alias(a) for a, c in zip(given_as, columns, strict=True))).withColumn("grp", F.floor(F.col("bundle") / group).cast("long"))
     done = results.state().where((F.col("status") == SUCCESS) & (F.col("output_hash") == output_hash)).select("idx", "item")
     open_ = (rows if force else rows.join(done, ["idx", "item"], "left_anti")).groupBy("grp", "bundle").agg(F.count("*").alias("n")).groupBy("grp").agg(F.collect_list("bundle").alias("bundles"))
+    schema = f"idx long, bundle long, item string, status string, started_at timestamp, ended_at timestamp, error string, value struct<{_fields(spark, results.schema)}>"
+    call = _called(fn, columns, given, spark.createDataFrame([], schema).schema)
     ran = []
     for g in open_.orderBy("grp").collect():  # a row for each group, with at most so many bundles as a group has
         own = rows.where(F.col("grp") == g.grp).where(F.col("bundle").isin(g.bundles)).repartition(max(1, min(len(g.bundles), spark.sparkContext.defaultParallelism * 4)), "bundle")
-        schema = f"idx long, bundle long, item string, status string, started_at timestamp, ended_at timestamp, error string, value struct<{_fields(spark, results.schema)}>"
-        kind = spark.createDataFrame([], schema).schema
-        made = own.mapInPandas(_called(fn, columns, given, kind), schema, profile=profile)
-        results.log.append(made.withColumns({"bin": F.floor(F.col("idx") / BIN).cast("long"), "output_hash": F.lit(output_hash), "deleted": F.lit(False)}))
+        made = own.mapInPandas(call, schema, profile=profile)
+        batch = results.log.append(made.withColumns({"bin": F.floor(F.col("idx") / BIN).cast("long"), "output_hash": F.lit(output_hash), "deleted": F.lit(False)}))
         ran.append(g.grp)
-        failed = results.state().join(rows.where(F.col("grp") == g.grp).select("idx"), "idx", "left_semi").where(F.col("status") == FAILURE)
-        if bad := failed.orderBy("idx").limit(_SHOWN).collect():
+        if bad := batch.where(F.col("status") == FAILURE).orderBy("idx").limit(_SHOWN).collect():
             raise TaskError("; ".join(f"[{r['item']}]: {r['error']}" for r in bad))
     gone = results.log.current().join(rows.select("idx"), "idx", "left_anti")
     if not gone.isEmpty():

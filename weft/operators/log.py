@@ -73,13 +73,15 @@ class MergeLog:
         live = [n for n in names if n.startswith("part-") and n not in merged and self._whole(n)]
         return base, live, [n for n in names if n in merged or (n.startswith("base-") and n < (base or ""))]
 
-    def append(self, rows: DataFrame) -> None:
-        """Adds rows as one batch. Of rows of one key in a batch any may become the last."""
+    def append(self, rows: DataFrame) -> DataFrame:
+        """Adds rows as one batch, and gives them back as they are stored. Of rows of one key in a batch any may become the last."""
         seq = time.time_ns()
-        self._dated(rows, seq).write.parquet(f"{self.path}/part-{seq:020d}-{uuid.uuid4().hex}")
+        path = f"{self.path}/part-{seq:020d}-{uuid.uuid4().hex}"
+        self._dated(rows, seq).write.parquet(path)
         self.appends += 1
         if self.appends % self.merge_at == 0:
             self.merge()
+        return self.spark.read.schema(self.schema).parquet(path).select(*self.columns)
 
     def replace(self, rows: DataFrame) -> None:
         """Makes rows, one for each key, all that is current; readers see the old rows until the new ones are whole."""
