@@ -55,6 +55,7 @@ def test_commands(place, capsys, spark):
     assert capsys.readouterr().out.splitlines() == ["told 7", "[RUN] made", "[RUN] told"] and spark.table("commands_made").count() == 4
     assert main(["plan", *every, "--state", "state"]) == 0 and capsys.readouterr().out.splitlines() == ["SKIP made", "RUN told"]
     assert main(["run", *every, "--state", "state", "--tasks", "told"]) == 0 and capsys.readouterr().out.splitlines() == ["told 0", "[RUN] told"]
+    assert (place / "state").is_dir() and (place / "state-digests").is_dir()
     assert main(["run", *every, "--tasks", "nobody"]) == 1 and "no task nobody" in capsys.readouterr().err
     assert main(["run", *every, "--profile", "nobody"]) == 1
 

@@ -43,6 +43,8 @@ def main(argv: list[str] | None = None) -> int:
                 print(line)
             return int(bool(wrong))
         spark = SparkSession.builder.getOrCreate()
+        if a.state and "://" not in a.state:  # Spark may have been started elsewhere
+            a.state = str(Path(a.state).resolve())
         kept = store("table" if a.state else "memory", spark, a.state)
         if a.what == "plan":
             lines = [f"{action} {task}" for action, task in plan(pipeline, spark, kept, profile)]
