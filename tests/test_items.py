@@ -188,6 +188,36 @@ def test_a_run_goes_on_at_the_first_unfinished_bundle(spark, tmp_path):
     assert items.run_groups(store, fewer, job, ["a"], {"bad": -1, "where": ran}, "h2", bundle=10, group=2) == [0, 1, 2]
 
 
+@pytest.mark.parametrize(("long", "slots", "jobs"), [(60, 4, 1), (-1, 4, 10), (60, 0, 10), (60, 1, 1)])
+def test_small_groups_share_a_job_and_begin_one_after_the_other(spark, tmp_path, monkeypatch, long, slots, jobs):
+    monkeypatch.setattr(items, "LONG", long, raising=False)
+    monkeypatch.setattr(items, "_slots", lambda *_: slots, raising=False)
+    store = items.Results(spark, str(tmp_path / "r"), "value long")
+    rows = spark.range(395).select(F.col("id").alias("idx"), F.col("id").alias("a"))
+    assert items.run_groups(store, rows, lambda a: a * 2, ["a"], {}, "h", bundle=10, group=4) == list(range(10))
+    assert store.log.appends == jobs
+    assert sorted(tuple(r) for r in store.values().collect()) == [(i, 2 * i) for i in range(395)]
+    times = store.state().groupBy(F.floor(F.col("idx") / 40).alias("grp")).agg(F.min("started_at").alias("a"), F.max("ended_at").alias("b")).orderBy("grp").collect()
+    assert len(times) == 10 and all(x.b <= y.a for x, y in zip(times, times[1:], strict=False))
+
+
+def test_a_failure_in_a_shared_job_ends_it_after_its_group(spark, tmp_path):
+    store = items.Results(spark, str(tmp_path / "r"), "value long")
+    rows = spark.range(1000).select(F.col("id").alias("idx"), F.col("id").alias("a"))
+
+    def job(a, bad):
+        if a in bad:
+            raise ValueError("bad")
+        return a
+
+    with pytest.raises(TaskError, match=r"^\[333\]: ValueError: bad; \[345\]: ValueError: bad$"):
+        items.run_groups(store, rows, job, ["a"], {"bad": {333, 345, 777}}, "h", bundle=10, group=4)
+    assert store.log.appends == 1 and store.state().count() == 360  # all of the ninth group, and nothing of the tenth
+    assert items.run_groups(store, rows, job, ["a"], {"bad": set()}, "h", bundle=10, group=4) == list(range(8, 25))
+    again = store.log.rows().groupBy("bundle", "idx").count().where("count > 1").select("bundle").distinct()
+    assert {r.bundle for r in again.collect()} == {33, 34} and store.values().count() == 1000
+
+
 def test_items_without_rows_and_with_nulls(spark, tmp_path):
     store = items.Results(spark, str(tmp_path / "r"), "x string, y long")
     none = spark.createDataFrame([], "idx long, a string")

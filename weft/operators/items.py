@@ -1,24 +1,30 @@
 """Tasks over the items of a relation: group after group, on executors, with items, states and results as rows.
 
-Items are numbered. So many consecutive ones are a bundle, which is what is run again as a whole, and so many bundles a group. A group is one job; its rows, each with
-the item's state and its result, are appended to a log at once, so state and result cannot differ. The next group begins only if all of this one is well. A later run goes on
-at the first bundle that isn't: an item is done if its row says so for the same item and the same fingerprint. Rows of numbers that there are no more go.
+Items are numbered. So many consecutive ones are a bundle, which is what is run again as a whole, and so many bundles a group. The next group begins only if all of this one is
+well. Groups of many items are a job each; small ones share a job, whose tasks Spark's barrier mode begins together and which agree after each group. The rows of a job, each with
+the item's state and its result, are appended to a log at once, so state and result cannot differ; a job that has run for a while begins no other group, so a driver that is lost
+costs no more than that. A later run goes on at the first bundle that isn't well: an item is done if its row says so for the same item and the same fingerprint. Rows of numbers that there are no more go.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import secrets
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from multiprocessing.connection import Client, Listener
 from typing import Any
 
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TaskError
-from .log import MergeLog
+from .log import MergeLog, stored
 
 # The status of an item.
 SUCCESS, FAILURE = "SUCCESS", "FAILURE"
@@ -26,6 +32,8 @@ SUCCESS, FAILURE = "SUCCESS", "FAILURE"
 BIN = 500
 #: Bundles of a group, and items of a bundle, unless a task says otherwise.
 GROUP, BUNDLE = 64, 1000
+#: Items of the groups that share a job, at most, and seconds after which a job begins no other group.
+SHARED, LONG = 1 << 20, 60.0
 _STATE = "idx long, bin long, item string, bundle long, status string, started_at timestamp, ended_at timestamp, output_hash string, error string, deleted boolean"
 #: Named in an error.
 _SHOWN = 3
@@ -79,7 +87,7 @@ def _fields(spark: SparkSession, schema: str) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema)
 
 
-def _called(fn: Callable[..., Any], columns: list[str], given: dict[str, Any], schema: T.StructType) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _called(fn: Callable[..., Any], columns: list[str], given: dict[str, Any], schema: T.StructType) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Runs fn for each row of (idx, bundle, item, _c0, _c1, ...), which has the columns in order; its value is a single one, a tuple or a dictionary."""
     names = schema["value"].dataType.names  # type: ignore[union-attr]
 
@@ -88,42 +96,114 @@ def _called(fn: Callable[..., Any], columns: list[str], given: dict[str, Any], s
             return {c: v.get(c) for c in names}
         return dict(zip(names, v if isinstance(v, tuple) else (v,), strict=True))
 
+    def call(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for idx, bundle, item, *own in batch[["idx", "bundle", "item", *(f"_c{k}" for k in range(len(columns)))]].itertuples(index=False, name=None):
+            began, value, error = datetime.datetime.now(datetime.UTC), None, None
+            try:
+                value = shaped(fn(**dict(zip(columns, own, strict=True)), **given))
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+            out.append((idx, bundle, item, FAILURE if error else SUCCESS, began, datetime.datetime.now(datetime.UTC), error, value))
+        return pd.DataFrame(out, columns=["idx", "bundle", "item", "status", "started_at", "ended_at", "error", "value"])
+
+    return call
+
+
+@contextlib.contextmanager
+def _agreed(key: bytes) -> Iterator[Callable[[bool], bool]]:
+    """A function that the tasks of a barrier call together: whether it was called with a yes in any of them.
+
+    The barrier's own gathering takes a second, since Spark looks for answers once in a second; so that is done once, for the place where the first task hears the others.
+    """
+    context = BarrierTaskContext.get()
+    own, n = context.partitionId(), len(context.getTaskInfos())
+    host = context.getTaskInfos()[own].address.rpartition(":")[0]
+    with contextlib.ExitStack() as opened:
+        heard = opened.enter_context(Listener((host, 0), backlog=n, authkey=key)) if own == 0 else None
+        host, _, port = context.allGather(f"{host}:{heard.address[1]}" if heard else "")[0].rpartition(":")
+        links = [opened.enter_context(heard.accept() if heard else Client((host, int(port)), authkey=key)) for _ in range(n - 1 if heard else 1)]
+
+        def agreed(said: bool) -> bool:
+            if not heard:
+                links[0].send_bytes(b"yes" if said else b"no")
+                return links[0].recv_bytes() == b"yes"
+            said = b"yes" in [b"yes" if said else b"no", *(x.recv_bytes() for x in links)]
+            for x in links:
+                x.send_bytes(b"yes" if said else b"no")
+            return said
+
+        yield agreed
+
+
+def _in_turn(call: Callable[[pd.DataFrame], pd.DataFrame], groups: list[int], size: int, tasks: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """call for the rows of one group of so many items after the other; all tasks stop after the first group in which one of them has a failed item or is late."""
+    key, limit = secrets.token_bytes(32), LONG
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for idx, bundle, item, *own in batch[["idx", "bundle", "item", *(f"_c{k}" for k in range(len(columns)))]].itertuples(index=False, name=None):
-                began, value, error = datetime.datetime.now(datetime.UTC), None, None
-                try:
-                    value = shaped(fn(**dict(zip(columns, own, strict=True)), **given))
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-                out.append((idx, bundle, item, FAILURE if error else SUCCESS, began, datetime.datetime.now(datetime.UTC), error, value))
-            yield pd.DataFrame(out, columns=["idx", "bundle", "item", "status", "started_at", "ended_at", "error", "value"])
+        parts = (own for batch in batches for _, own in batch.groupby(batch["idx"] // size))  # rows come by idx
+        with _agreed(key) if tasks > 1 else contextlib.nullcontext(bool) as agreed:
+            late = time.monotonic() + limit
+            part = next(parts, None)
+            for g in groups:
+                stop = False
+                while part is not None and part["idx"].iat[0] // size == g:
+                    out = call(part)
+                    stop = stop or bool((out["status"] == FAILURE).any())
+                    yield out
+                    part = next(parts, None)
+                if agreed(stop or time.monotonic() > late):
+                    break
+        for _ in batches:  # the rest is read and left
+            pass
 
     return run
 
 
+def _slots(spark: SparkSession, profile: Any) -> int:
+    """Tasks of one core that run at the same time; 0 if that isn't known, as where executors come and go."""
+    context = spark.sparkContext
+    conf, n = context.getConf(), context.defaultParallelism
+    if profile is not None or conf.get("spark.dynamicAllocation.enabled", "false") == "true" or conf.get("spark.task.cpus", "1") != "1" or conf.contains("spark.default.parallelism"):
+        return 0
+    return n if n > 2 or context.master.partition("[")[0] == "local" else 0  # a cluster of one core says 2
+
+
 def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], columns: list[str], given: dict[str, Any], output_hash: str, bundle: int = BUNDLE, group: int = GROUP, force: bool = False, profile: Any = None) -> list[int]:
     """items(idx, columns) through fn, group after group; the groups that had something to run. TaskError after the first group with items that failed.
 
-    fn is called with the columns by name, and with what is given. Items with a null are passed as None or NaN, as pandas has them. profile: of
-    resources, for the stages that call it.
+    fn is called with the columns by name, and with what is given. Items with a null are passed as None or NaN, as pandas has them. Each job reads its items by their range of
+    idx, so items that are made at some cost are best stored. profile: of resources, for the stages that call fn; with one, or with executors that come and go, each group is a job.
     """
-    spark = results.spark
+    spark, size = results.spark, bundle * group
     text = F.concat_ws(",", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in columns))
     at = F.floor(F.col("idx") / bundle).cast("long")
     given_as = [f"_c{k}" for k in range(len(columns))]  # so that columns may have any names
     rows = items.select(F.col("idx").cast("long").alias("idx"), at.alias("bundle"), text.alias("item"), *(F.col(f"`{c}`").alias(a) for a, c in zip(given_as, columns, strict=True))).withColumn("grp", F.floor(F.col("bundle") / group).cast("long"))
-    done = results.state().where((F.col("status") == SUCCESS) & (F.col("output_hash") == output_hash)).select("idx", "item")
-    open_ = (rows if force else rows.join(done, ["idx", "item"], "left_anti")).groupBy("grp", "bundle").agg(F.count("*").alias("n")).groupBy("grp").agg(F.collect_list("bundle").alias("bundles"))
+    open_ = None
+    if not force:
+        done = results.state().where((F.col("status") == SUCCESS) & (F.col("output_hash") == output_hash)).select("idx", "item")
+        open_ = stored(rows.join(done, ["idx", "item"], "left_anti").select("grp", "bundle").distinct())
+    counts = {r.grp: r.n for r in (rows.select("grp", "bundle").distinct() if force else open_).groupBy("grp").agg(F.count("*").alias("n")).collect()}  # a number for each group
     schema = f"idx long, bundle long, item string, status string, started_at timestamp, ended_at timestamp, error string, value struct<{_fields(spark, results.schema)}>"
     call = _called(fn, columns, given, spark.createDataFrame([], schema).schema)
-    ran = []
-    for g in open_.orderBy("grp").collect():  # a row for each group, with at most so many bundles as a group has
-        own = rows.where(F.col("grp") == g.grp).where(F.col("bundle").isin(g.bundles)).repartition(max(1, min(len(g.bundles), spark.sparkContext.defaultParallelism * 4)), "bundle")
-        made = own.mapInPandas(call, schema, profile=profile)
+    slots = _slots(spark, profile)
+    ran, left = [], sorted(counts)
+    while left:
+        now = left[: max(1, SHARED // size) if slots else 1]
+        own = rows.where(F.col("idx").between(now[0] * size, (now[-1] + 1) * size - 1))
+        if open_ is not None:
+            own = own.join(open_.where(F.col("grp").between(now[0], now[-1])), ["grp", "bundle"], "left_semi")
+        tasks = min(max(counts[g] for g in now), slots if len(now) > 1 else spark.sparkContext.defaultParallelism * 4)
+        own = own.repartitionById(tasks, F.pmod("bundle", F.lit(tasks)).cast("int")).drop("grp")
+        if len(now) > 1:
+            made = own.sortWithinPartitions("idx").mapInPandas(_in_turn(call, now, size, tasks), schema, barrier=tasks > 1)
+        else:
+            made = own.mapInPandas(lambda batches: map(call, batches), schema, profile=profile)
         batch = results.log.append(made.withColumns({"bin": F.floor(F.col("idx") / BIN).cast("long"), "output_hash": F.lit(output_hash), "deleted": F.lit(False)}))
-        ran.append(g.grp)
+        last = batch.agg(F.max("idx")).first()[0] // size if len(now) > 1 else now[0]
+        ran += [g for g in now if g <= last]
+        left = [g for g in left if g > last]
         if bad := batch.where(F.col("status") == FAILURE).orderBy("idx").limit(_SHOWN).collect():
             raise TaskError("; ".join(f"[{r['item']}]: {r['error']}" for r in bad))
     gone = results.log.current().join(rows.select("idx"), "idx", "left_anti")

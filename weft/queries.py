@@ -366,7 +366,7 @@ _BUNDLES = "select idx // 100 as bundle, idx // 500 as grp, c_custkey, c_acctbal
 )
 def map_groups_resumed(spark, sf_dir):
     """Customers in bundles of 100 and groups of five bundles. A first run fails in the first group that has a customer deep in debt; a second goes on at the bundles that weren't done."""
-    rows = relations.indexed(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"])
+    rows = stored(relations.indexed(_t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_custkey"]))
     results = items.Results(spark, f"{scratch(spark)}/owed", "value long")
 
     def owed(c_custkey, c_acctbal, strict):
