@@ -29,6 +29,46 @@ def test_log_takes_the_last_row_of_a_key(spark, tmp_path):
     assert [(r.k, r.v) for r in own.current().collect()] == [(5, "all")]
 
 
+def test_batches_of_one_run_are_only_read(spark, tmp_path, capsys):
+    own = log.MergeLog(spark, str(tmp_path / "log"), "k int, v string, deleted boolean", ["k"])
+    assert own.empty()
+    put = lambda run, *rows: own.append(spark.createDataFrame([(k, v, v is None) for k, v in rows], "k int, v string, deleted boolean"), run)
+    now = lambda: sorted((r.k, r.v) for r in own.current().collect())
+    put("a", (1, "x"), (2, "x"))
+    put("a", (3, "x"), (4, None))
+    own.current().explain()
+    assert "Aggregate" not in capsys.readouterr().out and not own.empty()
+    assert now() == [(1, "x"), (2, "x"), (3, "x")]
+    put("b", (2, "y"))  # another run may have the same keys
+    assert now() == [(1, "x"), (2, "y"), (3, "x")]
+    put("", (3, None))
+    own.merge()
+    put("b", (1, "z"))
+    assert now() == [(1, "z"), (2, "y")]
+
+
+def test_a_first_run_needs_no_search_for_last_rows(spark, tmp_path, capsys):
+    store = items.Results(spark, str(tmp_path / "r"), "value long")
+    rows = spark.range(95).select(F.col("id").alias("idx"), F.col("id").alias("a"))
+    items.run_groups(store, rows, lambda a: a, ["a"], {}, "h", bundle=10, group=2, force=True)
+    store.values().explain()
+    assert "Aggregate" not in capsys.readouterr().out
+    fewer = rows.where("idx < 50")
+    for _ in range(2):  # forced again, over rows that are there
+        items.run_groups(store, fewer, lambda a: a + 1, ["a"], {}, "h", bundle=10, group=2, force=True)
+        assert sorted(tuple(r) for r in store.values().collect()) == [(i, i + 1) for i in range(50)]
+
+
+def test_numbers_of_structs_are_in_the_order_of_structs(spark):
+    from weft.operators import relations
+
+    some = [None, (None, None), (None, (1, None)), (None, (None, "b")), (0, None), (0, (None, None)), (0, (2, "a")), (0, (2, "b")), (-1, (9, "z"))]
+    df = spark.createDataFrame([(x, k % 3) for k, x in enumerate(some * 3)], "`p.q` struct<a: int, `b c`: struct<d: int, e: string>>, n int").repartition(3)
+    got = relations.indexed(df, ["p.q", "n"]).orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(27))
+    assert [r[0] for r in got] == [r[0] for r in df.orderBy("`p.q`", "n").collect()]
+
+
 def test_log_reads_whole_batches_only(spark, tmp_path):
     own = log.MergeLog(spark, str(tmp_path / "log"), "k int, v string", ["k"])
     own.append(spark.createDataFrame([(1, "a")], "k int, v string"))

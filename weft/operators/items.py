@@ -9,9 +9,9 @@ costs no more than that. A later run goes on at the first bundle that isn't well
 from __future__ import annotations
 
 import contextlib
-import datetime
 import secrets
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from multiprocessing.connection import Client, Listener
@@ -97,15 +97,19 @@ def _called(fn: Callable[..., Any], columns: list[str], given: dict[str, Any], s
         return dict(zip(names, v if isinstance(v, tuple) else (v,), strict=True))
 
     def call(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for idx, bundle, item, *own in batch[["idx", "bundle", "item", *(f"_c{k}" for k in range(len(columns)))]].itertuples(index=False, name=None):
-            began, value, error = datetime.datetime.now(datetime.UTC), None, None
+        values, errors, began, ended = [], [], [], []
+        for own in zip(*(batch[f"_c{k}"] for k in range(len(columns))), strict=True) if columns else [()] * len(batch):
+            value = error = None
+            began.append(time.time_ns() // 1000)
             try:
                 value = shaped(fn(**dict(zip(columns, own, strict=True)), **given))
             except Exception as e:
                 error = f"{type(e).__name__}: {e}"
-            out.append((idx, bundle, item, FAILURE if error else SUCCESS, began, datetime.datetime.now(datetime.UTC), error, value))
-        return pd.DataFrame(out, columns=["idx", "bundle", "item", "status", "started_at", "ended_at", "error", "value"])
+            ended.append(time.time_ns() // 1000)
+            values.append(value)
+            errors.append(error)
+        at = {c: pd.to_datetime(pd.Series(x, index=batch.index, dtype="int64"), unit="us", utc=True) for c, x in (("started_at", began), ("ended_at", ended))}
+        return batch[["idx", "bundle", "item"]].assign(status=[FAILURE if e else SUCCESS for e in errors], **at, error=errors, value=values)
 
     return call
 
@@ -180,15 +184,15 @@ def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], colum
     at = F.floor(F.col("idx") / bundle).cast("long")
     given_as = [f"_c{k}" for k in range(len(columns))]  # so that columns may have any names
     rows = items.select(F.col("idx").cast("long").alias("idx"), at.alias("bundle"), text.alias("item"), *(F.col(f"`{c}`").alias(a) for a, c in zip(given_as, columns, strict=True))).withColumn("grp", F.floor(F.col("bundle") / group).cast("long"))
-    open_ = None
-    if not force:
+    open_, first = None, results.log.empty()
+    if not force and not first:
         done = results.state().where((F.col("status") == SUCCESS) & (F.col("output_hash") == output_hash)).select("idx", "item")
         open_ = stored(rows.join(done, ["idx", "item"], "left_anti").select("grp", "bundle").distinct())
-    counts = {r.grp: r.n for r in (rows.select("grp", "bundle").distinct() if force else open_).groupBy("grp").agg(F.count("*").alias("n")).collect()}  # a number for each group
+    counts = {r.grp: r.n for r in (rows.select("grp", "bundle").distinct() if open_ is None else open_).groupBy("grp").agg(F.count("*").alias("n")).collect()}  # a number for each group
     schema = f"idx long, bundle long, item string, status string, started_at timestamp, ended_at timestamp, error string, value struct<{_fields(spark, results.schema)}>"
     call = _called(fn, columns, given, spark.createDataFrame([], schema).schema)
     slots = _slots(spark, profile)
-    ran, left = [], sorted(counts)
+    ran, left, run = [], sorted(counts), uuid.uuid4().hex if first else ""  # in a first run each item has one row
     while left:
         now = left[: max(1, SHARED // size) if slots else 1]
         own = rows.where(F.col("idx").between(now[0] * size, (now[-1] + 1) * size - 1))
@@ -200,12 +204,14 @@ def run_groups(results: Results, items: DataFrame, fn: Callable[..., Any], colum
             made = own.sortWithinPartitions("idx").mapInPandas(_in_turn(call, now, size, tasks), schema, barrier=tasks > 1)
         else:
             made = own.mapInPandas(lambda batches: map(call, batches), schema, profile=profile)
-        batch = results.log.append(made.withColumns({"bin": F.floor(F.col("idx") / BIN).cast("long"), "output_hash": F.lit(output_hash), "deleted": F.lit(False)}))
+        batch = results.log.append(made.withColumns({"bin": F.floor(F.col("idx") / BIN).cast("long"), "output_hash": F.lit(output_hash), "deleted": F.lit(False)}), run)
         last = batch.agg(F.max("idx")).first()[0] // size if len(now) > 1 else now[0]
         ran += [g for g in now if g <= last]
         left = [g for g in left if g > last]
         if bad := batch.where(F.col("status") == FAILURE).orderBy("idx").limit(_SHOWN).collect():
             raise TaskError("; ".join(f"[{r['item']}]: {r['error']}" for r in bad))
+    if first:
+        return ran
     gone = results.log.current().join(rows.select("idx"), "idx", "left_anti")
     if not gone.isEmpty():
         results.log.append(gone.withColumn("deleted", F.lit(True)))

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Appends that readers put together before they are merged.
 MERGE_AT = 32
+# Fixed value: in the name of an append, what is followed by that of its run.
+_RUN = "-of-"
 
 
 def hadoop(spark: SparkSession, path: str) -> tuple[Any, Any]:
@@ -73,10 +75,18 @@ class MergeLog:
         live = [n for n in names if n.startswith("part-") and n not in merged and self._whole(n)]
         return base, live, [n for n in names if n in merged or (n.startswith("base-") and n < (base or ""))]
 
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Adds rows as one batch, and gives them back as they are stored. Of rows of one key in a batch any may become the last."""
+    def empty(self) -> bool:
+        """Whether nothing was ever added."""
+        base, live, _ = self._parts()
+        return not base and not live
+
+    def append(self, rows: DataFrame, run: str = "") -> DataFrame:
+        """Adds rows as one batch, and gives them back as they are stored. Of rows of one key in a batch any may become the last.
+
+        run: a name, of batches that have no key twice, neither in one of them nor in two; while there are no others, readers needn't look for the last row of a key.
+        """
         seq = time.time_ns()
-        path = f"{self.path}/part-{seq:020d}-{uuid.uuid4().hex}"
+        path = f"{self.path}/part-{seq:020d}-{uuid.uuid4().hex}{_RUN if run else ''}{run}"
         self._dated(rows, seq).write.parquet(path)
         self.appends += 1
         if self.appends % self.merge_at == 0:
@@ -100,17 +110,23 @@ class MergeLog:
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
 
     def current(self) -> DataFrame:
-        """The last row of each key, in the columns of the schema; a base has one of each, so it is only read."""
+        """The last row of each key, in the columns of the schema; a base has one of each, as the batches of one run have, so these are only read."""
         base, live, _ = self._parts()
+        return self._current(base, live).select(*self.columns)
+
+    def _current(self, base: str | None, live: list[str]) -> DataFrame:
         rows = self._rows(base, live)
-        return (_last(rows, self.key) if live else rows).select(*self.columns)
+        if not live:
+            return rows
+        runs = {n.partition(_RUN)[2] for n in live}
+        return _there(rows) if base is None and len(runs) == 1 and runs != {""} else _there(_last(rows, self.key))
 
     def merge(self) -> None:
         """Makes a new base of what is current, and deletes what the base before had replaced."""
         base, live, replaced = self._parts()
         if not live:
             return
-        self._base(_last(self._rows(base, live), self.key), live, replaced)
+        self._base(self._current(base, live), live, replaced)
 
     def _base(self, rows: DataFrame, live: list[str], replaced: list[str]) -> None:
         """Puts rows in the place of the base and of the appends that are live."""
@@ -123,5 +139,8 @@ class MergeLog:
 
 def _last(rows: DataFrame, key: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_seq", "_nth")).alias("_last")).select(*key, "_last.*")
-    return last.where("not coalesce(deleted, false)") if "deleted" in rows.columns else last
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct("_seq", "_nth")).alias("_last")).select(*key, "_last.*")
+
+
+def _there(rows: DataFrame) -> DataFrame:
+    return rows.where("not coalesce(deleted, false)") if "deleted" in rows.columns else rows
